@@ -58,6 +58,17 @@ def lookup_salted(
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
+def left_lookup(
+    big: DataFrame, dim: DataFrame, on: str, scope: Sequence[str], spread: Sequence
+) -> DataFrame:
+    """Left join on one nullable key. Rows without a key match nothing; they get a throw-away key
+    so that a shuffle does not send all of them to one task."""
+    filler = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*spread), F.lit(1024)).cast("string"))
+    keyed = big.withColumn("_key", F.coalesce(F.col(on).cast("string"), filler))
+    side = dim.withColumn("_key", F.col(on).cast("string")).drop(on)
+    return keyed.join(side, [*scope, "_key"], "left").drop("_key")
+
+
 def anti_known(df: DataFrame, known: DataFrame, on: dict[str, str], scope: Sequence[str] = ()):
     """Rows whose key is not in ``known``. Rows without a key are kept and take no part in the join
     (a shuffle would send all of them to one task)."""

@@ -23,12 +23,12 @@ BATCH_ROWS = 5_000
 SKIPPED_TABLES = {"android_metadata", "room_master_table", "sqlite_sequence"}
 
 SPLITS = (
-    "case_id string, root string, path string, name string, has_log boolean, "
+    "case_id string, root string, path string, name string, has_log boolean, sha256 string, "
     "source_table string, lo bigint, hi bigint, n_rows bigint"
 )
 ROWS = (
     "case_id string, source_file string, file_name string, source_table string, rowid bigint, "
-    "read_mode string, row map<string,string>"
+    "read_mode string, sha256 string, row map<string,string>"
 )
 
 
@@ -134,7 +134,7 @@ def _plan_files(batches):
     cols = [c.split()[0] for c in SPLITS.split(", ")]
     for pdf in batches:
         rows = []
-        for case_id, root, path, name, has_log in pdf.itertuples(index=False):
+        for case_id, root, path, name, has_log, sha256 in pdf.itertuples(index=False):
             for mode in ([True, False] if has_log else [False]):
                 try:
                     with _database(root, path, mode) as (con, _):
@@ -142,7 +142,7 @@ def _plan_files(batches):
                 except (sqlite3.Error, OSError, RuntimeError):
                     continue  # an unreadable log falls back to the plain file
                 if splits or not mode:
-                    rows += [(case_id, root, path, name, mode, *s) for s in splits]
+                    rows += [(case_id, root, path, name, mode, sha256, *s) for s in splits]
                     break
         yield pd.DataFrame(rows, columns=cols).astype({"lo": "Int64", "hi": "Int64"})
 
@@ -181,7 +181,9 @@ def _read_rows(batches):
             try:
                 with _database(s.root, s.path, s.has_log) as (con, mode):
                     for rowid, values in _read_split(con, s.source_table, s.lo, s.hi):
-                        rows.append((s.case_id, s.path, s.name, s.source_table, rowid, mode, values))
+                        rows.append(
+                            (s.case_id, s.path, s.name, s.source_table, rowid, mode, s.sha256, values)
+                        )
                         if len(rows) >= BATCH_ROWS:
                             yield frame(rows)
                             rows = []
@@ -196,15 +198,18 @@ def database_files(inventory: DataFrame) -> DataFrame:
         "case_id", F.regexp_replace("path", "-wal$", "").alias("path"), F.lit(True).alias("has_log")
     )
     dbs = inventory.where(~F.col("name").rlike("-(wal|shm|journal)$"))
+    sha256 = F.col("sha256") if "sha256" in dbs.columns else F.lit(None).cast("string")
     return dbs.join(logs, ["case_id", "path"], "left").select(
-        "case_id", "root", "path", "name", F.coalesce("has_log", F.lit(False)).alias("has_log")
-    )
+        "case_id", "root", "path", "name",
+        F.coalesce("has_log", F.lit(False)).alias("has_log"),
+        sha256.alias("sha256"),
+    )
 
 
 def table_splits(databases: DataFrame) -> DataFrame:
     """What to read: (file, table, rowid range). Row counts come along for reconciliation."""
     spread = databases.repartition("case_id", "path")
-    return spread.select("case_id", "root", "path", "name", "has_log").mapInPandas(
+    return spread.select("case_id", "root", "path", "name", "has_log", "sha256").mapInPandas(
         _plan_files, SPLITS
     )
 
