@@ -23,7 +23,17 @@ def star_edges(keys: DataFrame, node: str, key_cols: list[str]) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: up to this many edges no key can be hot enough to matter, and a plain join is cheaper
+PLAIN_EDGES = 2_000_000
+
+
+def _with_min(edges: DataFrame, mins: DataFrame, plain: bool) -> DataFrame:
+    if plain:
+        return edges.join(mins.select("u", "m"), "u")
+    return lookup_weighted(edges, mins, ["u"], "w")
+
+
+def _large_star(edges: DataFrame, plain: bool) -> DataFrame:
     """Connect every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     mins = both.groupBy("u").agg(
@@ -32,21 +42,21 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     larger = both.where("v > u")
     return (
-        lookup_weighted(larger, mins.where("w > 0"), ["u"], "w")
+        _with_min(larger, mins.where("w > 0"), plain)
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v")
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, plain: bool) -> DataFrame:
     """Connect a node and all its smaller neighbours to the smallest of them."""
     down = edges.select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     mins = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
     moved = (
-        lookup_weighted(down, mins.where("w > 1"), ["u"], "w")
+        _with_min(down, mins.where("w > 1"), plain)
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v")
     )
@@ -68,7 +78,9 @@ def components(edges: DataFrame) -> DataFrame:
     current = cut_lineage(edges)
     seen = _fingerprint(current)
     while seen[0]:
-        current = cut_lineage(_small_star(_large_star(current)))
+        plain = seen[0] <= PLAIN_EDGES
+        grown = cut_lineage(_large_star(current, plain))
+        current = cut_lineage(_small_star(grown, plain))
         now = _fingerprint(current)
         if now == seen:
             break

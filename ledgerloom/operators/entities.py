@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parties import party_name_key
 from ..functions.text import present
+from ..session import cut_lineage
 from .components import label_records
 from .ledger import money
-from .skew import anti_known, set_segments
+from .skew import set_segments
 
 ATTRIBUTES = {
     "names": "name",
@@ -49,8 +48,8 @@ def person_records(person: DataFrame) -> DataFrame:
     )
 
 
-def join_keys(records: DataFrame) -> DataFrame:
-    """(case_id, record_id, kind, value) of everything two records may share."""
+def join_keys(records: DataFrame, node: str = "record_id") -> DataFrame:
+    """(case_id, node, kind, value) of everything two records may share."""
     options = [
         F.struct(F.lit(kind).alias("kind"), value.alias("value"))
         for kind, value in (
@@ -67,9 +66,9 @@ def join_keys(records: DataFrame) -> DataFrame:
     )
     return (
         records.select(
-            "case_id", "record_id", F.explode(F.concat(F.array(*options), handles)).alias("k")
+            "case_id", node, F.explode(F.concat(F.array(*options), handles)).alias("k")
         )
-        .select("case_id", "record_id", "k.kind", "k.value")
+        .select("case_id", node, "k.kind", "k.value")
         .where("value IS NOT NULL")
         .distinct()
     )
@@ -104,12 +103,34 @@ def ledger_parties(txns: DataFrame) -> DataFrame:
     )
 
 
+#: the identifiers of a counterparty, strongest first
+PARTY_KEYS = (("vpa", "vpa"), ("name", "name_key"), ("phone", "phone"))
+
+
+def _party_keys(parties: DataFrame) -> DataFrame:
+    """Parties once per identifier they carry, with its rank: one join then serves all kinds."""
+    options = [
+        F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.col(c).alias("value"))
+        for rank, (kind, c) in enumerate(PARTY_KEYS)
+    ]
+    carried = F.filter(F.array(*options), lambda k: k["value"].isNotNull())
+    return parties.select("*", F.explode_outer(carried).alias("k")).select(
+        *parties.columns, "k.rank", "k.kind", "k.value"
+    )
+
+
 def seed_parties(parties: DataFrame, people_keys: DataFrame) -> DataFrame:
     """Counterparties that share no handle, name or phone with any known person."""
-    unknown = parties
-    for column, kind in (("vpa", "vpa"), ("name_key", "name"), ("phone", "phone")):
-        known = people_keys.where(F.col("kind") == kind)
-        unknown = anti_known(unknown, known, {column: "value"}, ("case_id",))
+    known = people_keys.where(F.col("kind").isin([k for k, _ in PARTY_KEYS]))
+    known = known.select("case_id", "kind", "value").distinct().withColumn("_known", F.lit(True))
+    identity = ["case_id", "vpa", "name", "phone", "name_key", "source_file"]
+    unknown = (
+        _party_keys(parties.select(*identity))
+        .join(known, ["case_id", "kind", "value"], "left")
+        .groupBy(*identity)
+        .agg(F.bool_or(F.coalesce("_known", F.lit(False))).alias("_known"))
+        .where(~F.col("_known"))
+    )
     group = (
         F.when(F.col("vpa").isNotNull(), F.concat(F.lit("vpa:"), F.col("vpa")))
         .when(
@@ -142,35 +163,31 @@ def attribute(parties: DataFrame, owners: DataFrame) -> DataFrame:
     """Owner of each ledger party: by handle, else by name, else by phone.
 
     ``owners`` is (case_id, kind, value, component). Parties are already one row per identifier
-    combination, so no hot key of the ledger reaches these joins.
+    combination, so no hot key of the ledger reaches this join.
     """
-    steps = (("vpa", "vpa"), ("name_key", "name"), ("phone", "phone"))
-    open_rows, done = parties, []
-    for column, kind in steps:
-        own = owners.where(F.col("kind") == kind).select(
-            "case_id", F.col("value").alias(column), "component"
-        )
-        keyless = open_rows.where(F.col(column).isNull())
-        joined = open_rows.where(F.col(column).isNotNull()).join(own, ["case_id", column], "left")
-        done.append(joined.where("component IS NOT NULL").select(*parties.columns, "component"))
-        missed = joined.where("component IS NULL").select(*parties.columns)
-        open_rows = keyless.unionByName(missed)
-    return reduce(DataFrame.unionByName, done)
+    best = F.min_by("component", F.when(F.col("component").isNotNull(), F.col("rank")))
+    return (
+        _party_keys(parties)
+        .join(owners, ["case_id", "kind", "value"])
+        .groupBy(*parties.columns)
+        .agg(best.alias("component"))
+    )
 
 
 def entity_table(person: DataFrame, txns: DataFrame, messages: DataFrame) -> DataFrame:
     """Entity rows; a party with more than a thousand values of one kind continues in segments."""
     people = person_records(person)
-    parties = ledger_parties(txns)
+    # these three tables are read several times below, so each is written once
+    parties = cut_lineage(ledger_parties(txns))
     seeds = seed_parties(parties, join_keys(people))
-    records = people.unionByName(seeds)
+    records = cut_lineage(people.unionByName(seeds))
     keys = join_keys(records)
-    labelled = label_records(records, keys, "record_id", ["case_id", "kind", "value"])
+    labelled = cut_lineage(
+        label_records(records, keys, "record_id", ["case_id", "kind", "value"])
+    )
 
     owners = (
-        keys.join(labelled.select("record_id", "component"), "record_id")
-        .select("case_id", "kind", "value", "component")
-        .distinct()
+        join_keys(labelled, "component").select("case_id", "kind", "value", "component").distinct()
     )
     totals = (
         attribute(parties, owners)
@@ -215,13 +232,15 @@ def entity_table(person: DataFrame, txns: DataFrame, messages: DataFrame) -> Dat
 
 
 def _attribute_sets(labelled: DataFrame) -> DataFrame:
-    pairs = []
-    for out, column in ATTRIBUTES.items():
-        value = F.explode("vpas") if column == "vpa" else F.col(column)
-        pairs.append(
-            labelled.select("component", F.lit(out).alias("attribute"), value.alias("value"))
-        )
-    long = reduce(DataFrame.unionByName, pairs)
+    single = [
+        F.struct(F.lit(out).alias("attribute"), F.col(column).alias("value"))
+        for out, column in ATTRIBUTES.items()
+        if column != "vpa"
+    ]
+    handles = F.transform("vpas", lambda v: F.struct(F.lit("vpas").alias("attribute"), v.alias("value")))
+    long = labelled.select(
+        "component", F.explode(F.concat(F.array(*single), handles)).alias("a")
+    ).select("component", "a.attribute", "a.value")
     parts = set_segments(long, ["component", "attribute"], "value", "part")
     return parts.groupBy("component", "segment").agg(
         *[F.max_by("part", F.col("attribute") == a).alias(f"_{a}") for a in ATTRIBUTES],

@@ -26,22 +26,27 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequ
     return df.groupBy(*keys).agg(picked).select(*keys, "_last.*")
 
 
-def lookup_weighted(
-    big: DataFrame, dim: DataFrame, on: Sequence[str], weight: str, how: str = "inner"
-) -> DataFrame:
-    """Join ``big`` to ``dim`` (one row per key) when ``dim`` knows each key's number of rows.
+def lookup_weighted(big: DataFrame, dim: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
+    """Inner join of ``big`` to ``dim`` (one row per key), where ``dim`` knows how many rows of
+    ``big`` each key owns.
 
-    The heaviest keys go through a broadcast of at most ``HOT_KEYS`` rows and never move; the rest
-    is shuffled. The two parts together are the whole join.
+    The heaviest keys are answered by a broadcast of at most ``HOT_KEYS`` rows. Their rows then pass
+    the shuffle join under throw-away keys, spread evenly, so no task holds a hot key; every other
+    key owns less than 1/HOT_KEYS of the rows.
     """
     values = [c for c in dim.columns if c not in on and c != weight]
     hot = dim.orderBy(F.desc(weight), *on).limit(HOT_KEYS)
-    hot = hot.select(*on, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
+    hot = hot.select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_hot"))
     marked = big.join(F.broadcast(hot), list(on), "left")
-    kept = [c for c in big.columns]
-    heavy = marked.where("_hot").select(*kept, *[F.col(f"_hot_{c}").alias(c) for c in values])
-    light = marked.where("_hot IS NULL").select(*kept).join(dim.drop(weight), list(on), how)
-    return heavy.unionByName(light.select(*kept, *values))
+    spread = F.concat(F.lit("\x00"), F.xxhash64(*big.columns).cast("string"))
+    key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in on])
+    open_key = F.when(F.col("_hot").isNull(), key).otherwise(spread)
+    rest = dim.select(key.alias("_key"), F.struct(F.lit(True).alias("_hit"), *values).alias("_dim"))
+    joined = marked.withColumn("_key", open_key).join(rest, "_key", "left")
+    found = F.coalesce("_hot", "_dim")
+    return joined.where(found.isNotNull()).select(
+        *big.columns, *[found[c].alias(c) for c in values]
+    )
 
 
 def lookup_salted(

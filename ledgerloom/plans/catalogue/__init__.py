@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import ledgers  # noqa: F401  (modules register their queries)
+from . import ledgers, parties  # noqa: F401  (modules register their queries)
 from .base import QUERIES, Query, Tables
 
 __all__ = ["QUERIES", "Query", "Tables"]
