@@ -57,6 +57,20 @@ def short_class(c: Column | str) -> Column:
     return F.substring_index(col(c), ".", -1)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` mentions it.
+
+    Column expressions are inlined where they are used, so a chain of steps that each mention
+    their input four times would otherwise grow as 4^steps.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rejoin(gaps: Column, pieces: Column) -> Column:
+    tail = F.concat(pieces, F.array(F.lit("")))
+    return F.array_join(F.zip_with(gaps, tail, lambda a, b: F.concat(a, b)), "")
+
+
 def rewrite_matches(s: Column, pattern: str, mask: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``mask(match)``.
 
@@ -64,21 +78,25 @@ def rewrite_matches(s: Column, pattern: str, mask: Callable[[Column], Column]) -
     is cut at the matches and joined again with the masked pieces, all inside one expression, and
     texts without any match skip that work.
     """
-    gaps = F.split(s, pattern, -1)
-    found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
-    pieces = F.concat(F.transform(found, mask), F.array(F.lit("")))
-    rewritten = F.array_join(F.zip_with(gaps, pieces, lambda a, b: F.concat(a, b)), "")
-    return F.when(s.rlike(pattern), rewritten).otherwise(s)
+
+    def body(x: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        rewritten = _rejoin(F.split(x, pattern, -1), F.transform(found, mask))
+        return F.when(x.rlike(pattern), rewritten).otherwise(x)
+
+    return bind(s, body)
 
 
 def rewrite_groups(s: Column, pattern: str, mask: Callable[[Column, Column], Column]) -> Column:
     """As :func:`rewrite_matches` with the first two capture groups handed to ``mask``."""
-    gaps = F.split(s, pattern, -1)
-    one = F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
-    two = F.regexp_extract_all(s, F.lit(pattern), F.lit(2))
-    pieces = F.concat(F.zip_with(one, two, mask), F.array(F.lit("")))
-    rewritten = F.array_join(F.zip_with(gaps, pieces, lambda a, b: F.concat(a, b)), "")
-    return F.when(s.rlike(pattern), rewritten).otherwise(s)
+
+    def body(x: Column) -> Column:
+        one = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+        two = F.regexp_extract_all(x, F.lit(pattern), F.lit(2))
+        rewritten = _rejoin(F.split(x, pattern, -1), F.zip_with(one, two, mask))
+        return F.when(x.rlike(pattern), rewritten).otherwise(x)
+
+    return bind(s, body)
 
 
 def bullets(n: Column) -> Column:
@@ -119,6 +137,13 @@ def nested_json_text(c: Column | str, outer: str, inner: str) -> Column:
     return F.get_json_object(F.get_json_object(col(c), outer), inner)
 
 
-def is_json_object(c: Column | str) -> Column:
-    s = col(c)
-    return F.coalesce(s.rlike(r"^\s*\{") & F.try_parse_json(s).isNotNull(), F.lit(False))
+def strict_json(c: Column | str) -> Column:
+    """The text when it is exactly one JSON value, else null.
+
+    The path functions stop reading once they have their answer, so they accept a document with
+    garbage behind it; as the only element of an array it has to be whole.
+    """
+    v = F.try_parse_json(F.concat(F.lit("["), col(c), F.lit("]")))
+    one = F.try_variant_get(v, "$[0]", "variant").isNotNull()
+    more = F.try_variant_get(v, "$[1]", "variant").isNotNull()
+    return F.when(one & ~more, col(c))

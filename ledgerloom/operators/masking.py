@@ -36,20 +36,17 @@ def known_names(domains: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where(F.length("name") > 2).distinct()
 
 
-def _grams(text, size):
-    last = F.length(text) - size + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(size)))),
-    ).otherwise(F.array().cast("array<string>"))
+def _windows(text, size: int):
+    """All character windows of one length. A look-ahead walks the text once, where repeated
+    substrings would start from its beginning every time."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1))
 
 
 def name_anchors(names: DataFrame, scope: list[str]) -> DataFrame:
     """One gram per name to find it by: the one that the fewest other names contain."""
-    sized = names.withColumn(
-        "size", F.when(F.length("name") >= GRAM_SIZES[1], GRAM_SIZES[1]).otherwise(GRAM_SIZES[0])
-    )
-    grams = sized.select(*scope, "name", F.explode(_grams(F.col("name"), F.col("size"))).alias("gram"))
+    short, long = (_windows(F.col("name"), size) for size in GRAM_SIZES)
+    own = F.when(F.length("name") >= GRAM_SIZES[1], long).otherwise(short)
+    grams = names.select(*scope, "name", F.explode(F.array_distinct(own)).alias("gram"))
     spread = grams.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("n"))
     return (
         grams.join(spread, [*scope, "gram"])
@@ -71,11 +68,7 @@ def names_in_texts(
     windows = texts.select(
         *scope,
         key,
-        F.explode(
-            F.array_distinct(
-                F.concat(*[_grams(F.col(text), F.lit(s)) for s in GRAM_SIZES])
-            )
-        ).alias("gram"),
+        F.explode(F.concat(*[_windows(F.col(text), s) for s in GRAM_SIZES])).alias("gram"),
     )
     # a checked, bounded anchor table is broadcast, so windows without a name are dropped in place;
     # a larger one is met by a shuffle on the window

@@ -26,13 +26,14 @@ def harvest(content: DataFrame, keys: list[str], text: str) -> DataFrame:
     ``text`` must be a one-character-per-byte decoding, so the offset is a byte offset. The same
     value in one blob is reported once, at its first place.
     """
-    found = [
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(shape), F.lit(0))),
-            lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
+
+    def hits(kind: str, shape: str):
+        values = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(shape), F.lit(0)))
+        return F.transform(
+            values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
         )
-        for kind, shape in RESIDUAL_SHAPES.items()
-    ]
+
+    found = [hits(kind, shape) for kind, shape in RESIDUAL_SHAPES.items()]
     return (
         content.select(*keys, text, F.explode(F.concat(*found)).alias("hit"))
         .select(

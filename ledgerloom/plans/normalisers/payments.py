@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import codes
 from ...functions.clocks import decode_epoch
 from ...functions.parties import first_token_mobile, last_token_rrn
-from ...functions.text import first_present, json_text, present, to_bigint, to_double
+from ...functions.text import first_present, json_text, present, strict_json, to_bigint, to_double
 from ...operators.ledger import chat_direction, chat_settled
 from ...operators.skew import anti_known, first_per_key, left_lookup, lookup_salted
 from .base import Sources, from_row, is_one, normaliser
@@ -42,6 +42,8 @@ def passbook(src: Sources) -> DataFrame:
         ["inst_name", "inst_id", "inst_type"],
     )
     t = left_lookup(listing, instrument, "sourceTxnId", ["case_id"], ["rowid"])
+    for c in ("userInstrumentInfo", "secondPartyInfo"):
+        t = t.withColumn(c, strict_json(c))
     own = present("inst_id")
 
     def head(name: str) -> Column:
@@ -139,8 +141,8 @@ def chat_payments(src: Sources) -> DataFrame:
     messages = src.rows(
         CHAT, "ChatMessageEntity",
         "data", "messageContent", "senderName", "senderId", "createdAt", "customType", "channelUrl",
-    ).where(present("data").isNotNull())
-    m = messages.withColumn("amount", chat_amount()).where("amount IS NOT NULL")
+    ).withColumn("data", strict_json("data"))
+    m = messages.where("data IS NOT NULL").withColumn("amount", chat_amount()).where("amount IS NOT NULL")
     m = m.withColumn("source_txn_id", present(json_text("data", "$.uniqueKey")))
     listed = src.rows(PASSBOOK, "UthListingEntity", "sourceTxnId").where(
         present("sourceTxnId").isNotNull()
