@@ -91,7 +91,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def label_records(records: DataFrame, keys: DataFrame, node: str, key_cols: list[str]) -> DataFrame:
-    """``records`` plus ``component``; a record that shares nothing is its own component."""
+    """``records`` plus ``component``; a record that shares nothing is its own component.
+
+    The keys are read several times, so they should come from a written table.
+    """
     found = components(star_edges(keys, node, key_cols)).withColumnRenamed("node", node)
     return records.join(found, node, "left").withColumn(
         "component", F.coalesce("component", F.col(node))

@@ -181,7 +181,7 @@ def entity_table(person: DataFrame, txns: DataFrame, messages: DataFrame) -> Dat
     parties = cut_lineage(ledger_parties(txns))
     seeds = seed_parties(parties, join_keys(people))
     records = cut_lineage(people.unionByName(seeds))
-    keys = join_keys(records)
+    keys = cut_lineage(join_keys(records))
     labelled = cut_lineage(
         label_records(records, keys, "record_id", ["case_id", "kind", "value"])
     )

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import mask_text
+from ..session import cut_lineage
 
 #: window lengths a name can be found by: short names by 3 characters, longer ones by 6
 GRAM_SIZES = (3, 6)
 
 #: most names that are shipped to every executor
 BROADCAST_NAMES = 500_000
+#: most characters of found names that are shipped to every executor
+BROADCAST_CHARS = 64_000_000
 
 #: (domain, field) pairs that hold real names
 NAME_FIELDS = (
@@ -58,38 +61,44 @@ def name_anchors(names: DataFrame, scope: list[str]) -> DataFrame:
 def names_in_texts(
     texts: DataFrame, key: str, text: str, names: DataFrame, scope: list[str] | None = None
 ) -> DataFrame:
-    """(key, names) for texts that contain known names, longest first.
+    """(key, known_names) for texts that may contain known names, longest first.
 
-    Every window of a text is looked up among the name anchors and each candidate is checked with
-    an exact substring test: nothing is missed and no text meets every name.
+    Every window of a text is looked up among the name anchors: nothing is missed and no text meets
+    every name. A candidate that is not in the text after all is harmless, as masking replaces
+    exact occurrences only.
     """
     scope = scope or []
     anchors = name_anchors(names, scope)
+    # three numbers about the anchors decide how they are met
+    n_anchors, shortest, longest = anchors.agg(
+        F.count(F.lit(1)), F.min(F.length("gram")), F.max(F.length("gram"))
+    ).first()
+    sizes = [s for s in GRAM_SIZES if shortest and shortest <= s <= longest] or [GRAM_SIZES[0]]
     windows = texts.select(
-        *scope,
-        key,
-        F.explode(F.concat(*[_windows(F.col(text), s) for s in GRAM_SIZES])).alias("gram"),
+        *scope, key, F.explode(F.concat(*[_windows(F.col(text), s) for s in sizes])).alias("gram")
     )
     # a checked, bounded anchor table is broadcast, so windows without a name are dropped in place;
     # a larger one is met by a shuffle on the window
-    small = anchors.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    side = F.broadcast(anchors) if small else anchors
+    side = F.broadcast(anchors) if n_anchors <= BROADCAST_NAMES else anchors
     candidates = windows.join(side, [*scope, "gram"]).select(key, "name").distinct()
-    found = candidates.join(texts.select(key, text), key).where(F.contains(text, F.col("name")))
     longest_first = F.transform(
         F.array_sort(
             F.collect_list(F.struct((-F.length("name")).alias("len"), F.col("name").alias("name")))
         ),
         lambda s: s["name"],
     )
-    return found.groupBy(key).agg(longest_first.alias("known_names"))
+    return candidates.groupBy(key).agg(longest_first.alias("known_names"))
 
 
 def mask_texts(texts: DataFrame, key: str, text: str, names: DataFrame, scope=None) -> DataFrame:
-    hits = names_in_texts(texts, key, text, names, scope)
+    """Masked texts. The candidate names are a small written table; while it stays small it is
+    broadcast, so the texts themselves are never shuffled."""
+    hits = cut_lineage(names_in_texts(texts, key, text, names, scope))
+    n_chars = hits.agg(F.sum(F.length(F.array_join("known_names", " ")) + 32)).first()[0] or 0
+    side = F.broadcast(hits) if n_chars <= BROADCAST_CHARS else hits
     none = F.array().cast("array<string>")
     return (
-        texts.join(hits, key, "left")
+        texts.join(side, key, "left")
         .withColumn(text, mask_text(F.col(text), F.coalesce("known_names", none)))
         .drop("known_names")
     )

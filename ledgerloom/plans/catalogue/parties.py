@@ -12,6 +12,7 @@ from ...operators import analytics, entities, quality
 from ...operators.components import label_records
 from ...operators.skew import first_per_key, last_per_key
 from ...schemas import conform, provenance
+from ...session import cut_lineage, spread
 from .base import Tables, query, sql_money
 
 # ---- shared shapes -----------------------------------------------------------------------------
@@ -189,18 +190,18 @@ def document_keys(t: Tables) -> DataFrame:
             ("shape", F.concat_ws("/", "source", F.col("n_chars").cast("string"))),
         )
     ]
-    return (
-        t("documents")
+    keys = (
+        spread(t("documents").select("doc_id", "text", "source", "n_chars"))
         .select("doc_id", F.explode(F.array(*kinds)).alias("k"))
         .select("doc_id", "k.kind", "k.value")
         .where("value IS NOT NULL")
     )
+    # the texts are read once; everything after works on these short keys
+    return cut_lineage(keys)
 
 
-def labelled_documents(t: Tables) -> DataFrame:
-    return label_records(
-        t("documents").select("doc_id"), document_keys(t), "doc_id", ["kind", "value"]
-    )
+def labelled_documents(t: Tables, keys: DataFrame) -> DataFrame:
+    return label_records(t("documents").select("doc_id"), keys, "doc_id", ["kind", "value"])
 
 
 SQL_DOC_COMPONENTS = """keys AS MATERIALIZED (
@@ -217,7 +218,7 @@ components AS (SELECT doc_id, min(label) AS component FROM reach GROUP BY 1)"""
 
 @query("entity_components", f"WITH RECURSIVE {SQL_DOC_COMPONENTS} SELECT * FROM components")
 def entity_components(t: Tables) -> DataFrame:
-    return labelled_documents(t)
+    return labelled_documents(t, document_keys(t))
 
 
 @query(
@@ -230,8 +231,8 @@ SELECT kind, count(*) AS n_keys, count(*) FILTER (docs > 1) AS n_shared_keys,
 )
 def entity_key_collisions(t: Tables) -> DataFrame:
     """No identifier may end up in two entities."""
-    keys = document_keys(t).distinct()
-    owned = keys.join(labelled_documents(t), "doc_id")
+    keys = document_keys(t)
+    owned = keys.join(labelled_documents(t, keys), "doc_id")
     clashes = quality.shared_identifiers(owned, "component", ["kind", "value"])
     per_key = keys.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_docs"))
     return (

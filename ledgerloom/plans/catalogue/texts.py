@@ -11,6 +11,7 @@ from ...functions.text import json_text, nested_json_text, short_class, strict_j
 from ...operators import masking, quality, records
 from ...operators.residual import residual_identifiers
 from ...operators.skew import lag_in_chunks
+from ...session import spread
 from ...sources.embedded import json_objects, json_responses
 from ...sources.files import string_inventory
 from .base import Tables, query, sql_rejoin, sql_words
@@ -208,7 +209,7 @@ def token_positions(t: Tables) -> DataFrame:
 def narrations(t: Tables) -> DataFrame:
     """Prose with identifiers in it, made from orders."""
     n, c = F.col("o_orderkey"), F.col("o_custkey")
-    return t("orders").select(
+    return spread(t("orders").select("o_orderkey", "o_custkey")).select(
         F.lit("case").alias("case_id"),
         F.col("o_orderkey"),
         F.concat(
@@ -388,7 +389,7 @@ def mask_documents(t: Tables) -> DataFrame:
     """Whole documents, with the opening words of every benchmark passage as the known names."""
     name = F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("name")
     names = t("benchmark").select(name).where(F.length("name") > 2).distinct()
-    texts = t("documents").select("doc_id", "text")
+    texts = spread(t("documents").select("doc_id", "text"))
     out = masking.mask_texts(texts, "doc_id", "text", names)
     return out.select(
         "doc_id",
@@ -473,7 +474,8 @@ SQL_LEAD = r"""^(?i:token|secret|passw(?:or)?d|api[_\-]?key)["'']?\s*[:=]\s*["''
 SELECT doc_id, md5(out) AS redacted_md5, out <> s AS changed, length(out) AS n_chars FROM r""",
 )
 def redact_secrets(t: Tables) -> DataFrame:
-    out = t("documents").select("doc_id", "text", secrets.redact_text("text").alias("out"))
+    texts = spread(t("documents").select("doc_id", "text"))
+    out = texts.select("*", secrets.redact_text("text").alias("out"))
     return out.select(
         "doc_id",
         F.md5(F.col("out").cast("binary")).alias("redacted_md5"),
@@ -527,7 +529,7 @@ FROM runs GROUP BY 1""",
 )
 def leak_gate(t: Tables) -> DataFrame:
     return quality.leak_counts(
-        t("documents"), ["source"], "text", ["example.com", "token = "], F.col("source") == "src3"
+        spread(t("documents").select("source", "text")), ["source"], "text", ["example.com", "token = "], F.col("source") == "src3"
     )
 
 
@@ -539,7 +541,7 @@ HAVING count(*) > 0""",
 )
 def token_hygiene(t: Tables) -> DataFrame:
     return quality.token_hygiene(
-        {"documents": t("documents").select("text", "lang", "source"), "part": t("part").select("p_name")}
+        {"documents": spread(t("documents").select("text", "lang", "source")), "part": t("part").select("p_name")}
     )
 
 
@@ -560,7 +562,8 @@ def ciphertext_shape(t: Tables) -> DataFrame:
         .when(n == 2, F.left(coded, F.lit(40)))
         .otherwise(F.col("text"))
     )
-    return t("documents").select("doc_id", parties.ciphertext_shaped(body).alias("ciphertext"))
+    texts = spread(t("documents").select("doc_id", "text"))
+    return texts.select("doc_id", parties.ciphertext_shaped(body).alias("ciphertext"))
 
 
 @query(

@@ -42,6 +42,16 @@ def local_session(cores: str = "8", app: str = "ledgerloom") -> SparkSession:
     return tune(spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before work that is heavy per row.
+
+    A table of many files has splits enough and stays as it is: shuffling its texts would cost more
+    than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
