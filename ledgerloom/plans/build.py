@@ -21,33 +21,19 @@ from .normalisers import REGISTRY, LandedSources
 SQLITE_MAGIC = b"SQLite format 3\x00"
 
 
-def _settings(spark: SparkSession, inventory: DataFrame) -> DataFrame:
-    """Key/value XML of every case through the XML reader, tied back to the inventory by path."""
-    roots = [r.root for r in inventory.select("root").distinct().limit(100_001).collect()]
-    # one reader over the given folders; the list has one entry per case folder root
-    read = fs.settings_xml(spark, sorted(roots))
-    keyed = inventory.where(F.lower("name").endswith(".xml")).withColumn(
-        "full", F.concat("root", F.lit("/"), "path")
-    )
-    found = read.withColumn("full", F.regexp_replace(F.url_decode("file"), "^file:/+", "/"))
-    return found.join(keyed, "full").select(
-        "case_id", "path", "name", "sha256", "key", "value"
-    )
-
-
-def run_normalisers(sources: LandedSources, store: str, names: list[str] | None = None):
+def run_normalisers(
+    spark: SparkSession, sources: LandedSources, store: str, names: list[str] | None = None
+) -> DataFrame:
     """Write every domain; returns (normaliser, domain, rows) as the run log.
 
     A source that fails is logged with -1 and does not stop the others.
     """
-    spark = None
     by_domain, log = defaultdict(list), []
     for name, n in REGISTRY.items():
         if names and name not in names:
             continue
         try:
             df = n(sources).withColumn("normaliser", F.lit(name))
-            spark = df.sparkSession
             by_domain[n.domain].append((name, df))
         except Exception as e:  # noqa: BLE001  (schema surprises of one source)
             log.append((name, n.domain, -1, str(e)[:500]))
@@ -91,9 +77,7 @@ def build(spark: SparkSession, cases: DataFrame, store: str, bank_defaults: Data
     sqlite.land(sqlite.sqlite_rows(databases), f"{store}/_rows")
     landed = spark.read.parquet(f"{store}/_rows")
 
-    sources = LandedSources(landed, hashed, _settings(spark, hashed))
-    sources.bank_defaults = bank_defaults
-    log = run_normalisers(sources, store)
+    log = run_normalisers(spark, LandedSources(landed, hashed, bank_defaults), store)
     log.write.mode("overwrite").parquet(f"{store}/_run_log")
     domains = {
         d: read_domain(spark, store, d)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...schemas import conform, provenance
+from ...sources.files import contents, settings
 
 #: columns that describe the source row next to its fields
 SOURCE = ("case_id", "source_file", "source_table", "rowid", "sha256", "read_mode", "raw")
@@ -39,8 +40,10 @@ class Sources:
 class LandedSources(Sources):
     """Sources over landed rows (see ``sources.sqlite.ROWS``) and a file inventory."""
 
-    def __init__(self, rows: DataFrame, inventory: DataFrame, xml: DataFrame | None = None):
-        self._rows, self._inventory, self._xml = rows, inventory, xml
+    def __init__(
+        self, rows: DataFrame, inventory: DataFrame, bank_defaults: DataFrame | None = None
+    ):
+        self._rows, self._inventory, self.bank_defaults = rows, inventory, bank_defaults
 
     def _source(self, rows: DataFrame) -> list[Column]:
         return [*[F.col(c) for c in SOURCE[:-1]], F.to_json("row").alias("raw")]
@@ -57,13 +60,11 @@ class LandedSources(Sources):
         return found.select(*self._source(found), "row")
 
     def files(self, path_pattern):
-        from ...sources.files import contents
-
         hits = self._inventory.where(F.col("path").rlike(path_pattern))
         return contents(hits).join(hits.select("case_id", "path", "sha256"), ["case_id", "path"])
 
     def settings(self, path_pattern):
-        return self._xml.where(F.col("path").rlike(path_pattern))
+        return settings(self.files(path_pattern), ["case_id", "path", "name", "sha256"])
 
 
 class FrameSources(Sources):
@@ -74,9 +75,10 @@ class FrameSources(Sources):
         spark: SparkSession,
         tables: dict[str, DataFrame],
         files: DataFrame | None = None,
-        xml: DataFrame | None = None,
+        bank_defaults: DataFrame | None = None,
     ):
-        self._spark, self._tables, self._files, self._xml = spark, tables, files, xml
+        self._spark, self._tables, self._files = spark, tables, files
+        self.bank_defaults = bank_defaults
 
     def rows(self, file_pattern, table, *columns):
         df = self._tables.get(table)
@@ -117,7 +119,7 @@ class FrameSources(Sources):
         return self._files.where(F.col("path").rlike(path_pattern))
 
     def settings(self, path_pattern):
-        return self._xml.where(F.col("path").rlike(path_pattern))
+        return settings(self.files(path_pattern), ["case_id", "path", "name", "sha256"])
 
 
 @dataclass(frozen=True)

@@ -49,11 +49,10 @@ def changed_from_default(rows: DataFrame, defaults: DataFrame, key: str, value:
 @normaliser("config.bank", "config")
 def bank_config(src: Sources) -> DataFrame:
     rows = src.rows(r"^bank_app_manager_database$", "bankAppManagerTable", "key", "value")
-    defaults = getattr(src, "bank_defaults", None)
-    if defaults is None:
+    if src.bank_defaults is None:
         rows = rows.withColumn("is_changed_from_default", F.lit(None).cast("boolean"))
     else:
-        rows = changed_from_default(rows, defaults, "key", "value")
+        rows = changed_from_default(rows, src.bank_defaults, "key", "value")
     shown = redact_value("key", "value").alias("value")
     return rows.select(
         *_config("key", "value", shown, F.col("is_changed_from_default")), from_row(), "raw"
