@@ -20,48 +20,45 @@ def no_time() -> Column:
     return F.lit(None).cast(TIME_STRUCT)
 
 
+#: unit -> (smallest number read as it, largest one that still is a year up to 9999)
+EPOCH_UNITS = {
+    "webkit_us": (10**15, (LAST_SECOND + WEBKIT_EPOCH_OFFSET_S) * 10**6 + 999_999),
+    "unix_ms": (10**11, LAST_SECOND * 1000 + 999),
+    "unix_s": (10**9, LAST_SECOND),
+}
+
+
+def _instant(unit: str, n: Column) -> Column:
+    if unit == "webkit_us":
+        return F.timestamp_micros(n - WEBKIT_EPOCH_OFFSET_S * 1_000_000)
+    return F.timestamp_millis(n) if unit == "unix_ms" else F.timestamp_seconds(n)
+
+
 def decode_epoch(c: Column | str, hint: str | None = None) -> Column:
-    """``struct(raw, epoch_type, utc)`` of a number whose unit is told by its size (or ``hint``)."""
+    """``struct(raw, epoch_type, utc)`` of a number whose unit is told by its size (or ``hint``).
+
+    ``c`` is mentioned many times below: give a computed value a column of its own first.
+    """
     raw = col(c).cast("string")
-    whole = is_integer_text(raw)
     n = F.trim(raw).try_cast("bigint")
-    unreadable = whole & n.isNull()
-    negative = F.trim(raw).startswith("-")
-    if hint:
-        kind = F.lit(hint)
-    else:
-        kind = (
-            F.when(n >= 1_000_000_000_000_000, "webkit_us")
-            .when(n >= 100_000_000_000, "unix_ms")
-            .when(n >= 1_000_000_000, "unix_s")
-            .otherwise("unknown")
-        )
-    second = (
-        F.when(kind == "webkit_us", F.floor(n / 1_000_000) - WEBKIT_EPOCH_OFFSET_S)
-        .when(kind == "unix_ms", F.floor(n / 1_000))
-        .when(kind == "unix_s", n)
-    )
-    in_range = second.between(-62_135_596_800, LAST_SECOND)
+    units = {hint: (1, EPOCH_UNITS[hint][1])} if hint else EPOCH_UNITS
     label = (
-        F.when(raw.isNull() | ~whole, F.lit(None).cast("string"))
-        .when(unreadable, F.when(negative, "invalid").otherwise("out_of_range"))
+        F.when(raw.isNull() | ~is_integer_text(raw), F.lit(None).cast("string"))
         .when(n <= 0, "invalid")
-        .when(kind == "unknown", "unknown")
-        .when(~in_range, "out_of_range")
-        .otherwise(kind)
-    )
-    utc = (
-        F.when(label == "webkit_us", F.timestamp_micros(n - WEBKIT_EPOCH_OFFSET_S * 1_000_000))
-        .when(label == "unix_ms", F.timestamp_millis(n))
-        .when(label == "unix_s", F.timestamp_seconds(n))
+        .when(n.isNull(), F.when(F.trim(raw).startswith("-"), "invalid").otherwise("out_of_range"))
     )
-    return F.struct(raw.alias("raw"), label.alias("epoch_type"), utc.alias("utc"))
-
-
-def first_epoch(*cs: Column | str) -> Column:
-    """Decode the first filled-in column; no filled-in column gives no time at all."""
-    value = F.coalesce(*[F.nullif(present(c), F.lit("0")) for c in cs])
-    return F.when(value.isNotNull(), decode_epoch(value))
+    utc = None
+    for unit, (least, most) in units.items():
+        label = label.when(n.between(least, most), unit)
+        instant = _instant(unit, n)
+        utc = (F if utc is None else utc).when(n.between(least, most), instant)
+        label = label.when(n >= least, "out_of_range")
+    return F.struct(raw.alias("raw"), label.otherwise("unknown").alias("epoch_type"), utc.alias("utc"))
+
+
+def first_filled(*cs: Column | str) -> Column:
+    """The first time column that is filled in (0 is not)."""
+    return F.coalesce(*[F.nullif(present(c), F.lit("0")) for c in cs])
 
 
 def http_date(c: Column | str) -> Column:

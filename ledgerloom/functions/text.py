@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BULLET = "•"
@@ -137,13 +137,28 @@ def nested_json_text(c: Column | str, outer: str, inner: str) -> Column:
     return F.get_json_object(F.get_json_object(col(c), outer), inner)
 
 
-def strict_json(c: Column | str) -> Column:
-    """The text when it is exactly one JSON value, else null.
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds an expensive column that later filters and projections share.
 
-    The path functions stop reading once they have their answer, so they accept a document with
-    garbage behind it; as the only element of an array it has to be whole.
+    Filters on a plain computed column are pushed below it with the computation copied into them;
+    they are not pushed below a generator, which here makes exactly one row of each.
     """
-    v = F.try_parse_json(F.concat(F.lit("["), col(c), F.lit("]")))
-    one = F.try_variant_get(v, "$[0]", "variant").isNotNull()
-    more = F.try_variant_get(v, "$[1]", "variant").isNotNull()
-    return F.when(one & ~more, col(c))
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def with_document(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ``out``: the JSON document of a text column, parsed once; null unless the text is exactly
+    one document.
+
+    The path functions over text stop reading once they have their answer, so they accept garbage
+    behind a document; as the only element of an array it has to be whole.
+    """
+    parsed = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))
+    alone = F.try_variant_get("_parsed", "$[1]", "variant").isNull()
+    once = computed_once(df, "_parsed", parsed)
+    return once.withColumn(out, F.when(alone, F.col("_parsed"))).drop("_parsed")
+
+
+def in_document(c: Column | str, path: str, kind: str = "string") -> Column:
+    """A field of a document made by :func:`with_document`; ``path`` starts below the root."""
+    return F.try_variant_get(col(c), "$[0]" + path, kind)

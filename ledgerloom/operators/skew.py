@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -38,7 +37,7 @@ def lookup_weighted(big: DataFrame, dim: DataFrame, on: Sequence[str], weight: s
     hot = dim.orderBy(F.desc(weight), *on).limit(HOT_KEYS)
     hot = hot.select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_hot"))
     marked = big.join(F.broadcast(hot), list(on), "left")
-    spread = F.concat(F.lit("\x00"), F.xxhash64(*big.columns).cast("string"))
+    spread = _filler(big, on)
     key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in on])
     open_key = F.when(F.col("_hot").isNull(), key).otherwise(spread)
     rest = dim.select(key.alias("_key"), F.struct(F.lit(True).alias("_hit"), *values).alias("_dim"))
@@ -63,24 +62,33 @@ def lookup_salted(
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
-def left_lookup(
-    big: DataFrame, dim: DataFrame, on: str, scope: Sequence[str], spread: Sequence
-) -> DataFrame:
+def _filler(df: DataFrame, but: Sequence[str] = ()) -> Column:
+    """A key that matches nothing, spread evenly and the same again when a task is retried."""
+    atomic = [
+        f.name
+        for f in df.schema.fields
+        if isinstance(f.dataType, (T.StringType, T.NumericType)) and f.name not in but
+    ]
+    return F.concat(F.lit("\x00"), F.xxhash64(*(atomic or df.columns)).cast("string"))
+
+
+def left_lookup(big: DataFrame, dim: DataFrame, on: str, scope: Sequence[str]) -> DataFrame:
     """Left join on one nullable key. Rows without a key match nothing; they get a throw-away key
     so that a shuffle does not send all of them to one task."""
-    filler = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*spread), F.lit(1024)).cast("string"))
-    keyed = big.withColumn("_key", F.coalesce(F.col(on).cast("string"), filler))
+    keyed = big.withColumn("_key", F.coalesce(F.col(on).cast("string"), _filler(big, [on])))
     side = dim.withColumn("_key", F.col(on).cast("string")).drop(on)
     return keyed.join(side, [*scope, "_key"], "left").drop("_key")
 
 
 def anti_known(df: DataFrame, known: DataFrame, on: dict[str, str], scope: Sequence[str] = ()):
-    """Rows whose key is not in ``known``. Rows without a key are kept and take no part in the join
-    (a shuffle would send all of them to one task)."""
-    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    keys = known.select(*scope, *[F.col(k).alias(c) for c, k in on.items()]).distinct()
-    rest = df.where(~keyless).join(keys, [*scope, *on], "left_anti")
-    return df.where(keyless).unionByName(rest)
+    """Rows whose key is not in ``known``; ``on`` maps columns of ``df`` to columns of ``known``.
+    Rows without a key are kept and spread like in :func:`left_lookup`."""
+    names = {c: f"_key_{c}" for c in on}
+    keys = known.select(*scope, *[F.col(on[c]).cast("string").alias(k) for c, k in names.items()])
+    filler = _filler(df, list(on))
+    keyed = df.withColumns({k: F.coalesce(F.col(c).cast("string"), filler) for c, k in names.items()})
+    keys = keys.dropna(subset=list(names.values())).distinct()
+    return keyed.join(keys, [*scope, *names.values()], "left_anti").drop(*names.values())
 
 
 def lag_in_chunks(

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from ...functions import configtext, masks, parties, secrets
 from ...functions.clocks import http_date, shift_hours
-from ...functions.text import json_text, nested_json_text, short_class, strict_json, to_bigint, to_double, truncate
+from ...functions.text import (
+    in_document,
+    json_text,
+    nested_json_text,
+    short_class,
+    to_bigint,
+    to_double,
+    truncate,
+    with_document,
+)
 from ...operators import masking, quality, records
 from ...operators.residual import residual_identifiers
 from ...operators.skew import lag_in_chunks
@@ -105,12 +114,12 @@ def json_column_extract(t: Tables) -> DataFrame:
         .otherwise(F.col("props"))
     )
     rows = t("events").select("event_id", doc.alias("doc"))
-    whole = rows.withColumn("doc", strict_json("doc"))
+    whole = with_document(rows, "doc", "parsed")
     return whole.select(
         "event_id",
-        to_double(json_text("doc", "$.amount")).alias("amount"),
-        to_bigint(json_text("doc", "$.k")).alias("k"),
-        json_text("doc", "$.deep.k").alias("deep"),
+        to_double(in_document("parsed", ".amount")).alias("amount"),
+        to_bigint(in_document("parsed", ".k")).alias("k"),
+        in_document("parsed", ".deep.k").alias("deep"),
     )
 
 

@@ -190,7 +190,8 @@ def timestamp_decode(t: Tables) -> DataFrame:
         .when(n == 4, (-F.col("event_id")).cast("string"))
         .otherwise(F.col("event_type"))
     )
-    decoded = t("events").select("event_id", decode_epoch(raw).alias("t"))
+    numbered = t("events").select("event_id", raw.alias("raw"))
+    decoded = numbered.select("event_id", decode_epoch("raw").alias("t"))
     return decoded.select(
         "event_id", "t.raw", "t.epoch_type", F.col("t.utc").cast("timestamp_ntz").alias("utc")
     )
@@ -209,7 +210,7 @@ def timestamp_census(t: Tables) -> DataFrame:
     def numbers(table: str, column: str, per_second: int) -> tuple[DataFrame, str]:
         micros = F.unix_micros(F.col(column).cast("timestamp"))
         value = F.floor(micros / (1_000_000 // per_second))
-        return t(table).select(decode_epoch(value).alias("t")), "t"
+        return t(table).select(value.alias("n")).select(decode_epoch("n").alias("t")), "t"
 
     census = quality.timestamp_census(
         {

@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from ...functions import codes
 from ...functions.clocks import decode_epoch
 from ...functions.parties import first_token_mobile, last_token_rrn
-from ...functions.text import first_present, json_text, present, strict_json, to_bigint, to_double
+from ...functions.text import (
+    first_present,
+    in_document,
+    present,
+    to_bigint,
+    to_double,
+    with_document,
+)
 from ...operators.ledger import chat_direction, chat_settled
 from ...operators.skew import anti_known, first_per_key, left_lookup, lookup_salted
 from .base import Sources, from_row, is_one, normaliser
@@ -41,15 +48,14 @@ def passbook(src: Sources) -> DataFrame:
         ["rowid"],
         ["inst_name", "inst_id", "inst_type"],
     )
-    t = left_lookup(listing, instrument, "sourceTxnId", ["case_id"], ["rowid"])
-    for c in ("userInstrumentInfo", "secondPartyInfo"):
-        t = t.withColumn(c, strict_json(c))
+    t = left_lookup(listing, instrument, "sourceTxnId", ["case_id"])
+    t = with_document(with_document(t, "userInstrumentInfo", "used"), "secondPartyInfo", "party")
     own = present("inst_id")
 
     def head(name: str) -> Column:
-        return json_text("userInstrumentInfo", f"$[0].{name}")
+        return in_document("used", f"[0].{name}")
 
-    account = F.coalesce(own, head("identifier"))
+    t = t.withColumn("account", F.coalesce(own, head("identifier")))
     return t.select(
         "case_id",
         F.col("txnId").alias("txn_id"),
@@ -57,17 +63,17 @@ def passbook(src: Sources) -> DataFrame:
         to_double("amount").alias("amount"),
         codes.txn_direction("txnIndicator").alias("direction"),
         F.col("identifier").alias("counterparty_vpa"),
-        json_text("secondPartyInfo", "$.name").alias("counterparty_name"),
+        in_document("party", ".name").alias("counterparty_name"),
         F.coalesce(present("mobileNumber"), first_token_mobile("searchableStrings")).alias(
             "counterparty_mobile"
         ),
         last_token_rrn("searchableStrings").alias("rrn"),
-        account.alias("account_used"),
+        F.col("account").alias("account_used"),
         F.when(own.isNotNull(), F.col("inst_type")).otherwise(head("accountType")).alias(
             "account_type"
         ),
-        codes.bank_name(account).alias("account_bank"),
-        codes.bank_branch(account).alias("account_branch"),
+        codes.bank_name("account").alias("account_bank"),
+        codes.bank_branch("account").alias("account_branch"),
         F.col("streamSource").alias("payment_mode"),
         F.col("statusKey").alias("status_raw"),
         codes.txn_status("statusKey").alias("status_label"),
@@ -123,14 +129,14 @@ def channel_party(src: Sources) -> DataFrame:
     )
 
 
-def chat_amount(data: str = "data") -> Column:
+def chat_amount(doc: str) -> Column:
     """``amount``, else ``displayAmount``; a JSON number 0 counts as not given, text "0" does not."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(data), "$.amount", "variant"))
-    amount = present(json_text(data, "$.amount"))
+    kind = F.schema_of_variant(in_document(doc, ".amount", "variant"))
+    amount = present(in_document(doc, ".amount"))
     zero_number = (to_double(amount) == 0) & (kind != "STRING")
     return to_double(
         F.when(F.coalesce(~zero_number, F.lit(False)), amount).otherwise(
-            json_text(data, "$.displayAmount")
+            in_document(doc, ".displayAmount")
         )
     )
 
@@ -141,35 +147,43 @@ def chat_payments(src: Sources) -> DataFrame:
     messages = src.rows(
         CHAT, "ChatMessageEntity",
         "data", "messageContent", "senderName", "senderId", "createdAt", "customType", "channelUrl",
-    ).withColumn("data", strict_json("data"))
-    m = messages.where("data IS NOT NULL").withColumn("amount", chat_amount()).where("amount IS NOT NULL")
-    m = m.withColumn("source_txn_id", present(json_text("data", "$.uniqueKey")))
+    )
+    m = with_document(messages, "data", "doc")
+    fields = {
+        "txn_id": in_document("doc", ".txnId"),
+        "source_txn_id": present(in_document("doc", ".uniqueKey")),
+        "rrn": in_document("doc", ".rrn"),
+        "status": F.upper(
+            F.coalesce(present(in_document("doc", ".msgStatus")), present(in_document("doc", ".r_sts")))
+        ),
+        "payment_mode": in_document("doc", ".paymentMode"),
+        "note": present(in_document("doc", ".note")),
+        "amount": chat_amount("doc"),
+    }
+    m = m.withColumns(fields).drop("doc", "data").where("amount IS NOT NULL")
     listed = src.rows(PASSBOOK, "UthListingEntity", "sourceTxnId").where(
         present("sourceTxnId").isNotNull()
     )
     m = anti_known(m, listed, {"source_txn_id": "sourceTxnId"}, ("case_id",))
     m = lookup_salted(m, subject_sender(src), ["case_id"], ["rowid"])
     m = lookup_salted(m, channel_party(src), ["case_id", "channelUrl"], ["rowid"])
-    status = F.upper(F.coalesce(present(json_text("data", "$.msgStatus")),
-                                present(json_text("data", "$.r_sts"))))
     mine = present("subject_id").isNotNull() & (F.col("senderId") == F.col("subject_id"))
-    reference = json_text("data", "$.rrn")
     return m.select(
         "case_id",
-        json_text("data", "$.txnId").alias("txn_id"),
+        "txn_id",
         "source_txn_id",
         "amount",
-        chat_direction("customType", status, reference, mine).alias("direction"),
+        chat_direction("customType", "status", "rrn", mine).alias("direction"),
         F.when(F.col("party_name").isNotNull(), F.col("party_name"))
         .otherwise(F.col("senderName"))
         .alias("counterparty_name"),
         F.col("party_phone").alias("counterparty_mobile"),
-        reference.alias("rrn"),
-        json_text("data", "$.paymentMode").alias("payment_mode"),
-        status.alias("status_label"),
+        "rrn",
+        "payment_mode",
+        F.col("status").alias("status_label"),
         F.col("messageContent").alias("narration"),
-        present(json_text("data", "$.note")).alias("note"),
-        chat_settled("customType", status).alias("settled"),
+        "note",
+        chat_settled("customType", "status").alias("settled"),
         F.lit("chat").alias("txn_source"),
         decode_epoch("createdAt").alias("timestamp"),
         from_row(),

@@ -39,8 +39,9 @@ def cookies(src: Sources) -> DataFrame:
 @normaliser("webview.cache", "webcache")
 def web_cache(src: Sources) -> DataFrame:
     files = src.files(r"(?i)service worker/cachestorage.*_0$")
-    found = json_responses(files, [*FILE_KEYS, "size"])
-    created = present(json_text("body", "$.created"))
+    found = json_responses(files, [*FILE_KEYS, "size"]).withColumn(
+        "at", present(json_text("body", "$.created"))
+    )
     return found.select(
         "case_id",
         "url",
@@ -48,7 +49,7 @@ def web_cache(src: Sources) -> DataFrame:
         json_text("body", "$.userId").alias("user_id"),
         "size",
         truncate(redact_text("body"), 400).alias("body_preview"),
-        F.when(created.isNotNull(), decode_epoch(created)).alias("created"),
+        F.when(F.col("at").isNotNull(), decode_epoch("at")).alias("created"),
         from_file(0.7),
     )
 
