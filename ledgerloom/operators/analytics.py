@@ -64,7 +64,11 @@ def activity_series(timeline: DataFrame) -> DataFrame:
 
 
 def subject_profile(person: DataFrame, accounts: DataFrame, prefs: DataFrame) -> DataFrame:
-    """The device owner of each case; a missing bank is filled from the linked accounts."""
+    """The device owner of each case; a missing bank is filled from the linked accounts.
+
+    One row per case; only a case with more than a thousand different banks continues in further
+    rows, told apart by ``segment``.
+    """
     subjects = (
         person.where("is_subject")
         .groupBy("case_id")
@@ -78,7 +82,7 @@ def subject_profile(person: DataFrame, accounts: DataFrame, prefs: DataFrame) ->
         .select("case_id", "s.*")
     )
     banks = set_segments(accounts.where(present("bank_name").isNotNull()), ["case_id"], "bank_name", "b")
-    banks = banks.where("segment = 0").select("case_id", F.array_join("b", ", ").alias("banks"))
+    banks = banks.select("case_id", "segment", F.array_join("b", ", ").alias("banks"))
     settings = prefs.groupBy("case_id").agg(
         *[
             F.min_by("value", F.when(F.col("key") == k, F.col("provenance.source_file"))).alias(k)
@@ -89,5 +93,6 @@ def subject_profile(person: DataFrame, accounts: DataFrame, prefs: DataFrame) ->
         subjects.join(banks, "case_id", "left")
         .join(settings, "case_id", "left")
         .withColumn("bank_name", F.coalesce(present("bank_name"), "banks"))
+        .withColumn("segment", F.coalesce("segment", F.lit(0)))
         .drop("banks")
     )

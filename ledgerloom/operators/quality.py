@@ -147,11 +147,13 @@ def shared_identifiers(keys: DataFrame, owner: str, key_cols: Sequence[str]) ->
 def ledger_checks(primary: DataFrame, second: DataFrame, merged: DataFrame, key: str) -> DataFrame:
     """Duplicate ids, overlap of the two sources and rows without a key, as one row."""
     sizes = merged.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    dup = sizes.agg(F.count_if(F.col("n") > 1).alias("n_duplicate_ids"))
-    both = key_overlap(primary, second, key).select(F.col("n_both").alias("n_in_both_sources"))
-    keyless = merged.agg(F.count_if(F.col(key).isNull()).alias("n_without_key"))
-    # three one-row tables side by side
-    return dup.join(F.broadcast(both)).join(F.broadcast(keyless))
+    repeated = sizes.agg(F.count_if(F.col("n") > 1))
+    shared = key_overlap(primary, second, key).select("n_both")
+    return merged.agg(F.count_if(F.col(key).isNull()).alias("n_without_key")).select(
+        repeated.scalar().alias("n_duplicate_ids"),
+        shared.scalar().alias("n_in_both_sources"),
+        "n_without_key",
+    )
 
 
 def timeline_completeness(txns: DataFrame, timeline: DataFrame, key: str) -> DataFrame:

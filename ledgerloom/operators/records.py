@@ -169,12 +169,9 @@ def sort_keys(column: str, schema: T.StructType, descending: bool = False) -> li
 
 def preview(df: DataFrame, order: list, n: int = 500) -> DataFrame:
     """First ``n`` rows plus, on each, how many more there are."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    first = df.orderBy(*order).limit(n)
-    # one row on the right side: the count of the table
-    return first.join(F.broadcast(total)).withColumn(
-        "more_rows", F.greatest(F.col("_total") - n, F.lit(0))
-    ).drop("_total")
+    total = df.agg(F.count(F.lit(1)))
+    more = F.greatest(total.scalar() - F.lit(n), F.lit(0))
+    return df.orderBy(*order).limit(n).withColumn("more_rows", more)
 
 
 def domain_counts(domains: dict[str, DataFrame]) -> DataFrame:

@@ -49,12 +49,13 @@ def lookup_weighted(big: DataFrame, dim: DataFrame, on: Sequence[str], weight: s
 
 
 def lookup_salted(
-    big: DataFrame, dim: DataFrame, on: Sequence[str], salt_from: Sequence, salts: int = 16
+    big: DataFrame, dim: DataFrame, on: Sequence[str], salt_from: Sequence, salts: int = 64
 ) -> DataFrame:
     """Left join to a small-per-key dimension (one row per key) with the key spread over salts.
 
     For dimensions much smaller than ``big`` (one row per case, per channel): the copies of the
-    dimension are cheap and the rows of a hot key land in ``salts`` tasks.
+    dimension are cheap and the rows of a hot key land in ``salts`` partitions, which adaptive
+    execution splits further where they are still oversized.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -222,6 +222,10 @@ def queued_sdk_events(src: Sources) -> DataFrame:
     )
 
 
+# Fixed value: key of the cart row.
+CART_KEY = "paytm_mall_cart"
+
+
 @normaliser("appstate.cart", "appstate")
 def shopping_cart(src: Sources) -> DataFrame:
     found = json_after(src.files(r"(^|/)common_storage$"), FILE_KEYS, "cartResponse")
@@ -233,7 +237,7 @@ def shopping_cart(src: Sources) -> DataFrame:
     date = json_text("body", "$.networkResponse.headers.date")
     return found.select(
         "case_id",
-        F.lit("mall_cart").alias("key"),
+        F.lit(CART_KEY).alias("key"),
         F.concat_ws(
             " ",
             F.concat(F.lit("cart_id="), cart("cart_id")),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.build import build
+from ledgerloom.plans.normalisers.webfiles import CART_KEY
 from ledgerloom.sources import files as fs
 from ledgerloom.sources import sqlite
 from ledgerloom.sources.sinks import read_domain, write_domain
@@ -141,7 +142,7 @@ def test_sealed_stores_are_only_catalogued(spark, store):
 
 def test_serialized_files(spark, store):
     state = {k: (v, d) for k, v, d in rows(spark, store, "appstate", "key", "value", "detail")}
-    assert state["mall_cart"][0] == "cart_id=9 count=2 items=2 customer_id=5 order_total=7"
+    assert state[CART_KEY][0] == "cart_id=9 count=2 items=2 customer_id=5 order_total=7"
     assert "<redacted:17 chars> | <redacted:15 chars> | event name" == state["facebook_sdk_queued_events"][1]
     crash = rows(spark, store, "crash", "session_id", "user_id", "preview", "start_time.epoch_type")
     assert crash == [("SID1", "U-7", "some keys", "unix_ms")]
