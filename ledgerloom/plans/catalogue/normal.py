@@ -61,7 +61,7 @@ def passbook_tables(t: Tables) -> dict[str, DataFrame]:
         F.col("tokens").alias("searchableStrings"),
     )
     part = F.col("l_partkey")
-    used = t("lineitem").where("l_linenumber <= 2").select(
+    used = t("lineitem").select(
         (F.col("l_linenumber") * F.lit(10_000_000_000) + part).alias("rowid"),
         text("S", F.col("l_orderkey")).alias("sourceTxnId"),
         text("P", part).alias("instrumentName"),
@@ -75,7 +75,7 @@ def passbook_tables(t: Tables) -> dict[str, DataFrame]:
 @query(
     "normalise_passbook",
     f"""WITH {SQL_TOKENS}, inst AS (SELECT l_orderkey, min_by(l_partkey,
-    l_linenumber::BIGINT * 10000000000 + l_partkey) AS pk FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+    l_linenumber::BIGINT * 10000000000 + l_partkey) AS pk FROM lineitem GROUP BY 1),
 base AS (SELECT *, CASE WHEN pk % 2 = 0 THEN '00_HDFC0' || lpad(pk::VARCHAR, 6, '0')
     ELSE '0_SBIN0' || lpad(o_orderkey::VARCHAR, 6, '0') END AS acct
   FROM orders JOIN cut USING (o_orderkey) LEFT JOIN inst ON l_orderkey = o_orderkey)
@@ -105,7 +105,7 @@ def normalise_passbook(t: Tables) -> DataFrame:
 
 @query(
     "normalise_accounts",
-    """WITH first_row AS (SELECT l_partkey FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 2 = 0
+    """WITH first_row AS (SELECT l_partkey FROM lineitem WHERE l_partkey % 2 = 0
   GROUP BY 1)
 SELECT '00_HDFC0' || lpad(l_partkey::VARCHAR, 6, '0') AS ifsc_or_branch, 'HDFC Bank' AS bank_name,
   'sav' AS account_type, l_partkey % 9 AS instrument_type FROM first_row""",
@@ -147,9 +147,9 @@ def chat_tables(t: Tables) -> dict[str, DataFrame]:
         F.when(n % 6 == 0, "ff00").otherwise("").alias("rawMessage"),
     )
     key = F.col("c_custkey")
-    few = t("customer").where("c_custkey < 200")
+    people = t("customer")
     age = text('{"jsonString":"{\\"customerCreationText\\":\\"since ', F.col("c_nationkey"), '\\"}"}')
-    users = few.select(
+    users = people.select(
         key.alias("rowid"),
         key.alias("userPrimaryKey"),
         (key == 8).cast("int").alias("isMe"),
@@ -162,7 +162,7 @@ def chat_tables(t: Tables) -> dict[str, DataFrame]:
         F.when(key % 5 == 0, age).alias("getInfoSync"),
         F.when(key % 5 == 1, age).alias("getPaymentInfoSync"),
     )
-    members = few.select(
+    members = people.select(
         key.alias("rowid"), text("ch", key % 40).alias("channelUrl"), key.alias("userPrimaryKey")
     )
     nation = F.col("n_nationkey")
@@ -185,7 +185,7 @@ def chat_tables(t: Tables) -> dict[str, DataFrame]:
 SQL_CHAT_STORE = """ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 users AS (SELECT c_custkey, 'sb' || c_custkey AS sb, c_custkey = 8 AS own,
     CASE WHEN c_custkey % 3 <> 0 THEN c_name WHEN c_custkey % 6 <> 0 THEN 'alt' || c_custkey END AS name,
-    CAST(8000000000 + c_custkey AS VARCHAR) AS phone FROM customer WHERE c_custkey < 200),
+    CAST(8000000000 + c_custkey AS VARCHAR) AS phone FROM customer),
 party AS (SELECT 'ch' || (c_custkey % 40) AS ch, min_by(name, c_custkey) AS party_name,
     min_by(phone, c_custkey) AS party_phone FROM users WHERE name IS NOT NULL AND NOT own GROUP BY 1),
 msg AS (SELECT ev.*, 'ch' || (user_id % 50) AS ch, k % 11 <> 0 AS ok,
@@ -238,7 +238,7 @@ def normalise_messages(t: Tables) -> DataFrame:
 @query(
     "normalise_channels",
     """WITH m AS (SELECT 'ch' || (user_id % 50) AS ch, count(*) AS n FROM events GROUP BY 1),
-c AS (SELECT 'ch' || (c_custkey % 40) AS ch, count(*) AS n FROM customer WHERE c_custkey < 200 GROUP BY 1)
+c AS (SELECT 'ch' || (c_custkey % 40) AS ch, count(*) AS n FROM customer GROUP BY 1)
 SELECT 'ch' || (n_nationkey * 2) AS channel_url, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS name,
   c.n AS member_count, coalesce(m.n, 0) AS message_count, m.n IS NOT NULL AS has_messages,
   make_timestamp(CASE WHEN n_nationkey % 3 = 0 THEN 1710000000 ELSE 1700000000 END * 1000000::BIGINT
@@ -262,7 +262,7 @@ def normalise_channels(t: Tables) -> DataFrame:
   CASE WHEN c_custkey % 4 = 0 THEN 'u' || c_custkey || '@ybl' ELSE '' END AS vpas,
   CASE WHEN c_custkey % 5 <= 1 THEN 'since ' || c_nationkey END AS account_age_text,
   'sb' || c_custkey AS sendbird_id
-FROM customer WHERE c_custkey < 200 AND c_custkey <> 8""",
+FROM customer WHERE c_custkey <> 8""",
 )
 def normalise_chat_users(t: Tables) -> DataFrame:
     return run(t, "contacts.users", chat_tables(t)).select(
@@ -368,7 +368,7 @@ def cookie_rows(t: Tables) -> DataFrame:
         .when(F.col("event_type") == "signup", "enteredPincode")
         .otherwise(F.col("event_type"))
     )
-    return t("events").where("event_id % 3 = 0").select(
+    return t("events").select(
         n.alias("rowid"),
         text("host", F.col("user_id")).alias("host_key"),
         name.alias("name"),
@@ -386,7 +386,7 @@ SQL_COOKIES = """cookies AS (SELECT event_id, 'host' || user_id AS host, ts,
     CASE event_type WHEN 'click' THEN 'Lat' WHEN 'view' THEN 'LONG' WHEN 'signup' THEN 'enteredPincode'
       ELSE event_type END AS name,
     CASE WHEN event_id % 30 = 0 THEN 'x token=abcdefgh' || event_id ELSE CAST(value AS VARCHAR) END AS v,
-    CASE WHEN event_id % 30 <> 0 THEN value END AS num FROM events WHERE event_id % 3 = 0)"""
+    CASE WHEN event_id % 30 <> 0 THEN value END AS num FROM events)"""
 
 
 @query(
@@ -441,10 +441,10 @@ def normalise_consents(t: Tables) -> DataFrame:
 @query(
     "normalise_jobs",
     """WITH items AS (SELECT 'w' || (l_orderkey // 4) AS id, 'n' || l_partkey AS name, l_orderkey::BIGINT * 1000000000
-    + l_linenumber * 100000000 + l_partkey AS rowid FROM lineitem WHERE l_linenumber <= 2),
+    + l_linenumber * 100000000 + l_partkey AS rowid FROM lineitem),
 names AS (SELECT id, string_agg(name, ',' ORDER BY rowid, name) AS job_names FROM items GROUP BY 1),
 tags AS (SELECT 'w' || (o_orderkey // 8) AS id, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS tags
-  FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
+  FROM orders GROUP BY 1)
 SELECT 'Job' || (o_orderkey % 7) || ' of w' || o_orderkey AS worker_class, coalesce(job_names, '') AS job_names,
   coalesce(tags, '') AS tags, CASE o_orderkey % 7 WHEN 0 THEN 'ENQUEUED' WHEN 1 THEN 'RUNNING'
     WHEN 2 THEN 'SUCCEEDED' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'BLOCKED' WHEN 5 THEN 'CANCELLED'
@@ -460,13 +460,13 @@ def normalise_jobs(t: Tables) -> DataFrame:
             text("Job", n % 7, " of w", n).alias("worker_class_name"),
             F.when(n % 2 == 0, millis("o_orderdate")).otherwise(0).alias("last_enqueue_time"),
         ),
-        "WorkName": t("lineitem").where("l_linenumber <= 2").select(
+        "WorkName": t("lineitem").select(
             (F.col("l_orderkey") * 1_000_000_000 + F.col("l_linenumber") * 100_000_000
              + F.col("l_partkey")).alias("rowid"),
             text("w", F.floor(F.col("l_orderkey") / 4)).alias("work_spec_id"),
             text("n", F.col("l_partkey")).alias("name"),
         ),
-        "WorkTag": t("orders").where("o_orderkey % 2 = 0").select(
+        "WorkTag": t("orders").select(
             n.alias("rowid"), text("w", F.floor(n / 8)).alias("work_spec_id"),
             F.col("o_orderpriority").alias("tag"),
         ),

@@ -9,11 +9,11 @@ from .base import Tables, query
 from .normal import run, text, utc
 
 
-def blobs(df: DataFrame, path: Column, content: Column) -> DataFrame:
-    """Files of one case as the file normalisers read them."""
+def blobs(df: DataFrame, path: Column, content: Column, case: Column | None = None) -> DataFrame:
+    """Files as the file normalisers read them, all of one case unless told otherwise."""
     body = content.cast("binary")
     return df.select(
-        F.lit("case").alias("case_id"),
+        (F.lit("case") if case is None else case).alias("case_id"),
         path.alias("path"),
         F.substring_index(path, "/", -1).alias("name"),
         F.length(body).cast("bigint").alias("size"),
@@ -74,15 +74,16 @@ def normalise_owner(t: Tables) -> DataFrame:
     "normalise_sealed_stores",
     """SELECT 'c' || doc_id || '.json' AS name, 'Vertical JSON cache' AS owning_module,
   length(base64(encode(text))) AS size FROM documents WHERE doc_id % 2 = 0 AND length(base64(encode(text))) >= 66
-UNION ALL SELECT 'DataUPI.xml', 'NPCI UPI security component', 12""",
+UNION ALL SELECT 'DataUPI.xml', 'NPCI UPI security component', 11 + length(s_suppkey::VARCHAR) FROM supplier""",
 )
 def normalise_sealed_stores(t: Tables) -> DataFrame:
     n = F.col("doc_id")
     coded = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"[\r\n]", "")
     body = F.when(n % 2 == 0, coded).otherwise(text('{"a":"', coded, '"}'))
     caches = blobs(t("documents"), text("shared_jsons/c", n, ".json"), body)
-    store = t("documents").where("doc_id IN (0, 1)")
-    sealed = blobs(store, text("d", n, "/DataUPI.xml"), F.lit("<map> </map>"))
+    s = F.col("s_suppkey")
+    path = text("d", s, "/DataUPI.xml")
+    sealed = blobs(t("supplier"), path, text("<map>", s, "</map>"), text("case", s))
     return run(t, "encrypted.catalogue", files=caches.unionByName(sealed)).select(
         "name", "owning_module", "size"
     )
@@ -231,7 +232,7 @@ def normalise_sdk_events(t: Tables) -> DataFrame:
     "normalise_cart",
     """SELECT 'cart_id=' || o_orderkey || ' count=' || (o_orderkey % 3) || ' items=' || (o_orderkey % 3) ||
     ' customer_id=' || o_custkey || ' order_total=None' AS value,
-  'https://order/' || o_orderkey AS detail, o_orderdate AS utc FROM orders WHERE o_orderkey % 10 = 0""",
+  'https://order/' || o_orderkey AS detail, o_orderdate AS utc FROM orders WHERE o_orderkey % 10 <> 0""",
 )
 def normalise_cart(t: Tables) -> DataFrame:
     n = F.col("o_orderkey")
@@ -242,7 +243,7 @@ def normalise_cart(t: Tables) -> DataFrame:
         '],"customer_id":', F.col("o_custkey"), ',"place_order_url":"https://order/', n,
         '"},"networkResponse":{"headers":{"date":"', date, ' GMT"}}}\x00',
     )
-    body = F.when(n % 10 == 0, body).otherwise("no document here")
+    body = F.when(n % 10 != 0, body).otherwise("no document here")
     files = blobs(t("orders"), text("app_data/", n, "/common_storage"), body)
     return run(t, "appstate.cart", files=files).select("value", "detail", utc())
 

@@ -587,7 +587,7 @@ def ciphertext_shape(t: Tables) -> DataFrame:
     """WITH pairs AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before
   FROM conversations)
 SELECT conv_id, turn, CASE WHEN before = 'system' OR role = 'system'
-  THEN '<redacted:' || length(text) || ' chars>' ELSE left(text, 60) END AS shown FROM pairs""",
+  THEN '<redacted:' || length(text) || ' chars>' ELSE text END AS shown FROM pairs""",
 )
 def previous_row_redact(t: Tables) -> DataFrame:
     """A value is cut to its length when the marker is on it or on the row before it."""
@@ -599,6 +599,6 @@ def previous_row_redact(t: Tables) -> DataFrame:
         "conv_id",
         "turn",
         F.when(marked, secrets.redaction(F.col("text")))
-        .otherwise(F.left("text", F.lit(60)))
+        .otherwise(F.col("text"))
         .alias("shown"),
     )

@@ -56,7 +56,7 @@ def domains(t: Tables) -> dict[str, DataFrame]:
         "message": t("conversations").select(
             case,
             F.col("role").alias("msg_type"),
-            F.left("text", F.lit(40)).alias("content"),
+            F.col("text").alias("content"),
             F.when(F.col("turn") % 3 == 0, F.lit(10.0)).alias("amount"),
             stamp(
                 F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn"))
@@ -82,7 +82,7 @@ SQL_TIMELINE = """timeline AS (
   FROM lineitem WHERE l_linestatus = 'F' AND l_shipdate IS NOT NULL
   UNION ALL
   SELECT make_timestamp((1700000000 + conv_id * 3600 + turn) * 1000000), 'message', conv_id,
-    trim(role || ': ' || left(text, 40), ' ') FROM conversations WHERE turn % 3 <> 0)"""
+    trim(role || ': ' || text, ' ') FROM conversations WHERE turn % 3 <> 0)"""
 
 
 @query(
@@ -262,7 +262,7 @@ def evidence(t: Tables) -> DataFrame:
         stamp("ts"),
         provenance("events", "events", F.col("event_id")).alias("provenance"),
     )
-    diagnostic = t("orders").where("o_custkey < 200").select(
+    diagnostic = t("orders").select(
         F.col("o_custkey").cast("string").alias("case_id"),
         (F.col("o_orderkey") % 90).cast("double").alias("latitude"),
         (F.col("o_orderkey") % 180).cast("double").alias("longitude"),
@@ -278,7 +278,7 @@ SQL_FIXES = """fixes AS (
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k % 10 <> 0
   UNION ALL
   SELECT CAST(o_custkey AS VARCHAR), CAST(o_orderkey % 90 AS DOUBLE), CAST(o_orderkey % 180 AS DOUBLE),
-    'diagnostic', o_orderdate, 'orders', o_orderkey FROM orders WHERE o_custkey < 200)"""
+    'diagnostic', o_orderdate, 'orders', o_orderkey FROM orders)"""
 
 
 @query(
@@ -332,21 +332,21 @@ def events_per_kind(t: Tables) -> DataFrame:
 
 @query(
     "pivot_latest_values",
-    """WITH latest AS (SELECT user_id,
+    """WITH latest AS (SELECT user_id, CAST(ts AS DATE) AS day,
     max_by(value, event_id) FILTER (event_type = 'click') AS latitude,
     max_by(value, event_id) FILTER (event_type = 'view') AS longitude,
     max_by(props, event_id) FILTER (event_type = 'signup') AS pincode,
     max(event_id) FILTER (event_type = 'click') AS rowid
-  FROM events WHERE event_id % 7 <> 0 GROUP BY 1)
+  FROM events GROUP BY 1, 2)
 SELECT * FROM latest WHERE latitude IS NOT NULL AND longitude IS NOT NULL""",
 )
 def pivot_latest_values(t: Tables) -> DataFrame:
     def last(kind: str, value: str) -> F.Column:
         return F.max_by(value, F.when(F.col("event_type") == kind, F.col("event_id")))
 
-    rows = t("events").where("event_id % 7 <> 0")
     return (
-        rows.groupBy("user_id")
+        t("events")
+        .groupBy("user_id", F.to_date("ts").alias("day"))
         .agg(
             last("click", "value").alias("latitude"),
             last("view", "value").alias("longitude"),

@@ -249,12 +249,12 @@ def conversation_order(t: Tables) -> DataFrame:
 
 @query(
     "conversation_first_user",
-    """SELECT conv_id, min_by(role, turn) AS first_role, min_by(left(text, 80), turn) AS opening
+    """SELECT conv_id, min_by(role, turn) AS first_role, min_by(text, turn) AS opening
 FROM conversations WHERE role <> 'system' GROUP BY 1""",
 )
 def conversation_first_user(t: Tables) -> DataFrame:
     """First member of each channel who is not the excluded one."""
     rows = t("conversations").where("role <> 'system'").select(
-        "conv_id", "turn", F.col("role").alias("first_role"), F.left("text", F.lit(80)).alias("opening")
+        "conv_id", "turn", F.col("role").alias("first_role"), F.col("text").alias("opening")
     )
     return first_per_key(rows, ["conv_id"], ["turn"], ["first_role", "opening"])

@@ -172,8 +172,8 @@ def sealed_stores(src: Sources) -> DataFrame:
         )
     )
     caches = src.files(r"^shared_jsons/.*\.(?i:json)$")
-    sample = F.decode(F.substring("content", 1, 65536), "ISO-8859-1")
-    sealed = caches.where(ciphertext_shaped(sample)).select(
+    # the whole body has to look like ciphertext, not only its beginning
+    sealed = caches.where(ciphertext_shaped(byte_text("content"))).select(
         "case_id",
         "name",
         "size",
