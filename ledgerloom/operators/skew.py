@@ -92,6 +92,20 @@ def anti_known(df: DataFrame, known: DataFrame, on: dict[str, str], scope: Seque
     return keyed.join(keys, [*scope, *names.values()], "left_anti").drop(*names.values())
 
 
+#: most rows of one (key, chunk) and most chunks of one key that the chunked windows accept; above
+#: either one the order is cut by range instead
+CHUNK_ROWS = 2_000_000
+
+
+def _chunks_are_even(rows: DataFrame, keys: Sequence[str]) -> bool:
+    """One pruned aggregate tells whether the chunks really split every key (a bulk load may give
+    a third of all rows the same hour)."""
+    sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("n"))
+    per_key = sizes.groupBy(*keys).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    heaviest, most = per_key.agg(F.max("n"), F.max("c")).first()
+    return max(heaviest or 0, most or 0) <= CHUNK_ROWS
+
+
 def lag_in_chunks(
     df: DataFrame,
     keys: Sequence[str],
@@ -103,20 +117,26 @@ def lag_in_chunks(
 
     ``chunk`` is a non-decreasing function of the order (an hour, an id range). The window runs
     per (keys, chunk), so a hot key is spread over its chunks; the last row of each chunk is
-    carried into the next one, which makes the result equal to one window per key.
+    carried into the next one, which makes the result equal to one window per key. Where the
+    chunks turn out uneven, the sorted partitions of the whole table take their place.
     ``previous`` maps output column -> source column.
     """
     rows = df.withColumn("_chunk", chunk)
-    sources = sorted(set(previous.values()))
-    tail_cols = sorted({*order, *sources})
-    tails = rows.groupBy(*keys, "_chunk").agg(
-        F.max_by(F.struct(*tail_cols), F.struct(*order)).alias("_tail")
-    )
-    by_key = Window.partitionBy(*keys).orderBy("_chunk")
+    tail_cols = sorted({*order, *previous.values()})
+    tail = F.max_by(F.struct(*keys, *tail_cols), F.struct(*keys, *order)).alias("_tail")
+    if _chunks_are_even(rows, keys):
+        tails = rows.groupBy(*keys, "_chunk").agg(tail)
+        following = Window.partitionBy(*keys).orderBy("_chunk")
+    else:
+        ordered = cut_lineage(df.orderBy(*keys, *order))
+        rows = ordered.withColumn("_chunk", F.spark_partition_id())
+        # one row per partition: a key that goes on in the next partition finds its last row here
+        tails = rows.groupBy("_chunk").agg(tail)
+        following = Window.orderBy("_chunk")
     carried = (
-        tails.withColumn("_chunk", F.lead("_chunk").over(by_key))
+        tails.withColumn("_chunk", F.lead("_chunk").over(following))
         .where("_chunk IS NOT NULL")
-        .select(*keys, "_chunk", "_tail.*", F.lit(True).alias("_carried"))
+        .select("_chunk", "_tail.*", F.lit(True).alias("_carried"))
     )
     both = rows.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
     # carried rows come first: their order value lies in an earlier chunk
@@ -127,8 +147,17 @@ def lag_in_chunks(
 
 
 def rank_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str):
-    """Position within ``keys`` (from 1), computed per chunk plus the sizes of earlier chunks."""
+    """Position within ``keys`` (from 1), computed per chunk plus the sizes of earlier chunks; from
+    positions in the whole table where the chunks are uneven."""
     rows = df.withColumn("_chunk", chunk)
+    if not _chunks_are_even(rows, keys):
+        ranked = cut_lineage(rank_all(df, [*keys, *order], "_place_in_all"))
+        starts = ranked.groupBy(*keys).agg(
+            F.min("_place_in_all").alias("_start"), F.count(F.lit(1)).alias("_n")
+        )
+        placed = lookup_weighted(ranked, starts, keys, "_n")
+        position = F.col("_place_in_all") - F.col("_start") + 1
+        return placed.withColumn(out, position).drop("_place_in_all", "_start")
     sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1

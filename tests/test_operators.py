@@ -76,7 +76,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, id bigint, t bigint, v double").cache(), rows
 
 
-def test_lag_in_chunks_equals_one_window(skewed):
+@pytest.mark.parametrize("most", [skew.CHUNK_ROWS, 10])
+def test_lag_in_chunks_equals_one_window(skewed, monkeypatch, most):
+    monkeypatch.setattr(skew, "CHUNK_ROWS", most)
     df, rows = skewed
     got = skew.lag_in_chunks(df, ["k"], ["t", "id"], F.floor(F.col("t") / 50), {"before": "v"})
     got = {r.id: r.before for r in got.collect()}
@@ -87,7 +89,9 @@ def test_lag_in_chunks_equals_one_window(skewed):
     assert got == want
 
 
-def test_rank_in_chunks_equals_one_window(skewed):
+@pytest.mark.parametrize("most", [skew.CHUNK_ROWS, 10])
+def test_rank_in_chunks_equals_one_window(skewed, monkeypatch, most):
+    monkeypatch.setattr(skew, "CHUNK_ROWS", most)
     df, rows = skewed
     got = skew.rank_in_chunks(df, ["k"], ["t", "id"], F.floor(F.col("t") / 50), "n")
     got = {r.id: r.n for r in got.collect()}
