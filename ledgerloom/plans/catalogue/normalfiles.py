@@ -50,23 +50,29 @@ def normalise_settings_xml(t: Tables) -> DataFrame:
 
 @query(
     "normalise_owner",
-    """SELECT 'C' || (SELECT min(c_custkey) FROM customer) AS customer_id, c_name AS name,
-  '9' || c_custkey AS phone, true AS is_subject, 'sb' || c_custkey AS sendbird_id, 'bank' || c_nationkey AS bank_name
-FROM customer WHERE c_custkey % 100 = 7 ORDER BY c_custkey LIMIT 1""",
+    """WITH own AS (SELECT * FROM customer WHERE c_custkey % 3 = 1
+  QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1)
+SELECT 'n' || n_nationkey AS case_id, 'C' || n_nationkey AS customer_id, c_name AS name,
+  '9' || c_custkey AS phone, true AS is_subject, 'sb' || c_custkey AS sendbird_id,
+  'bank' || c_custkey AS bank_name
+FROM nation LEFT JOIN own ON c_nationkey = n_nationkey""",
 )
 def normalise_owner(t: Tables) -> DataFrame:
-    """The owner of a case: the first row marked as own, with facts out of the settings file."""
+    """One owner per case (here: per nation): the first row marked as own, with facts out of the
+    settings file."""
     key = F.col("c_custkey")
     users = t("customer").select(
-        key.alias("rowid"), (key % 100 == 7).cast("int").alias("isMe"),
-        F.col("c_name").alias("sendbirdUserName"), text("sb", key).alias("sendbirdUserId"),
-        text("9", key).alias("phoneNumber"), text("bank", F.col("c_nationkey")).alias("bankName"),
+        text("n", F.col("c_nationkey")).alias("case_id"), key.alias("rowid"),
+        (key % 3 == 1).cast("int").alias("isMe"), F.col("c_name").alias("sendbirdUserName"),
+        text("sb", key).alias("sendbirdUserId"), text("9", key).alias("phoneNumber"),
+        text("bank", key).alias("bankName"),
     )
-    first = t("customer").agg(F.min("c_custkey").alias("k"))
-    xml = text('<map><string name="userId">C', F.col("k"), "</string></map>")
-    files = blobs(first, F.lit("shared_prefs/bank_secure_prefs.xml"), xml)
+    n = F.col("n_nationkey")
+    xml = text('<map><string name="userId">C', n, "</string></map>")
+    path = F.lit("shared_prefs/bank_secure_prefs.xml")
+    files = blobs(t("nation"), path, xml, text("n", n))
     return run(t, "identity", {"TBL_USERS": users}, files).select(
-        "customer_id", "name", "phone", "is_subject", "sendbird_id", "bank_name"
+        "case_id", "customer_id", "name", "phone", "is_subject", "sendbird_id", "bank_name"
     )
 
 
