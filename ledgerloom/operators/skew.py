@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,27 +27,29 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequ
     return df.groupBy(*keys).agg(picked).select(*keys, "_last.*")
 
 
-def lookup_weighted(big: DataFrame, dim: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
-    """Inner join of ``big`` to ``dim`` (one row per key), where ``dim`` knows how many rows of
-    ``big`` each key owns.
+def lookup_weighted(
+    big: DataFrame, dim: DataFrame, on: Sequence[str], weight: str, how: str = "inner"
+) -> DataFrame:
+    """Join ``big`` to ``dim`` (one row per key), where ``dim`` knows about how many rows of ``big``
+    each key owns. ``how`` is inner or left.
 
-    The heaviest keys are answered by a broadcast of at most ``HOT_KEYS`` rows. Their rows then pass
-    the shuffle join under throw-away keys, spread evenly, so no task holds a hot key; every other
-    key owns less than 1/HOT_KEYS of the rows.
+    The heaviest keys are answered by a broadcast of at most ``HOT_KEYS`` rows. Their rows, and rows
+    without a key, then pass the shuffle join under throw-away keys, spread evenly, so no task
+    holds a hot key; every other key owns less than 1/HOT_KEYS of the rows.
     """
     values = [c for c in dim.columns if c not in on and c != weight]
     hot = dim.orderBy(F.desc(weight), *on).limit(HOT_KEYS)
     hot = hot.select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_hot"))
     marked = big.join(F.broadcast(hot), list(on), "left")
-    spread = _filler(big, on)
     key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in on])
-    open_key = F.when(F.col("_hot").isNull(), key).otherwise(spread)
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    open_key = F.when(F.col("_hot").isNull() & keyed, key).otherwise(_filler(big, on))
     rest = dim.select(key.alias("_key"), F.struct(F.lit(True).alias("_hit"), *values).alias("_dim"))
     joined = marked.withColumn("_key", open_key).join(rest, "_key", "left")
     found = F.coalesce("_hot", "_dim")
-    return joined.where(found.isNotNull()).select(
-        *big.columns, *[found[c].alias(c) for c in values]
-    )
+    if how == "inner":
+        joined = joined.where(found.isNotNull())
+    return joined.select(*big.columns, *[found[c].alias(c) for c in values])
 
 
 def lookup_salted(

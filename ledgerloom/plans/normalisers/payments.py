@@ -17,7 +17,13 @@ from ...functions.text import (
     with_document,
 )
 from ...operators.ledger import chat_direction, chat_settled
-from ...operators.skew import anti_known, first_per_key, left_lookup, lookup_salted
+from ...operators.skew import (
+    anti_known,
+    first_per_key,
+    left_lookup,
+    lookup_salted,
+    lookup_weighted,
+)
 from .base import Sources, from_row, is_one, normaliser
 
 PASSBOOK = r"^passbook\.db$"
@@ -101,7 +107,8 @@ def subject_sender(src: Sources) -> DataFrame:
 
 
 def channel_party(src: Sources) -> DataFrame:
-    """(case_id, channelUrl, party_name, party_phone): first named member who is not the owner."""
+    """(case_id, channelUrl, party_name, party_phone, weight): first named member who is not the
+    owner, and the number of messages in the channel."""
     users = src.rows(
         CHAT, "TBL_USERS", "userPrimaryKey", "sendbirdUserName", "name", "phoneNumber", "isMe"
     ).select(
@@ -122,10 +129,16 @@ def channel_party(src: Sources) -> DataFrame:
     named = members.select("case_id", "channelUrl", "userPrimaryKey", "rowid").join(
         users, ["case_id", "userPrimaryKey"]
     )
-    return (
-        named.groupBy("case_id", "channelUrl")
-        .agg(F.min_by("u", F.struct("rowid", "userPrimaryKey")).alias("u"))
-        .select("case_id", "channelUrl", "u.party_name", "u.party_phone")
+    first = named.groupBy("case_id", "channelUrl").agg(
+        F.min_by("u", F.struct("rowid", "userPrimaryKey")).alias("u")
+    )
+    sizes = (
+        src.rows(CHAT, "ChatMessageEntity", "channelUrl")
+        .groupBy("case_id", "channelUrl")
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+    return first.join(sizes, ["case_id", "channelUrl"]).select(
+        "case_id", "channelUrl", "u.party_name", "u.party_phone", "weight"
     )
 
 
@@ -166,7 +179,7 @@ def chat_payments(src: Sources) -> DataFrame:
     )
     m = anti_known(m, listed, {"source_txn_id": "sourceTxnId"}, ("case_id",))
     m = lookup_salted(m, subject_sender(src), ["case_id"], ["rowid"])
-    m = lookup_salted(m, channel_party(src), ["case_id", "channelUrl"], ["rowid"])
+    m = lookup_weighted(m, channel_party(src), ["case_id", "channelUrl"], "weight", "left")
     mine = present("subject_id").isNotNull() & (F.col("senderId") == F.col("subject_id"))
     return m.select(
         "case_id",

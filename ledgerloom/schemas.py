@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PROVENANCE = (
     "struct<source_file:string,source_table:string,rowid:bigint,byte_offset:bigint,"
@@ -68,9 +71,14 @@ def domain_ddl(domain: str) -> str:
     return f"case_id string, {DOMAINS[domain]}, provenance {PROVENANCE}, raw string"
 
 
+@lru_cache(maxsize=None)
+def _domain_schema(domain: str) -> T.StructType:
+    return T.StructType.fromDDL(domain_ddl(domain))
+
+
 def conform(df: DataFrame, domain: str) -> DataFrame:
     """Exactly the columns of a domain: missing ones become null, extra ones are dropped."""
-    target = df.sparkSession.createDataFrame([], domain_ddl(domain)).schema
+    target = _domain_schema(domain)
     have = set(df.columns)
     return df.select(
         *[

@@ -115,6 +115,11 @@ def test_lookups_keep_every_row(spark, skewed, monkeypatch):
     got = {r.id: r.first for r in skew.lookup_weighted(df, dim, ["k"], "w").collect()}
     plain = {r.id: r.first for r in df.join(dim, "k").collect()}
     assert got == plain
+    holed = df.withColumn("k", F.when(F.col("id") % 5 != 0, F.col("k")))
+    left = skew.lookup_weighted(holed, dim, ["k"], "w", "left")
+    assert {r.id: r.first for r in left.collect()} == {
+        i: plain.get(i) if i % 5 else None for i in range(3000)
+    }
     salted = skew.lookup_salted(df, dim.drop("w"), ["k"], ["id"])
     assert {r.id: r.first for r in salted.collect()} == {i: plain.get(i) for i in range(3000)}
 
