@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,33 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
+
+
+@query("op2_quality_attention")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = table(spark, folder, "documents")
+    model = fit_quality(docs, table(spark, folder, "labels"))
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (crc_of_id("doc_id") % 3 == 1).alias("held_out"),
+        F.col("quality_score.score").alias("score"),
+        (F.col("quality_score.score") >= 0.5).cast("int").alias("predicted"),
+        F.col("quality_score.n_passages").alias("n_passages"),
+    )
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, folder, "documents")
+    model = fit_toxicity(docs, table(spark, folder, "labels"))
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (crc_of_id("doc_id") % 4 == 2).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted"),
+        F.col("toxicity.n_hits").alias("n_hits"),
+    )
