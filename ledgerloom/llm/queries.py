@@ -164,3 +164,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted"),
         F.col("toxicity.n_hits").alias("n_hits"),
     )
+
+
+@query("op4_ngram_jaccard")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from .ngramjoin import ngram_classes
+
+    return ngram_classes(table(spark, folder, "documents"), n=3, num=90, den=100)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_schema, written
 
@@ -49,6 +51,7 @@ def build_filter(listed: DataFrame, bits_per_key: int = 16, max_bytes: int = 32
     ``bits_per_key`` bits a key and never more than ``max_bytes``: a longer list only lets more false
     positives through, which the exact join removes.
     """
+    listed = listed.where("entry IS NOT NULL")
     count = listed.count()
     blocks = max(1, min(-(-count * bits_per_key // 512), max_bytes // 64))
     names = [f"w{i}" for i in range(WORDS)]
@@ -80,6 +83,18 @@ def entries_of(host: str, path: str, lengths: list[int], whole: str) -> list[str
     return [f"={whole}", *(d + p for d in domains for p in paths)]
 
 
+def probe_filter(spark: SparkSession, bloom: np.ndarray, entry: Column) -> Column:
+    """Whether an entry may be in the filter (never false for one that is)."""
+    spread = spark.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(entries: pd.Series) -> pd.Series:
+        block, masks = _bits(entries.tolist(), len(spread.value))
+        return pd.Series(((spread.value[block] & masks) == masks).all(axis=1))
+
+    return maybe(entry)
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` plus host, path, rule, listed_entry and verdict.
 
