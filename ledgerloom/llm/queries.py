@@ -171,3 +171,17 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from .ngramjoin import ngram_classes
 
     return ngram_classes(table(spark, folder, "documents"), n=3, num=90, den=100)
+
+
+@query("op8_embedding_links")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from .embeddedup import vector_links
+
+    return vector_links(table(spark, folder, "embeddings"), cosine=0.9)
+
+
+@query("op9_nearest_neighbours")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from .annsearch import nearest_neighbours
+
+    return nearest_neighbours(table(spark, folder, "embeddings"), k=10, every=100)
