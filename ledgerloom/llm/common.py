@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import _ensure_checkpoint_dir, cut_lineage, tune
 
-__all__ = ["cut_lineage", "tune", "written", "drop_written", "table", "arrow_schema", "crc_of_id", "word_hashes", "mix64", "SPACE"]
+__all__ = ["cut_lineage", "tune", "written", "drop_written", "table", "arrow_schema", "crc_of_id", "word_hashes", "mix64", "merge", "SPACE"]
 
 #: the six white-space bytes the operators split at; ``bytes.split()`` uses exactly these
 SPACE = b" \t\n\r\x0b\x0c"
@@ -127,3 +127,14 @@ def word_hashes(text: bytes) -> np.ndarray:
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _tile(_UP, _BASE, len(raw)), out=total[1:])
         value = (total[last] - total[first]) * _tile(_DOWN, _INVERSE, len(raw))[first]
         return mix64(value + (last - first).astype(np.uint64) * _ODD)
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the classes of a[i] and b[i]; a label is the smallest index of its class."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            return label
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]

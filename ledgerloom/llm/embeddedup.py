@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import arrow_schema, cut_lineage, written
+from .common import arrow_schema, cut_lineage, merge, written
 from .vectors import classes, matrix, usable
 
 BLOCK = 8  #: dimensions of a subspace
@@ -74,17 +74,6 @@ def _placed(rows: DataFrame, cosine: float) -> DataFrame:
     return rows.select("node", "copies", "v").mapInArrow(run, ddl)
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Join the classes of a[i] and b[i]; a label is the smallest index of its class."""
-    while True:
-        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-        if (low == high).all():
-            return label
-        np.minimum.at(label, high, low)
-        while (label != label[label]).any():
-            label = label[label]
-
-
 def _joined(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of one task: per vector the number of links and the first vector of its local class.
 
@@ -125,7 +114,7 @@ def _joined(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
                 a, b = a[close], b[close]
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
-                label = _merge(label, a, b)
+                label = merge(label, a, b)
     some = np.flatnonzero(links)
     return pd.DataFrame({"node": node[some], "links": links[some], "root": node[label[some]]})
 

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import arrow_schema, cut_lineage, drop_written, mix64, word_hashes, written
+from .common import arrow_schema, cut_lineage, drop_written, merge, mix64, word_hashes, written
 from .urls import build_filter, probe_filter
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -51,6 +51,10 @@ class Threshold:
         """Most elements by which linked sets of at most ``size`` elements differ."""
         return (self.den - self.num) * 2 * size // (self.den + self.num)
 
+    def prefix(self, size: np.ndarray) -> np.ndarray:
+        """So many of a set's first elements, in any order common to all, meet those of each linked set."""
+        return size - (self.num * size + self.den - 1) // self.den + 1
+
     def partner(self, size: int) -> int:
         """Largest set that one of ``size`` elements can link with."""
         return size * self.den // self.num
@@ -223,8 +227,41 @@ class Region:
         return inter, self.size[pivot] + self.size[others] - inter
 
 
+def rare_groups(sets: list[np.ndarray], limit: Threshold) -> np.ndarray:
+    """Number of the group of each set; linked sets are in one group.
+
+    With elements in order of their frequency among these sets, the rarest first, linked sets
+    share one of their first ``size - least intersection + 1``. Passages that many sets hold come last.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    _, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(sets)), size)
+    ordered = np.sort(owner * len(counts) + rank[flat]) % len(counts)
+    place = np.arange(len(ordered)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    early = place < np.repeat(limit.prefix(size), size)
+    shared = early & (np.sort(counts)[ordered] > 1)
+    token, node = ordered[shared], owner[shared]
+    by_token = np.argsort(token, kind="stable")
+    token, node = token[by_token], node[by_token]
+    same = np.flatnonzero(token[1:] == token[:-1])
+    return merge(np.arange(len(sets)), node[same], node[same + 1])
+
+
 def linked_classes(sets: list[np.ndarray], limit: Threshold) -> np.ndarray:
-    """Number of the class of each set; classes are closed under links.
+    """Number of the class of each set; classes are closed under links."""
+    groups = rare_groups(sets, limit)
+    out = np.arange(len(sets))
+    order = np.argsort(groups, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+        if len(part) > 1:
+            out[part] = part[_by_pivots([sets[i] for i in part], limit)]
+    return out
+
+
+def _by_pivots(sets: list[np.ndarray], limit: Threshold) -> np.ndarray:
+    """Classes of sets that are likely close to one another.
 
     A pivot is compared with all sets left. Those it links with are one class; whatever else links
     with one of them lies within two radii of the pivot, so only sets between one and two radii are
@@ -285,16 +322,18 @@ def _split_regions(large: DataFrame, limit: Threshold, salt: int) -> DataFrame:
     two radii, so linked sets always meet in one.
     """
     weights = large.groupBy("region").agg(F.ceil(4 * F.sum("n") / REGION).cast("int").alias("groups"))
-    drawn = large.select("region", F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node").alias("p"))
-    # the first PIVOTS of each region: combined inside tasks, so a hot region sends few rows
-    pivots = drawn.groupBy("region", F.pmod(F.col("p.h"), F.lit(PIVOTS)).alias("slot")).agg(F.min("p.node").alias("node"))
-    pivots = pivots.join(large, ["region", "node"]).join(weights, "region").select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "slot", "elements"
-    )
+    weights = cut_lineage(weights)
+    slot = F.pmod(F.xxhash64(F.lit(salt), "node"), F.lit(PIVOTS)).alias("slot")
+    order = F.struct(F.xxhash64(F.lit(salt), F.lit(1), "node"), "node")
+    # the first member of each slot: combined inside tasks, so a hot region sends few rows
+    pivots = large.groupBy("region", slot).agg(F.min_by("elements", order).alias("elements")).join(weights, "region")
+    pivots = pivots.select(F.concat("region", F.lit("")).alias("of"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "slot", "elements")
     dealt = large.join(weights, "region").withColumn("grp", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
 
     def assign(frame: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        if frame.empty:
+            return frame[["region", "node", "n", "elements"]]
         centres = centres.sort_values("slot", ignore_index=True)
         sets = [np.asarray(s, dtype=np.int64) for s in (*centres["elements"], *frame["elements"])]
         region, k = Region(sets), len(centres)
@@ -309,12 +348,49 @@ def _split_regions(large: DataFrame, limit: Threshold, salt: int) -> DataFrame:
                 rows.append((f"{frame['region'].iloc[0]}/{slot}", frame["node"].iloc[j], int(frame["n"].iloc[j]), frame["elements"].iloc[j]))
         return pd.DataFrame(rows, columns=["region", "node", "n", "elements"])
 
-    split = dealt.groupBy("region", "grp").cogroup(pivots.groupBy("region", "grp")).applyInPandas(
+    split = dealt.groupBy("region", "grp").cogroup(pivots.groupBy("of", "grp")).applyInPandas(
         assign, "region string, node string, n bigint, elements array<bigint>"
     )
     return cut_lineage(split)
 
 
+def _first_shared(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
+    """Of each set, the shared tokens among its first ones; rows (set, size, token, sets that hold it) come
+    sorted by set, frequency and token. Tokens that no other set holds are not here but come first."""
+    held = None
+    for batch in batches:
+        node, n, token = (batch.column(i).to_numpy() for i in range(3))
+        shared = batch.column(4).to_numpy()
+        if not len(node):
+            continue
+        fresh = np.ones(len(node), dtype=bool)
+        fresh[1:] = node[1:] != node[:-1]
+        goes_on = held is not None and held[0] == node[0]
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(node)), 0))
+        place = np.arange(len(node)) - start
+        if goes_on:
+            place[: int(np.argmax(fresh[1:])) + 1 if fresh[1:].any() else len(node)] += held[1]
+        held = (node[-1], place[-1] + 1)
+        keep = place + (n - shared) < limit.prefix(n)
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names=["key", "node"])
+
+
+def _split_by_rare(large: DataFrame, limit: Threshold) -> DataFrame:
+    """:func:`rare_groups` over regions too large for a task, as Spark jobs."""
+    named = large.withColumn("id", F.xxhash64("node"))
+    tokens = named.select(F.col("id"), "n", "region", F.explode("elements").alias("e")).select(
+        F.xxhash64("region", "e").alias("token"), "id", "n"
+    )
+    held = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    held = held.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    ordered = held.select("id", "n", "token", "df", "shared").repartition("id").sortWithinPartitions("id", "df", "token")
+    first = ordered.mapInArrow(lambda b: _first_shared(b, limit), "key bigint, node bigint")
+    edges = first.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u bigint, v bigint").distinct()
+    groups = components(edges).select(F.col("node").alias("id"), F.hex("component").alias("group"))
+    moved = named.join(groups, "id")  # a set without a group links with nothing
+    return cut_lineage(moved.select(F.concat_ws("/", "region", "group").alias("region"), "node", "n", "elements"))
+
+
 def _in_blocks(large: DataFrame) -> DataFrame:
     """Regions that pivots do not split (all sets close to one another) as pairs of blocks."""
     weights = large.groupBy("region").agg(F.ceil(2 * F.sum("n") / REGION).cast("int").alias("blocks"))
@@ -338,13 +414,16 @@ def _verified(members: DataFrame, limit: Threshold) -> DataFrame:
         fits.append(todo.join(F.broadcast(names), "region", "left_anti"))
         large = todo.join(F.broadcast(names), "region", "left_semi")
         rounds += 1
+        if rounds == 1:
+            todo = _split_by_rare(large, limit)
+            continue
         if rounds > 4:
             fits.append(_in_blocks(large))
             break
         todo = _split_regions(large, limit, rounds)
     every = functools.reduce(DataFrame.unionByName, fits)
     edges = cut_lineage(_join_regions(every, limit))
-    if not rounds:  # each class lies in one region and points to its first set
+    if rounds < 2:  # each class lies in one region and points to its first set
         firsts = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(firsts)
     return components(edges)
