@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import _ensure_checkpoint_dir, cut_lineage, tune
 
-__all__ = ["cut_lineage", "tune", "written", "drop_written", "table", "arrow_schema", "crc_of_id", "word_hashes", "mix64", "merge", "SPACE"]
+__all__ = ["cut_lineage", "tune", "written", "drop_written", "release", "table", "arrow_schema", "crc_of_id", "word_hashes", "mix64", "merge", "SPACE"]
 
 #: the six white-space bytes the operators split at; ``bytes.split()`` uses exactly these
 SPACE = b" \t\n\r\x0b\x0c"
@@ -39,6 +40,13 @@ def drop_written(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are written and whose plans are
+    out of scope; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, arrow_schema, cut_lineage, written
+from .common import SPACE, arrow_schema, cut_lineage, drop_written, written
 
 LAST = (1 << 63) - 1  # stands for a null document id: it comes after every other
 LINES = "h1 bigint, h2 bigint, doc bigint, row bigint, line int"
@@ -86,17 +86,19 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, shape, strict=True)], schema=shape)
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 10) -> DataFrame:
-    """(doc, row, line) of every line that goes.
+def dropped_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 10
+) -> tuple[DataFrame, list[str]]:
+    """(doc, row, line) of every line that goes, and the scratch tables that this reads.
 
     The lines are sorted by range of (hash, document, line), so a line that a third of all documents
     hold is spread over as many partitions as it needs. What a partition must know of the ones before
     it is one row per partition.
     """
-    lines, _ = written(hashed_lines(docs, key, text, least), "lines")
+    lines, hashed = written(hashed_lines(docs, key, text, least), "lines")
     order = ["h1", "h2", "doc", "row", "line"]
     ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    found, _ = written(ordered.mapInArrow(_first_occurrences, FOUND), "lineruns")
+    found, runs = written(ordered.mapInArrow(_first_occurrences, FOUND), "lineruns")
     edges: dict[int, dict[str, tuple]] = {}
     for r in found.where("kind IN ('opens', 'ends')").orderBy("part").toLocalIterator():
         edges.setdefault(r.part, {})[r.kind] = ((r.h1, r.h2), r.first)
@@ -110,7 +112,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     starts = docs.sparkSession.createDataFrame(carried, "part int, carried bigint")
     rows = found.where("kind IN ('open', 'drop')").join(F.broadcast(starts), "part", "left")
     first = F.when(F.col("kind") == "open", F.coalesce("carried", "first")).otherwise(F.col("first"))
-    return rows.where(F.col("doc") != first).select("doc", "row", "line")
+    return rows.where(F.col("doc") != first).select("doc", "row", "line"), [hashed, runs]
 
 
 @F.pandas_udf(T.BinaryType())
@@ -140,12 +142,17 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     ``doc`` is the id (null ids are one document after all others, LAST) and ``row`` the xxhash64 of
     the text, so rows that share an id keep bitmaps of their own.
     """
-    gone = dropped_lines(docs, key, text, least).groupBy("doc", "row").agg(F.collect_set("line").alias("gone"))
+    dropped, scratch = dropped_lines(docs, key, text, least)
+    gone = dropped.groupBy("doc", "row").agg(F.collect_set("line").alias("gone"))
     sizes = docs.select(
         F.coalesce(F.col(key), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), _n_lines(text).alias("n_lines")
     ).groupBy("doc", "row").agg(F.max("n_lines").alias("n_lines"))
     both = sizes.join(gone, ["doc", "row"])
-    return both.select("doc", "row", "n_lines", F.size("gone").alias("n_dropped"), _packed("n_lines", "gone").alias("keep"))
+    maps = both.select("doc", "row", "n_lines", F.size("gone").alias("n_dropped"), _packed("n_lines", "gone").alias("keep"))
+    maps = cut_lineage(maps)
+    for path in scratch:
+        drop_written(docs.sparkSession, path)
+    return maps
 
 
 def _n_lines(text: str):
@@ -162,7 +169,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     of one id are one document; null ids are one document, the last. An empty table stays empty.
     Other columns pass unchanged; input columns called n_lines, n_dropped or _keep are replaced.
     """
-    maps = cut_lineage(keep_bitmaps(docs, key, text, least)).select(
+    maps = keep_bitmaps(docs, key, text, least).select(
         "doc", "row", F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep")
     )
     kept = [c for c in docs.columns if c not in {"n_lines", "n_dropped", "_keep", "_dropped", "_doc", "_row"}]

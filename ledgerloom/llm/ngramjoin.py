@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import arrow_schema, cut_lineage, drop_written, merge, mix64, word_hashes, written
+from .common import arrow_schema, cut_lineage, drop_written, merge, mix64, release, word_hashes, written
 from .urls import build_filter, probe_filter
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -432,6 +432,18 @@ def _verified(members: DataFrame, limit: Threshold) -> DataFrame:
 # ---- the join --------------------------------------------------------------------------------------
 
 
+def _candidates(docs: DataFrame, key: str, text: str, n: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(doc, n_shingles, f1, f2) of each row, and (node, component) of the sets that may link."""
+    rows, path = written(described(docs, key, text, n, limit), "ngramkeys")
+    meta = cut_lineage(rows.select("doc", "n_shingles", "f1", "f2"))
+    flat = rows.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("f1").alias("node"))
+    chained = flat.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u bigint, v bigint")
+    nearby = rows.select(F.col("f1").alias("u"), F.explode("near").alias("v")).where("u <> v")
+    edges = cut_lineage(chained.union(nearby).distinct())
+    drop_written(docs.sparkSession, path)
+    return meta, cut_lineage(components(edges))
+
+
 def ngram_classes(
     docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -445,13 +457,8 @@ def ngram_classes(
     """
     spark = docs.sparkSession
     limit = Threshold(num, den)
-    rows, path = written(described(docs, key, text, n, limit), "ngramkeys")
-    meta = cut_lineage(rows.select("doc", "n_shingles", "f1", "f2"))
-    flat = rows.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("f1").alias("node"))
-    chained = flat.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u bigint, v bigint")
-    nearby = rows.select(F.col("f1").alias("u"), F.explode("near").alias("v")).where("u <> v")
-    groups = cut_lineage(components(chained.union(nearby).distinct()))
-    drop_written(spark, path)
+    meta, groups = _candidates(docs, key, text, n, limit)
+    release(spark)
 
     name = F.concat_ws(":", F.hex("f1"), F.hex("f2"))
     classes = meta.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc").alias("first"))
