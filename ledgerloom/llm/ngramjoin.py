@@ -383,7 +383,8 @@ def _split_by_rare(large: DataFrame, limit: Threshold) -> DataFrame:
     )
     held = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     held = held.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    ordered = held.select("id", "n", "token", "df", "shared").repartition("id").sortWithinPartitions("id", "df", "token")
+    # the window has dealt the rows by set already
+    ordered = held.select("id", "n", "token", "df", "shared").sortWithinPartitions("id", "df", "token")
     first = ordered.mapInArrow(lambda b: _first_shared(b, limit), "key bigint, node bigint")
     edges = first.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u bigint, v bigint").distinct()
     groups = components(edges).select(F.col("node").alias("id"), F.hex("component").alias("group"))
