@@ -237,7 +237,8 @@ def _attribute_sets(labelled: DataFrame) -> DataFrame:
         for out, column in ATTRIBUTES.items()
         if column != "vpa"
     ]
-    handles = F.transform("vpas", lambda v: F.struct(F.lit("vpas").alias("attribute"), v.alias("value")))
+    listed = F.coalesce("vpas", F.array().cast("array<string>"))
+    handles = F.transform(listed, lambda v: F.struct(F.lit("vpas").alias("attribute"), v.alias("value")))
     long = labelled.select(
         "component", F.explode(F.concat(F.array(*single), handles)).alias("a")
     ).select("component", "a.attribute", "a.value")

@@ -31,7 +31,7 @@ def reconcile_counts(
     b = per_domain.groupBy(*keys).agg(F.max("n").alias("n_emitted"))
     joined = a.join(b, list(keys), "full").na.fill(0, ["n_raw", "n_emitted"])
     if join_only:
-        joined = joined.where(~F.col(keys[-1]).isin(*join_only))
+        joined = joined.where(~F.coalesce(F.col(keys[-1]).isin(*join_only), F.lit(False)))
     verdict = (
         F.when(F.col("n_raw") == F.col("n_emitted"), "complete")
         .when(F.col("n_raw") > F.col("n_emitted"), "rows missing")

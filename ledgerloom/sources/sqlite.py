@@ -221,7 +221,7 @@ def sqlite_rows(databases: DataFrame) -> DataFrame:
     over the cluster like those of any other.
     """
     splits = table_splits(databases)
-    return splits.repartition("path", "source_table", "lo").mapInPandas(_read_rows, ROWS)
+    return splits.repartition("case_id", "path", "source_table", "lo").mapInPandas(_read_rows, ROWS)
 
 
 def _count_both(batches):
