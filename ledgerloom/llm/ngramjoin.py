@@ -6,6 +6,10 @@ too, region by region until each fits a task. Over a whole corpus pivots cannot
 apart, since unrelated shingle sets are all at a distance near 1. So the regions begin as groups that
 provably hold every link: sets cut into more parts than linked sets can differ in must share a part
 (pigeonhole), and groups that share no part need not meet.
+
+Most documents link with nothing, and one pass rules nearly all of them out before that. In any order
+common to all sets, two sets with many common elements have so many of them among their first ones. A set
+whose first elements are hardly found in others has no link, also where it shares a passage.
 """
 
 from __future__ import annotations
@@ -55,6 +59,23 @@ class Threshold:
         """So many of a set's first elements, in any order common to all, meet those of each linked set."""
         return size - (self.num * size + self.den - 1) // self.den + 1
 
+    def unshared(self, size: int) -> int:
+        """Most elements of a set that a linked set lacks."""
+        return size - -(-self.num * size // self.den)
+
+    def shown(self, size: int) -> int:
+        """How many of its first elements a set shows to the others."""
+        spare = self.unshared(size)
+        return min(size, spare + 1 + spare // 2)
+
+    def needed(self, size: int) -> int:
+        """How many elements that a set shows are shown by any set it links with.
+
+        Of two sets that show k elements more than they can lack, the first k common ones are
+        shown by both; the smaller set has the smaller k.
+        """
+        return 1 + self.unshared(-(-self.num * size // self.den)) // 2
+
     def partner(self, size: int) -> int:
         """Largest set that one of ``size`` elements can link with."""
         return size * self.den // self.num
@@ -142,23 +163,109 @@ def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]))
 
 
-def described(docs: DataFrame, key: str, text: str, n: int, limit: Threshold) -> DataFrame:
-    """Per row: key, n_shingles, fingerprint (f1, f2), part keys, and sets it shares a key with.
+def sketched(docs: DataFrame, key: str, text: str, n: int, limit: Threshold) -> DataFrame:
+    """Per row: key, n_shingles, fingerprint (f1, f2), and what its set shows to others.
 
-    Keys are combined inside each batch first: a key that several of its sets have is passed on by one
-    of them, the others name that one in ``near``. A group of copies thus sends each key once a batch.
+    Shown elements are counted inside each batch first. One that several sets of the batch have is
+    passed on once, in ``common``, and counts in ``surplus`` of each; the rest is in ``own``. ``surplus``
+    starts from minus the number needed. Rows with equal sets in a batch show theirs once, so an element of
+    a third of all rows is passed on once a batch.
     """
     kind = docs.schema[key].dataType.simpleString()
-    ddl = f"doc {kind}, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>, near array<bigint>"
+    ddl = f"doc {kind}, n_shingles bigint, f1 bigint, f2 bigint, surplus bigint, own array<bigint>, common array<bigint>"
     shape = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, keys, rows, seen = [], [], [], [], set()
+            sizes, prints, shown, rows, seen = [], [], [], [], set()
+            surplus = np.zeros(batch.num_rows, dtype=np.int64)
             for i, body in enumerate(batch.column(1)):
                 elements = shingle_set(body.as_py(), n)
                 sizes.append(len(elements))
                 prints.append(_fingerprint(elements) if len(elements) else (None, None))
+                if len(elements) and prints[-1] not in seen:
+                    seen.add(prints[-1])
+                    shown.append(elements[: limit.shown(len(elements))])
+                    rows.append(np.full(len(shown[-1]), i))
+                    surplus[i] = -limit.needed(len(elements))
+            every = np.concatenate([np.empty(0, np.uint64), *shown]).view(np.int64)
+            row = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+            order = np.argsort(every, kind="stable")
+            every, row = every[order], row[order]
+            fresh = np.ones(len(every), dtype=bool)
+            fresh[1:] = every[1:] != every[:-1]
+            several = ~fresh
+            several[:-1] |= ~fresh[1:]
+            surplus += np.bincount(row[several], minlength=batch.num_rows)
+            once = fresh & several
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
+                 pa.array([p[1] for p in prints], pa.int64()), pa.array(surplus),
+                 _lists(row[~several], every[~several], len(sizes)), _lists(row[once], every[once], len(sizes))], schema=shape,
+            )
+
+    return docs.select(key, text).mapInArrow(run, ddl)
+
+
+SEVERAL = 0  #: stands for several sets of a batch
+
+
+def _found_elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, times): how many elements that a set shows are other sets' too; rows (element, node) come
+    sorted by element."""
+    last = None  # element, its one node so far or None if it has several, rows of that node
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (batch.column(i).to_numpy() for i in range(2))
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        low, high = np.minimum.reduceat(node, starts), np.maximum.reduceat(node, starts)
+        shared = (low != high) | np.logical_or.reduceat(node == SEVERAL, starts)
+        before = []
+        if last is not None and last[0] == key[0]:
+            shared[0] |= last[1] != low[0]
+            if shared[0] and last[1] is not None:
+                before.append((last[1], last[2]))
+        lengths = np.diff(np.append(starts, len(key)))
+        if shared[-1]:
+            last = (key[-1], None, 0)
+        else:
+            earlier = last[2] if len(starts) == 1 and last is not None and last[0] == key[0] else 0
+            last = (key[-1], node[-1], earlier + int(lengths[-1]))
+        nodes, times = np.unique(node[np.repeat(shared, lengths) & (node != SEVERAL)], return_counts=True)
+        nodes = np.concatenate([nodes, np.array([b[0] for b in before], dtype=np.int64)])
+        times = np.concatenate([times, np.array([b[1] for b in before], dtype=np.int64)]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(times)], names=["node", "times"])
+
+
+def _may_link(rows: DataFrame) -> DataFrame:
+    """(node) of the sets that show enough elements of other sets; ``rows`` are of :func:`sketched`.
+
+    A set that several batches hold has the same count in each, so sums keep their sign.
+    """
+    own = rows.select(F.explode("own").alias("key"), F.col("f1").alias("node"))
+    common = rows.select(F.explode("common").alias("key"), F.lit(SEVERAL).cast("bigint").alias("node"))
+    dealt = own.union(common).repartition("key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(_found_elsewhere, "node bigint, times bigint")
+    start = rows.where("n_shingles > 0").select(F.col("f1").alias("node"), F.col("surplus").alias("times"))
+    return found.union(start).groupBy("node").agg(F.sum("times").alias("times")).where("times >= 0").select("node")
+
+
+def described(texts: DataFrame, n: int, limit: Threshold) -> DataFrame:
+    """Per row of (text): fingerprint f1, part keys, and sets it shares a key with.
+
+    Keys are combined inside each batch first: a key that several of its sets have is passed on by one
+    of them, the others name that one in ``near``. A group of copies thus sends each key once a batch.
+    """
+    ddl = "f1 bigint, keys array<bigint>, near array<bigint>"
+    shape = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, keys, rows, seen = [], [], [], set()
+            for i, body in enumerate(batch.column(0)):
+                elements = shingle_set(body.as_py(), n)
+                prints.append(_fingerprint(elements) if len(elements) else (None, None))
                 if len(elements) and prints[-1] not in seen:
                     seen.add(prints[-1])
                     keys.append(part_keys(elements, limit))
@@ -174,12 +281,11 @@ def described(docs: DataFrame, key: str, text: str, n: int, limit: Threshold) ->
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             first = np.array([p[0] or 0 for p in prints], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
-                 pa.array([p[1] for p in prints], pa.int64()), _lists(row[fresh], every[fresh], len(sizes)),
-                 _lists(pairs[:, 0], first[pairs[:, 1]], len(sizes))], schema=shape,
+                [pa.array([p[0] for p in prints], pa.int64()), _lists(row[fresh], every[fresh], len(prints)),
+                 _lists(pairs[:, 0], first[pairs[:, 1]], len(prints))], schema=shape,
             )
 
-    return docs.select(key, text).mapInArrow(run, ddl)
+    return texts.select("text").mapInArrow(run, ddl)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,16 +539,34 @@ def _verified(members: DataFrame, limit: Threshold) -> DataFrame:
 # ---- the join --------------------------------------------------------------------------------------
 
 
-def _candidates(docs: DataFrame, key: str, text: str, n: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(doc, n_shingles, f1, f2) of each row, and (node, component) of the sets that may link."""
-    rows, path = written(described(docs, key, text, n, limit), "ngramkeys")
+def _left(docs: DataFrame, key: str, text: str, n: int, limit: Threshold) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, str]:
+    """(doc, n_shingles, f1, f2) of each row; (f1, f2, first) of each set; the sets that may link; and a written
+    table of texts, at least one of each set that may link."""
+    spark = docs.sparkSession
+    rows, path = written(sketched(docs, key, text, n, limit), "ngramrows")
     meta = cut_lineage(rows.select("doc", "n_shingles", "f1", "f2"))
-    flat = rows.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("f1").alias("node"))
+    classes = meta.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc").alias("first"))
+    alive = cut_lineage(classes.join(_may_link(rows).withColumnRenamed("node", "f1"), "f1", "left_semi"))
+    drop_written(spark, path)
+    # a set is read from its first document; rows without a key are few or equal to others, and are all read
+    bloom = build_filter(alive.select(F.col("first").cast("string").alias("entry")))
+    asked = docs.where(probe_filter(spark, bloom, F.coalesce(F.col(key).cast("string"), F.lit("")))).select(key, text)
+    firsts = alive.select(F.col("first").alias(key)).distinct()
+    chosen = asked.join(firsts, key, "left_semi").select(F.col(text).alias("text"))
+    keyless = docs.where(F.col(key).isNull()).select(F.col(text).alias("text"))
+    texts, path = written(chosen.union(keyless), "ngramtexts")
+    return meta, classes, alive, texts, path
+
+
+def _candidates(texts: DataFrame, n: int, limit: Threshold) -> DataFrame:
+    """(node, component) of the sets that share part keys."""
+    rows, path = written(described(texts, n, limit), "ngramkeys")
+    flat = rows.select(F.explode("keys").alias("key"), F.col("f1").alias("node"))
     chained = flat.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "u bigint, v bigint")
     nearby = rows.select(F.col("f1").alias("u"), F.explode("near").alias("v")).where("u <> v")
     edges = cut_lineage(chained.union(nearby).distinct())
-    drop_written(docs.sparkSession, path)
-    return meta, cut_lineage(components(edges))
+    drop_written(texts.sparkSession, path)
+    return cut_lineage(components(edges))
 
 
 def ngram_classes(
@@ -458,15 +582,12 @@ def ngram_classes(
     """
     spark = docs.sparkSession
     limit = Threshold(num, den)
-    meta, groups = _candidates(docs, key, text, n, limit)
+    meta, classes, alive, texts, path = _left(docs, key, text, n, limit)
+    groups = _candidates(texts, n, limit)
     release(spark)
 
     name = F.concat_ws(":", F.hex("f1"), F.hex("f2"))
-    classes = meta.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc").alias("first"))
-    wanted = cut_lineage(classes.join(groups, F.col("f1") == F.col("node")).select("f1", "f2", "first", "component"))
-    # only the texts of one document of each class that may link are read again
-    bloom = build_filter(wanted.select(F.col("first").cast("string").alias("entry")))
-    asked = docs.where(probe_filter(spark, bloom, F.coalesce(F.col(key).cast("string"), F.lit("")))).select(key, text)
+    wanted = cut_lineage(alive.join(groups, F.col("f1") == F.col("node")).select("f1", "f2", "first", "component"))
     shape = arrow_schema("f1 bigint, f2 bigint, elements array<bigint>")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,12 +600,13 @@ def ngram_classes(
                 [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), lists], schema=shape
             )
 
-    texts = asked.join(wanted.select(F.col("first").alias(key)).distinct(), key, "left_semi").select(text)
     found = texts.mapInArrow(sets, "f1 bigint, f2 bigint, elements array<bigint>")
     members = found.join(wanted, ["f1", "f2"]).groupBy("f1", "f2").agg(
         F.first("component").alias("component"), F.first("elements").alias("elements")
     ).select(F.hex("component").alias("region"), name.alias("node"), F.size("elements").cast("bigint").alias("n"), "elements")
-    joined = _verified(cut_lineage(members), limit)
+    members = cut_lineage(members)
+    drop_written(spark, path)
+    joined = _verified(members, limit)
     roots = wanted.select("f1", "f2", "first", name.alias("node")).join(joined.withColumnRenamed("component", "root"), "node")
     least = roots.groupBy("root").agg(F.min("first").alias("least"))
     moved = roots.join(least, "root").select("f1", "f2", "least")

@@ -68,6 +68,52 @@ def test_large_regions_are_split_exactly(spark, monkeypatch, region):
     assert sorted(map(tuple, found), key=str) == brute(rows, 5, 80, 100)
 
 
+def test_rows_without_a_key_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(words)), (None, " ".join([*words, "x"])), (9, " ".join([*words, "x", "y"])), (None, "alone here and now it is")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = J.ngram_classes(docs, 5, 95, 100).collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows, 5, 95, 100)
+
+
+def _times(rows, width):
+    batches = (J.pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + width]], "node": [v for _, v in rows[i : i + width]]},
+                                            schema=J.arrow_schema("key bigint, node bigint")) for i in range(0, len(rows), width))
+    out = {}
+    for batch in J._found_elsewhere(batches):
+        for node, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out[node] = out.get(node, 0) + times
+    return out
+
+
+def test_elements_of_other_sets_are_counted_across_batches():
+    rng = random.Random(3)
+    rows = sorted(((rng.randint(0, 12), rng.choice([J.SEVERAL, -5, 3, 3, 8])) for _ in range(40)), key=lambda r: r[0])
+    rows += [(20, 4), (20, 4), (20, 4), (21, 6), (22, 6), (22, J.SEVERAL), (23, 4), (23, 9)]
+    want = {}
+    for key, node in rows:
+        if node != J.SEVERAL and any(k == key and v != node for k, v in rows):
+            want[node] = want.get(node, 0) + 1
+    for width in (1, 2, 3, 7, 100):
+        assert _times(rows, width) == want
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_linked_sets_show_enough_common_elements(num):
+    rng = np.random.default_rng(2)
+    limit = J.Threshold(num, 100)
+    for size in [*range(1, 60), 200, 777]:
+        for _ in range(20):
+            x = np.unique(J.mix64(rng.integers(0, 1 << 62, size).astype(np.uint64)))
+            # the worst case: what differs comes first
+            gone, new = rng.integers(0, len(x) // 5 + 1), rng.integers(0, size // 5 + 1)
+            y = np.unique(np.concatenate([x[gone:], np.arange(new, dtype=np.uint64)]))
+            inter = len(np.intersect1d(x, y))
+            if limit.linked(inter, len(x) + len(y) - inter):
+                common = len(np.intersect1d(x[: limit.shown(len(x))], y[: limit.shown(len(y))]))
+                assert common >= max(limit.needed(len(x)), limit.needed(len(y)))
+
+
 def test_empty_table(spark):
     assert J.ngram_classes(spark.createDataFrame([], "doc_id bigint, text string, source string")).collect() == []
 
