@@ -50,6 +50,9 @@ def txns_per_month(txns: DataFrame, utc: Column, n: int = 12) -> DataFrame:
 
 
 def top_counterparties(entities: DataFrame, n: int = 5) -> DataFrame:
+    """The parties with most payments; one that continues in segments is listed once."""
+    if "segment" in entities.columns:
+        entities = entities.where("segment = 0")
     return (
         entities.where((F.col("txn_count") > 0) & ~F.col("is_subject"))
         .orderBy(F.desc("txn_count"), "entity_id")

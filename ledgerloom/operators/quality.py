@@ -127,9 +127,10 @@ def inversions(df: DataFrame, keys: Sequence[str], order: Sequence[str], when: s
     )
 
 
-def unrepresented_domains(domains: DataFrame, timed: Sequence[str], timeline: DataFrame):
-    """Domains that have rows and can carry a time, yet never reach the timeline."""
-    expected = domains.where(F.col("domain").isin(*timed) & (F.col("n") > 0)).select("domain")
+def unrepresented_domains(domains: DataFrame, timed: Sequence[str] | None, timeline: DataFrame):
+    """Domains that have rows and can carry a time (all, if None), yet never reach the timeline."""
+    can = F.lit(True) if timed is None else F.col("domain").isin(*timed)
+    expected = domains.where(can & (F.col("n") > 0)).select("domain")
     return expected.exceptAll(timeline.select(F.col("ref_domain").alias("domain")).distinct())
 
 

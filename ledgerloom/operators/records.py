@@ -54,7 +54,7 @@ DISPLAY_COLUMNS = {
     ],
     "encrypted": ["name", "size", "owning_module", "cipher", "keystore_alias", "reason"],
     "pref": ["pref_file", "key", "value"],
-    "carved": ["region", "page", "vpas", "rrns", "phones", "txn_ids", "confidence"],
+    "carved": ["kind", "value", "confidence"],
     "timeline": ["utc", "event_type", "summary", "ref_domain"],
     "cookie": ["host", "name", "value", "is_secure", "is_httponly", "created", "expires"],
     "webstorage": ["store_kind", "origin", "key", "value", "best_effort"],

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parties import identifier_kind
 from .skew import anti_known
@@ -24,26 +27,29 @@ def harvest(content: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, kind, value, byte_offset) of every valid identifier in the text of each blob.
 
     ``text`` must be a one-character-per-byte decoding, so the offset is a byte offset. The same
-    value in one blob is reported once, at its first place.
+    value in one blob is reported once, at its first match (not inside a longer run of digits). The
+    scan runs in Python because SQL's matches come without their places.
     """
+    ids = content.select(*keys).schema.fields
+    schema = T.StructType([*ids, *T.StructType.fromDDL("kind string, value string, byte_offset bigint").fields])
+    shapes = {kind: re.compile(shape) for kind, shape in RESIDUAL_SHAPES.items()}
 
-    def hits(kind: str, shape: str):
-        values = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(shape), F.lit(0)))
-        return F.transform(
-            values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-        )
+    def run(batches):
+        for batch in batches:
+            hits = []
+            for i, body in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for kind, shape in shapes.items():
+                    first = {}
+                    for match in shape.finditer(body or ""):
+                        first.setdefault(match.group(), match.start())
+                    hits += [(i, kind, value, at) for value, at in first.items()]
+            rows = pa.array([h[0] for h in hits], pa.int64())
+            known = [batch.column(c).take(rows) for c in range(len(keys))]
+            found = [pa.array([h[1 + c] for h in hits], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*known, *found], names=schema.fieldNames())
 
-    found = [hits(kind, shape) for kind, shape in RESIDUAL_SHAPES.items()]
-    return (
-        content.select(*keys, text, F.explode(F.concat(*found)).alias("hit"))
-        .select(
-            *keys,
-            "hit.kind",
-            "hit.value",
-            (F.instr(F.col(text), F.col("hit.value")) - 1).cast("bigint").alias("byte_offset"),
-        )
-        .where(identifier_kind("value") == F.col("kind"))
-    )
+    found = content.select(*keys, text).mapInArrow(run, schema)
+    return found.where(identifier_kind("value") == F.col("kind"))
 
 
 def live_identifiers(domains: dict[str, DataFrame]) -> DataFrame:

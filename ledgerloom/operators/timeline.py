@@ -27,14 +27,25 @@ def _join(*parts) -> Column:
     return F.trim(F.concat(*parts))
 
 
+def _number(c: str) -> Column:
+    """A number in plain digits, as in 10000000.0, from 0.0001 to below 1e16."""
+    number = F.col(c).cast("double")
+    text = number.cast("string")
+    digits = F.regexp_replace(text.try_cast("decimal(38,12)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    usual = (F.abs(number) >= 1e-4) & (F.abs(number) < 1e16)
+    return F.when(text.contains("E") & usual, plain).otherwise(text)
+
+
 def _amount(c: str) -> Column:
     number = F.col(c).cast("double")
-    return F.when(F.coalesce(number, F.lit(0.0)) == 0, "").otherwise(number.cast("string"))
+    return F.when(F.coalesce(number, F.lit(0.0)) == 0, "").otherwise(_number(c))
 
 
 
 def templates() -> dict[str, tuple[str, Column]]:
     """domain -> (column that holds its event time, summary text)."""
+    # The wording of the summaries.
     s = F.lit(" ")
     return {
         "transaction": (
@@ -50,7 +61,8 @@ def templates() -> dict[str, tuple[str, Column]]:
         ),
         "location": (
             "timestamp",
-            F.concat(_shown("latitude"), F.lit(","), _shown("longitude"), F.lit(" ("),
+            F.concat(F.coalesce(_number("latitude"), F.lit("None")), F.lit(","),
+                     F.coalesce(_number("longitude"), F.lit("None")), F.lit(" ("),
                      _shown("source_kind"), F.lit(")")),
         ),
         "consent": (

@@ -650,7 +650,7 @@ def normalise_reminders(t: Tables) -> DataFrame:
 
 @query(
     "normalise_sms_uploads",
-    """SELECT CASE WHEN turn % 3 = 0 THEN '(Queue row)' ELSE left(text, 300) END AS value, role AS detail,
+    """SELECT CASE WHEN turn % 3 = 0 THEN '(Queue row)' ELSE text END AS value, role AS detail,
   make_timestamp((1700000000 + conv_id) * 1000000) AS utc FROM conversations""",
 )
 def normalise_sms_uploads(t: Tables) -> DataFrame:

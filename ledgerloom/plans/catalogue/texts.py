@@ -282,16 +282,15 @@ def identifier_harvest(t: Tables) -> DataFrame:
 
 @query(
     "string_inventory",
-    r"""WITH found AS (SELECT page_id, regexp_extract_all(html, '[\x20-\x7e]{5,300}') AS r FROM pages),
+    r"""WITH found AS (SELECT page_id, regexp_extract_all(html, '[\x20-\x7e]{5,}') AS r FROM pages),
 runs AS (SELECT page_id, trim(unnest(r)) AS value, unnest(range(len(r))) AS i FROM found),
 firsts AS (SELECT page_id, value, min(i) AS i FROM runs WHERE length(value) >= 8 GROUP BY 1, 2)
-SELECT page_id, value, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM firsts
-QUALIFY pos < 200""",
+SELECT page_id, value, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM firsts""",
 )
 def inventory_of_strings(t: Tables) -> DataFrame:
-    """Distinct printable strings per page, the first 200 of each (the size of that report)."""
+    """Distinct printable strings per page."""
     files = t("pages").select("page_id", F.col("html").cast("binary").alias("content"))
-    return string_inventory(files, ["page_id"], 5, 300, 8, 200)
+    return string_inventory(files, ["page_id"], 5, 8)
 
 
 @query(

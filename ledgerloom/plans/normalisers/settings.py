@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.configtext import config_kind, config_meaning
 from ...functions.secrets import redact_setting, redact_text, redact_value
-from ...functions.text import json_text, truncate
+from ...functions.text import json_text
 from ...sources.files import printable_strings
 from .base import Sources, from_file, from_row, normaliser
 
@@ -86,9 +86,9 @@ def preferences(src: Sources) -> DataFrame:
 
 @normaliser("files.datastore", "pref")
 def datastore(src: Sources) -> DataFrame:
-    """Binary preference stores as a short inventory of their strings; the codec is not decoded."""
+    """Binary preference stores as an inventory of their strings; the codec is not decoded."""
     files = src.files(r"^files/datastore|\.preferences_pb$")
-    strings = F.slice(printable_strings("content", 5, 300), 1, 10)
+    strings = printable_strings("content", 5)
     listed = F.coalesce(F.nullif(F.array_join(strings, " | "), F.lit("")), F.lit("(empty)"))
     return files.select(
         "case_id",

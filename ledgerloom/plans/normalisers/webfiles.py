@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions.clocks import decode_epoch, http_date
 from ...functions.parties import ciphertext_shaped
 from ...functions.secrets import redact_text, redaction
-from ...functions.text import json_text, present, truncate
+from ...functions.text import json_text, present
 from ...sources.embedded import json_after, json_objects, json_responses
 from ...sources.files import byte_text, printable_strings, storage_pairs, string_inventory
 from .base import Sources, from_file, from_row, is_one, normaliser
@@ -48,7 +48,7 @@ def web_cache(src: Sources) -> DataFrame:
         json_text("body", "$.method").alias("method"),
         json_text("body", "$.userId").alias("user_id"),
         "size",
-        truncate(redact_text("body"), 400).alias("body_preview"),
+        redact_text("body").alias("body_preview"),
         F.when(F.col("at").isNotNull(), decode_epoch("at")).alias("created"),
         from_file(0.7),
     )
@@ -80,11 +80,11 @@ def path_origin(path: Column) -> Column:
 @normaliser("webview.indexeddb", "webstorage")
 def indexed_db(src: Sources) -> DataFrame:
     files = src.files(r"(?i)indexeddb.*\.(ldb|log)$")
-    return string_inventory(files, FILE_KEYS, 5, 300, 8, 200).select(
+    return string_inventory(files, FILE_KEYS, 5, 8).select(
         "case_id",
         path_origin(F.col("path")).alias("origin"),
         F.col("name").alias("key"),
-        truncate(redact_text("value"), 300).alias("value"),
+        redact_text("value").alias("value"),
         F.lit("indexed_db").alias("store_kind"),
         F.lit(True).alias("best_effort"),
         from_file(0.4),
@@ -98,7 +98,7 @@ def web_data(src: Sources) -> DataFrame:
     return rows.where(F.size(filled) > 0).select(
         "case_id",
         F.concat(F.lit("webdata."), F.col("source_table")).alias("key"),
-        truncate(redact_text(F.to_json(filled)), 400).alias("value"),
+        redact_text(F.to_json(filled)).alias("value"),
         from_row(),
         "raw",
     )
@@ -146,7 +146,7 @@ def sealed_stores(src: Sources) -> DataFrame:
             F.create_map(*[F.lit(x) for n, f in known.items() for x in (n, f[i])]), F.col("name")
         )
 
-    head = F.decode(F.substring("content", 1, 512), "ISO-8859-1")
+    head = byte_text("content")
     first = F.min_by(F.struct("path", "size", "sha256", head.alias("head")), F.col("path"))
     stores = (
         files.groupBy("case_id", "name")
@@ -207,7 +207,7 @@ def redact_after_marker(strings: Column, marker: str = TOKEN_MARKER) -> Column:
 @normaliser("files.fb_events", "appstate")
 def queued_sdk_events(src: Sources) -> DataFrame:
     files = src.files(r"(^|/)AppEventsLogger\.persistedevents$").withColumn(
-        "strings", redact_after_marker(printable_strings("content", 5, 300))
+        "strings", redact_after_marker(printable_strings("content", 5))
     )
     return files.select(
         "case_id",
@@ -216,9 +216,9 @@ def queued_sdk_events(src: Sources) -> DataFrame:
             "Java-serialized Facebook SDK event queue (best-effort string inventory); "
             "any access token is redacted"
         ).alias("value"),
-        F.array_join(F.slice("strings", 1, 10), " | ").alias("detail"),
+        F.array_join("strings", " | ").alias("detail"),
         from_file(0.5),
-        F.to_json(F.struct(F.slice("strings", 1, 60).alias("strings"))).alias("raw"),
+        F.to_json(F.struct("strings")).alias("raw"),
     )
 
 
@@ -282,7 +282,7 @@ def crash_sessions(src: Sources) -> DataFrame:
         "session_id",
         "user_id",
         F.when(F.col("start").isNotNull(), decode_epoch("start")).alias("start_time"),
-        truncate("preview", 200).alias("preview"),
+        "preview",
         F.col("a.path").alias("path"),
         F.col("a.sha256").alias("sha256"),
     ).select("*", from_file())
@@ -299,26 +299,26 @@ def in_app_notifications(src: Sources) -> DataFrame:
 
     decoded = found.select(
         "case_id",
-        truncate(pick("title", "heading"), 200).alias("title"),
-        truncate(redact_text(F.coalesce(pick("message", "body"), "body")), 400).alias("message"),
+        pick("title", "heading").alias("title"),
+        redact_text(F.coalesce(pick("message", "body"), "body")).alias("message"),
         pick("deeplink", "deepLink", "url").alias("deep_link"),
         pick("campaignId").alias("campaign_id"),
         F.lit(False).alias("is_dedup_record"),
         from_file(0.7),
         F.col("body").alias("raw"),
     )
-    strings = printable_strings("content", 6, 200)
+    strings = printable_strings("content", 6)
     silent = files.join(found.select(*FILE_KEYS).distinct(), FILE_KEYS, "left_anti").select(
         "case_id",
         F.lit("(Java-serialized in-app notification store)").alias("title"),
         redact_text(
             F.concat(
                 F.lit("best-effort string inventory: "),
-                F.array_join(F.slice(strings, 1, 12), " | "),
+                F.array_join(strings, " | "),
             )
         ).alias("message"),
         F.lit(False).alias("is_dedup_record"),
         from_file(0.4),
-        F.to_json(F.struct(F.slice(strings, 1, 80).alias("strings"))).alias("raw"),
+        F.to_json(F.struct(strings.alias("strings"))).alias("raw"),
     )
     return decoded.unionByName(silent, allowMissingColumns=True)

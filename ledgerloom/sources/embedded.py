@@ -11,12 +11,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 _DECODER = json.JSONDecoder()
 _URL = re.compile(rb"https?://[\x21-\x7e]{6,300}")
-#: cached responses above this size are code bundles, not API answers
-LARGEST_RESPONSE = 3_000_000
 
 FOUND = "pos int, body string, url string"
 
@@ -25,7 +22,7 @@ def first_document(content: bytes) -> tuple[str, str | None] | None:
     """The JSON document a response starts with, and the first URL after it."""
     text = content.decode("utf-8", "ignore")
     start = text.find("{")
-    if not 0 <= start <= 200:
+    if start < 0:
         return None
     if "<html" in text[:200].lower() or "function(" in text[: start + 60]:
         return None
@@ -86,8 +83,7 @@ def json_responses(files: DataFrame, keys: list[str]) -> DataFrame:
         hit = first_document(content)
         return [hit] if hit else []
 
-    small = files.where(F.length("content") <= LARGEST_RESPONSE)
-    return _scan(small, keys, pick).drop("pos")
+    return _scan(files, keys, pick).drop("pos")
 
 
 def json_objects(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,7 +116,7 @@ def build(root: str) -> None:
         "id TEXT PRIMARY KEY, vertical_id TEXT, item TEXT, timestamp INT", [("phones", "7", "{}", T0)])})
     _db(f"{db}/storefront_db_try3", {"sf_v_cache_table": (
         "dataKey TEXT, dataValue TEXT", [("flagX", '{"value": "true"}'), ("plain", "7")])})
-    _db(f"{db}/AppMessageDatabase", {
+    _db(f"{db}/PaytmMessageDatabase", {
         "NotificationData": ("id INTEGER PRIMARY KEY, title TEXT, message TEXT, deep_link TEXT,"
                              "campaignId TEXT, pushId TEXT, receiveTime INT",
                              [(1, "Hi", "There", "app://y", "K1", "P1", T0)]),
@@ -130,10 +130,10 @@ def build(root: str) -> None:
     event = {"appVersion": "9.1", "errorCode": 1103, "customMessage": "pin", "batteryPercentage": "55",
              "isRooted": False, "location": {"lat": 12.5, "lon": "77.25"}}
     cols = "id INTEGER PRIMARY KEY, event_type TEXT, customer_id TEXT, device_id TEXT, network_type TEXT, event_data TEXT, event_log_time INT"
-    _db(f"{db}/app_error_analytics", {"Event": (
+    _db(f"{db}/paytm_error_analytics", {"Event": (
         cols, [(1, "login", "C", "D", "", json.dumps({**event, "networkType": "4G"}), T0),
                (2, "bad", "C", "D", "wifi", "{oops", T0)])})
-    _db(f"{db}/bank_error_analytics", {"PBHawkEyeEvent": (
+    _db(f"{db}/paytmbank_error_analytics", {"PBHawkEyeEvent": (
         cols, [(1, "err", "C", "D", "wifi", json.dumps(event), T0)])})
     _db(f"{db}/com.google.android.datatransport.events", {"events": (
         "payload BLOB, transport_name TEXT, timestamp_ms INT", [(b"\x00\x01", "cct", T0)])})

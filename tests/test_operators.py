@@ -319,3 +319,19 @@ def test_grid_sort_puts_empty_first(spark):
     df = spark.createDataFrame([("b",), (None,), ("A",), ("",)], "c string")
     got = [r.c for r in df.orderBy(*records.sort_keys("c", df.schema), F.col("c")).collect()]
     assert got[2:] == ["A", "b"] and set(got[:2]) == {None, ""}
+
+
+def test_identifiers_are_placed_at_their_own_match(spark):
+    from ledgerloom.operators.residual import harvest
+
+    blobs = spark.createDataFrame([(1, "id 129876543210 or 9876543210"), (2, None)], "id long, t string")
+    found = {(r.id, r.kind, r.value, r.byte_offset) for r in harvest(blobs, ["id"], "t").collect()}
+    assert found == {(1, "rrn", "129876543210", 3), (1, "phone", "9876543210", 19)}
+
+
+def test_large_and_small_amounts_are_plain_digits(spark):
+    from ledgerloom.operators.timeline import _number
+
+    values = [(1e7,), (12345678.5,), (0.0005,), (12.5,), (None,)]
+    shown = [r.s for r in spark.createDataFrame(values, "x double").select(_number("x").alias("s")).collect()]
+    assert shown == ["10000000.0", "12345678.5", "0.0005", "12.5", None]
