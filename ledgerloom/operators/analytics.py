@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import present
 from .ledger import money_sum
-from .skew import set_segments
+from .skew import value_sets
 
 
 def _settled() -> Column:
@@ -50,9 +50,7 @@ def txns_per_month(txns: DataFrame, utc: Column, n: int = 12) -> DataFrame:
 
 
 def top_counterparties(entities: DataFrame, n: int = 5) -> DataFrame:
-    """The parties with most payments; one that continues in segments is listed once."""
-    if "segment" in entities.columns:
-        entities = entities.where("segment = 0")
+    """The parties with most payments."""
     return (
         entities.where((F.col("txn_count") > 0) & ~F.col("is_subject"))
         .orderBy(F.desc("txn_count"), "entity_id")
@@ -67,11 +65,7 @@ def activity_series(timeline: DataFrame) -> DataFrame:
 
 
 def subject_profile(person: DataFrame, accounts: DataFrame, prefs: DataFrame) -> DataFrame:
-    """The device owner of each case; a missing bank is filled from the linked accounts.
-
-    One row per case; only a case with more than a thousand different banks continues in further
-    rows, told apart by ``segment``.
-    """
+    """The device owner of each case; a missing bank is filled from the linked accounts."""
     subjects = (
         person.where("is_subject")
         .groupBy("case_id")
@@ -84,8 +78,8 @@ def subject_profile(person: DataFrame, accounts: DataFrame, prefs: DataFrame) ->
         )
         .select("case_id", "s.*")
     )
-    banks = set_segments(accounts.where(present("bank_name").isNotNull()), ["case_id"], "bank_name", "b")
-    banks = banks.select("case_id", "segment", F.array_join("b", ", ").alias("banks"))
+    banks = value_sets(accounts.where(present("bank_name").isNotNull()), ["case_id"], "bank_name", "b")
+    banks = banks.select("case_id", F.array_join("b", ", ").alias("banks"))
     settings = prefs.groupBy("case_id").agg(
         *[
             F.min_by("value", F.when(F.col("key") == k, F.col("provenance.source_file"))).alias(k)
@@ -96,6 +90,5 @@ def subject_profile(person: DataFrame, accounts: DataFrame, prefs: DataFrame) ->
         subjects.join(banks, "case_id", "left")
         .join(settings, "case_id", "left")
         .withColumn("bank_name", F.coalesce(present("bank_name"), "banks"))
-        .withColumn("segment", F.coalesce("segment", F.lit(0)))
         .drop("banks")
     )

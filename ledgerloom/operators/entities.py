@@ -10,7 +10,7 @@ from ..functions.text import present
 from ..session import cut_lineage
 from .components import label_records
 from .ledger import money
-from .skew import set_segments
+from .skew import value_sets
 
 ATTRIBUTES = {
     "names": "name",
@@ -175,7 +175,7 @@ def attribute(parties: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def entity_table(person: DataFrame, txns: DataFrame, messages: DataFrame) -> DataFrame:
-    """Entity rows; a party with more than a thousand values of one kind continues in segments."""
+    """One row per entity, with all values of each kind."""
     people = person_records(person)
     # these three tables are read several times below, so each is written once
     parties = cut_lineage(ledger_parties(txns))
@@ -219,7 +219,6 @@ def entity_table(person: DataFrame, txns: DataFrame, messages: DataFrame) -> Dat
     return profile.join(sets, "component", "left").select(
         "case_id",
         F.col("component").alias("entity_id"),
-        F.coalesce("segment", F.lit(0)).alias("segment"),
         *[F.coalesce(c, empty).alias(c) for c in ATTRIBUTES],
         "person_type",
         "is_subject",
@@ -242,11 +241,7 @@ def _attribute_sets(labelled: DataFrame) -> DataFrame:
     long = labelled.select(
         "component", F.explode(F.concat(F.array(*single), handles)).alias("a")
     ).select("component", "a.attribute", "a.value")
-    parts = set_segments(long, ["component", "attribute"], "value", "part")
-    return parts.groupBy("component", "segment").agg(
-        *[F.max_by("part", F.col("attribute") == a).alias(f"_{a}") for a in ATTRIBUTES],
-        *[F.bool_or(F.col("attribute") == a).alias(f"_has_{a}") for a in ATTRIBUTES],
-    ).select(
-        "component", "segment",
-        *[F.when(F.col(f"_has_{a}"), F.col(f"_{a}")).alias(a) for a in ATTRIBUTES],
-    )
+    parts = value_sets(long, ["component", "attribute"], "value", "part")
+    return parts.groupBy("component").agg(
+        *[F.max_by("part", F.when(F.col("attribute") == a, F.lit(1))).alias(a) for a in ATTRIBUTES]
+    )

@@ -81,8 +81,9 @@ def entry_hash(previous: Column, body: Column) -> Column:
 def chain_breaks(
     entries: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
 ) -> DataFrame:
-    """Entries (prev_hash, expected_hash, entry_hash) that break their chain, with the reason."""
-    linked = lag_in_chunks(entries, keys, order, chunk, {"_before": "entry_hash"})
+    """Entries (prev_hash, expected_hash, entry_hash) that break their chain, with the reason.
+    An entry without a hash does not begin a new chain: the next one must name the last hash before it."""
+    linked = lag_in_chunks(entries, keys, order, chunk, {"_before": "entry_hash"}, skip_nulls=True)
     loose = ~F.col("prev_hash").eqNullSafe(F.coalesce("_before", F.lit(GENESIS)))
     edited = ~F.col("expected_hash").eqNullSafe(F.col("entry_hash"))
     reasons = F.array_compact(

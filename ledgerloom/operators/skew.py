@@ -116,8 +116,10 @@ def lag_in_chunks(
     order: Sequence[str],
     chunk: Column,
     previous: dict[str, str],
+    skip_nulls: bool = False,
 ) -> DataFrame:
-    """Values of the previous row within ``keys`` by ``order``.
+    """Values of the previous row within ``keys`` by ``order``; with ``skip_nulls`` the last value before the
+    row that is not null (of one column).
 
     ``chunk`` is a non-decreasing function of the order (an hour, an id range). The window runs
     per (keys, chunk), so a hot key is spread over its chunks; the last row of each chunk is
@@ -127,7 +129,8 @@ def lag_in_chunks(
     """
     rows = df.withColumn("_chunk", chunk)
     tail_cols = sorted({*order, *previous.values()})
-    tail = F.max_by(F.struct(*keys, *tail_cols), F.struct(*keys, *order)).alias("_tail")
+    present = [F.col(c).isNotNull() for c in previous.values()] if skip_nulls else []
+    tail = F.max_by(F.struct(*keys, *tail_cols), F.struct(*keys, *present, *order)).alias("_tail")
     if _chunks_are_even(rows, keys):
         tails = rows.groupBy(*keys, "_chunk").agg(tail)
         following = Window.partitionBy(*keys).orderBy("_chunk")
@@ -137,6 +140,11 @@ def lag_in_chunks(
         # one row per partition: a key that goes on in the next partition finds its last row here
         tails = rows.groupBy("_chunk").agg(tail)
         following = Window.orderBy("_chunk")
+    if skip_nulls:
+        so_far = Window.partitionBy(*[F.col("_tail")[k] for k in keys]).orderBy("_chunk")
+        for src in previous.values():
+            known = F.last(F.col("_tail")[src], ignorenulls=True).over(so_far)
+            tails = tails.withColumn("_tail", F.col("_tail").withField(src, known))
     carried = (
         tails.withColumn("_chunk", F.lead("_chunk").over(following))
         .where("_chunk IS NOT NULL")
@@ -145,8 +153,10 @@ def lag_in_chunks(
     both = rows.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
     # carried rows come first: their order value lies in an earlier chunk
     in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_carried"), *order)
+    earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
     for out, src in previous.items():
-        both = both.withColumn(out, F.lag(src).over(in_chunk))
+        last = F.last(src, ignorenulls=True).over(earlier) if skip_nulls else F.lag(src).over(in_chunk)
+        both = both.withColumn(out, last)
     return both.where(~F.col("_carried")).drop("_carried", "_chunk")
 
 
@@ -200,20 +210,8 @@ def rank_all(df: DataFrame, order: Sequence, out: str) -> DataFrame:
     )
 
 
-#: Values per array cell; longer sets continue in further segments.
-SEGMENT_SIZE = 1000
-
-
-def set_segments(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Sorted distinct values per key as arrays of about ``SEGMENT_SIZE``.
-
-    A key with few values has one segment 0 that holds the whole sorted set. A key with very many
-    values is spread over several rows by value hash, so no cell and no task grows without bound.
-    """
+def value_sets(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """One row per key with its sorted distinct values. Repeats go before the values of a key meet, so a
+    cell grows with the different values of its key only, whatever share of the rows it owns."""
     distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    sizes = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_segments", F.ceil(F.col("_n") / SEGMENT_SIZE))
-    placed = lookup_weighted(distinct, sizes, keys, "_n")
-    bucket = F.conv(F.left(F.md5(F.col(value).cast("binary")), F.lit(8)), 16, 10).cast("bigint")
-    placed = placed.withColumn("segment", F.pmod(bucket, F.col("_segments")).cast("int"))
-    return placed.groupBy(*keys, "segment").agg(F.array_sort(F.collect_set(value)).alias(out))
+    return distinct.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias(out))

@@ -317,20 +317,18 @@ def config_diff_defaults(t: Tables) -> DataFrame:
 @query(
     "collect_ordered_lists",
     """WITH counted AS (SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, l_linenumber::BIGINT * 1000000000 + l_partkey // 1000 AS segment, count(*) AS n_items,
-  string_agg(l_partkey || 'x' || n, ',' ORDER BY l_partkey) AS parts
-FROM counted GROUP BY 1, 2""",
+SELECT l_orderkey, count(*) AS n_items,
+  string_agg(l_partkey || 'x' || n, ',' ORDER BY l_linenumber, l_partkey) AS parts
+FROM counted GROUP BY 1""",
 )
 def collect_ordered_lists(t: Tables) -> DataFrame:
-    """Ordered part lists per order. Repeats are counted first and a list is cut by (line, part
-    range), so one array holds at most a thousand entries, whatever an order owns."""
+    """The ordered part list of each order. Repeats are counted before the list is made."""
     counted = t("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
         F.count(F.lit(1)).alias("n")
     )
-    segment = F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.floor(F.col("l_partkey") / 1000)
-    pairs = F.array_sort(F.collect_list(F.struct("l_partkey", "n")))
-    text = F.transform(pairs, lambda p: F.concat(p["l_partkey"], F.lit("x"), p["n"]))
-    return counted.groupBy("l_orderkey", segment.alias("segment")).agg(
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "n")))
+    text = F.transform(items, lambda p: F.concat(p["l_partkey"], F.lit("x"), p["n"]))
+    return counted.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_items"), F.array_join(text, ",").alias("parts")
     )
 

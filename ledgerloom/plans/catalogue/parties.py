@@ -180,19 +180,20 @@ def entity_attribution(t: Tables) -> DataFrame:
 
 
 def document_keys(t: Tables) -> DataFrame:
-    """What two documents may share: the whole text, the first e-mail address, source and length."""
-    email = F.nullif(F.regexp_extract("text", r"[A-Za-z0-9_.]+@[A-Za-z0-9_.]+", 0), F.lit(""))
-    kinds = [
+    """What two documents may share: the whole text, any e-mail address, source and length."""
+    emails = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_.]+@[A-Za-z0-9_.]+"), F.lit(0)))
+    single = [
         F.struct(F.lit(kind).alias("kind"), value.alias("value"))
         for kind, value in (
             ("text", F.md5(F.col("text").cast("binary"))),
-            ("email", email),
             ("shape", F.concat_ws("/", "source", F.col("n_chars").cast("string"))),
         )
     ]
+    empty = F.array().cast("array<string>")
+    found = F.transform(F.coalesce(emails, empty), lambda e: F.struct(F.lit("email").alias("kind"), e.alias("value")))
     keys = (
         spread(t("documents").select("doc_id", "text", "source", "n_chars"))
-        .select("doc_id", F.explode(F.array(*kinds)).alias("k"))
+        .select("doc_id", F.explode(F.concat(F.array(*single), found)).alias("k"))
         .select("doc_id", "k.kind", "k.value")
         .where("value IS NOT NULL")
     )
@@ -206,8 +207,8 @@ def labelled_documents(t: Tables, keys: DataFrame) -> DataFrame:
 
 SQL_DOC_COMPONENTS = """keys AS MATERIALIZED (
   SELECT doc_id, 'text' AS kind, md5(text) AS value FROM documents
-  UNION ALL SELECT doc_id, 'email', nullif(regexp_extract(text, '[A-Za-z0-9_.]+@[A-Za-z0-9_.]+'), '')
-    FROM documents
+  UNION ALL SELECT doc_id, 'email', unnest(list_distinct(regexp_extract_all(text,
+    '[A-Za-z0-9_.]+@[A-Za-z0-9_.]+'))) FROM documents
   UNION ALL SELECT doc_id, 'shape', source || '/' || n_chars FROM documents),
 edges AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b
   FROM keys a JOIN keys b USING (kind, value) WHERE a.doc_id <> b.doc_id),

@@ -38,7 +38,7 @@ DOMAINS = {
     f"pincode string, timestamp {TIME}",
     "consent": "consent_key string, consent_value string, synced_with_server boolean, "
     f"timestamp {TIME}",
-    "job": "worker_class string, job_names array<string>, tags array<string>, segment int, "
+    "job": "worker_class string, job_names array<string>, tags array<string>, "
     f"state string, state_label string, last_enqueue {TIME}, interval_ms bigint, "
     "run_attempt_count bigint",
     "notification": "title string, message string, deep_link string, campaign_id string, "

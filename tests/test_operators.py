@@ -10,6 +10,7 @@ from ledgerloom.operators import components, entities, geo, integrity, ledger, q
 from ledgerloom.operators.filters import FilterSpec, spec_from_inputs
 from ledgerloom.schemas import conform, provenance
 from ledgerloom.sources import sinks
+from ledgerloom.sources.files import settings
 
 
 def people(spark, rows):
@@ -124,14 +125,35 @@ def test_lookups_keep_every_row(spark, skewed, monkeypatch):
     assert {r.id: r.first for r in salted.collect()} == {i: plain.get(i) for i in range(3000)}
 
 
-def test_set_segments(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SEGMENT_SIZE", 10)
-    rows = [("big", f"v{i % 200}") for i in range(1000)] + [("small", "b"), ("small", "a"), ("small", None)]
+def test_value_sets_are_whole(spark):
+    rows = [("big", f"v{i % 2000:04}") for i in range(6000)] + [("small", "b"), ("small", "a"), ("small", None)]
     df = spark.createDataFrame(rows, "k string, v string")
-    got = skew.set_segments(df, ["k"], "v", "s").collect()
-    assert [r.s for r in got if r.k == "small"] == [["a", "b"]]
-    big = [r.s for r in got if r.k == "big"]
-    assert len(big) > 10 and sorted(v for s in big for v in s) == sorted({f"v{i}" for i in range(200)})
+    got = {r.k: r.s for r in skew.value_sets(df, ["k"], "v", "s").collect()}
+    assert got == {"small": ["a", "b"], "big": [f"v{i:04}" for i in range(2000)]}
+
+
+@pytest.mark.parametrize("rows_per_chunk", [1, 2_000_000])  # 1: cut by range instead of chunks
+def test_last_value_before_a_row_skips_nulls(spark, monkeypatch, rows_per_chunk):
+    monkeypatch.setattr(skew, "CHUNK_ROWS", rows_per_chunk)
+    values = [None if 5 < i < 60 or i % 3 else i for i in range(100)]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("j", 7, None)], "k string, i int, v int")
+    got = skew.lag_in_chunks(df, ["k"], ["i"], F.floor(F.col("i") / 10), {"p": "v"}, skip_nulls=True)
+    want, last = {("j", 7): None}, None
+    for i, v in enumerate(values):
+        want["k", i], last = last, v if v is not None else last
+    assert {(r.k, r.i): r.p for r in got.collect()} == want
+
+
+def test_settings_take_the_last_entry_of_any_tag(spark):
+    bodies = {
+        "a": b'<?xml version="1.0"?><map><int name="k" value="1"/><string name="k">2</string><double name="d" value="0.5"/></map>',
+        "b": b"<map><string name='k'>x</str",
+        "c": "<map><string name='k'>\u00e9</string><string name=''>y</string><set name='s'><string>z</string></set></map>".encode(),
+        "d": None,
+    }
+    files = spark.createDataFrame(list(bodies.items()), "path string, content binary")
+    got = {(r.path, r.key): r.value for r in settings(files, ["path"]).collect()}
+    assert got == {("a", "k"): "2", ("a", "d"): "0.5", ("c", "k"): "\u00e9", ("c", "s"): None}
 
 
 def test_anti_known_keeps_keyless_rows(spark):
