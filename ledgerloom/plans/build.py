@@ -17,8 +17,16 @@ from ..sources import sqlite
 from ..sources.sinks import read_domain, write_domain
 from .normalisers import REGISTRY, LandedSources
 
-#: carved rows come from databases only
-SQLITE_MAGIC = b"SQLite format 3\x00"
+RUN_LOG = "normaliser string, domain string, n_rows bigint, error string"
+
+
+def _runs(df: DataFrame) -> str | None:
+    """The error that evaluating ``df`` ends with, if any."""
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except Exception as e:  # noqa: BLE001
+        return str(e)
+    return None
 
 
 def run_normalisers(
@@ -26,7 +34,9 @@ def run_normalisers(
 ) -> DataFrame:
     """Write every domain; returns (normaliser, domain, rows) as the run log.
 
-    A source that fails is logged with -1 and does not stop the others.
+    A source that fails is logged with -1 and loses only its own rows: where a domain cannot be written,
+    each of its sources is tried alone. Every domain is written, without rows if it has no source, and a
+    source without rows is logged with 0.
     """
     by_domain, log = defaultdict(list), []
     for name, n in REGISTRY.items():
@@ -36,24 +46,29 @@ def run_normalisers(
             df = n(sources).withColumn("normaliser", F.lit(name))
             by_domain[n.domain].append((name, df))
         except Exception as e:  # noqa: BLE001  (schema surprises of one source)
-            log.append((name, n.domain, -1, str(e)[:500]))
+            log.append((name, n.domain, -1, str(e)))
+            by_domain[n.domain] += []
     for domain, parts in by_domain.items():
-        whole = reduce(DataFrame.unionByName, [df for _, df in parts])
+        empty = conform(spark.createDataFrame([], "case_id string"), domain).withColumn("normaliser", F.lit(None).cast("string"))
+
+        def whole() -> DataFrame:
+            return reduce(DataFrame.unionByName, [df for _, df in parts], empty)
+
         try:
-            write_domain(whole, store, domain)
-        except Exception as e:  # noqa: BLE001
-            log += [(name, domain, -1, str(e)[:500]) for name, _ in parts]
-    schema = "normaliser string, domain string, n_rows bigint, error string"
-    failed = spark.createDataFrame(log, schema)
-    written = [d for d in by_domain if d not in {x[1] for x in log if x[0] in dict(by_domain[d])}]
-    counts = [
-        read_domain(spark, store, d)
-        .groupBy("normaliser")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select("normaliser", F.lit(d).alias("domain"), "n_rows", F.lit(None).cast("string").alias("error"))
-        for d in written
-    ]
-    return reduce(DataFrame.unionByName, [failed, *counts])
+            write_domain(whole(), store, domain)
+        except Exception:  # noqa: BLE001
+            errors = {name: _runs(df) for name, df in parts}
+            log += [(name, domain, -1, error) for name, error in errors.items() if error]
+            parts[:] = [(name, df) for name, df in parts if not errors[name]]
+            write_domain(whole(), store, domain)
+    failed = spark.createDataFrame(log, RUN_LOG)
+    sources = spark.createDataFrame([(n, d) for d, parts in by_domain.items() for n, _ in parts], "normaliser string, domain string")
+    found = reduce(DataFrame.unionByName, [read_domain(spark, store, d).select("normaliser", F.lit(d).alias("domain")) for d in by_domain])
+    counted = found.groupBy("normaliser", "domain").agg(F.count(F.lit(1)).alias("n"))
+    counts = sources.join(counted, ["normaliser", "domain"], "left").select(
+        "normaliser", "domain", F.coalesce("n", F.lit(0)).alias("n_rows"), F.lit(None).cast("string").alias("error")
+    )
+    return failed.unionByName(counts)
 
 
 def build(spark: SparkSession, cases: DataFrame, store: str, bank_defaults: DataFrame | None = None):
@@ -67,25 +82,37 @@ def build(spark: SparkSession, cases: DataFrame, store: str, bank_defaults: Data
     inventory.write.mode("overwrite").parquet(f"{store}/_inventory")
     inventory = spark.read.parquet(f"{store}/_inventory")
     fs.save_manifest(fs.manifest(inventory), f"{store}/_manifest")
-    hashes = fs.load_manifest(spark, f"{store}/_manifest").select("case_id", "path", "sha256")
+    hashes = fs.load_manifest(spark, f"{store}/_manifest").select("case_id", "path", "sha256", "is_sqlite")
     hashed = fs.artifacts(inventory).join(hashes, ["case_id", "path"], "left")
 
-    first = F.min_by(F.struct("root", "path", "size", "sha256"), F.col("path")).alias("f")
+    first = F.min_by(F.struct("root", "path", "size", "sha256", "is_sqlite"), F.col("path")).alias("f")
     named = hashed.groupBy("case_id", "name").agg(first).select("case_id", "name", "f.*")
-    databases = sqlite.database_files(named)
+    # the first bytes tell what is a database; other files are never opened as one
+    stores = named.where(F.col("is_sqlite") | F.col("name").endswith("-wal"))
+    databases = sqlite.database_files(stores).join(named.where("is_sqlite").select("case_id", "path"), ["case_id", "path"], "left_semi")
     sqlite.log_deltas(databases).write.mode("overwrite").parquet(f"{store}/_log_deltas")
-    sqlite.land(sqlite.sqlite_rows(databases), f"{store}/_rows")
+    sqlite.table_splits(databases).write.mode("overwrite").parquet(f"{store}/_splits")
+    splits = spark.read.parquet(f"{store}/_splits")
+    sqlite.land(sqlite.sqlite_rows(databases, splits), f"{store}/_rows")
     landed = spark.read.parquet(f"{store}/_rows")
 
     log = run_normalisers(spark, LandedSources(landed, hashed, bank_defaults), store)
+    # unreadable files and tables are failures too
+    damaged = fs.load_manifest(spark, f"{store}/_manifest").select("case_id", "path", "error").unionByName(
+        splits.select("case_id", F.concat_ws("#", "path", "source_table").alias("path"), "error")
+    ).where("error IS NOT NULL")
+    log = log.unionByName(damaged.select(
+        F.concat_ws("/", "case_id", "path").alias("normaliser"), F.lit("source").alias("domain"),
+        F.lit(-1).cast("bigint").alias("n_rows"), "error",
+    ))
     log.write.mode("overwrite").parquet(f"{store}/_run_log")
     domains = {
         d: read_domain(spark, store, d)
         for d in {n.domain for n in REGISTRY.values()}
     }
 
-    is_db = F.substring("content", 1, len(SQLITE_MAGIC)) == F.lit(SQLITE_MAGIC)
-    blobs = fs.contents(named.where(F.col("size") > 16)).where(is_db)
+    # databases and their write-ahead logs, where removed rows last longest
+    blobs = fs.contents(stores.select("case_id", "root", "path", "name", "size"))
     blobs = blobs.join(hashes, ["case_id", "path"], "left").withColumn("t", fs.byte_text("content"))
     found = residual_identifiers(
         blobs.select("case_id", "path", "sha256", "t"), ["case_id", "path", "sha256"], "t",

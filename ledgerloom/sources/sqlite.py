@@ -24,7 +24,7 @@ SKIPPED_TABLES = {"android_metadata", "room_master_table", "sqlite_sequence"}
 
 SPLITS = (
     "case_id string, root string, path string, name string, has_log boolean, sha256 string, "
-    "source_table string, lo bigint, hi bigint, n_rows bigint"
+    "source_table string, lo bigint, hi bigint, n_rows bigint, error string"
 )
 ROWS = (
     "case_id string, source_file string, file_name string, source_table string, rowid bigint, "
@@ -105,8 +105,9 @@ def _tables(con) -> list[str]:
         return []
 
 
-def _table_splits(con) -> list[tuple]:
-    out = []
+def _table_splits(con, failed: list[tuple] | None = None) -> list[tuple]:
+    """(table, lo, hi, rows) of every range to read; ``failed`` takes (table, error) of unreadable tables."""
+    out, failed = [], [] if failed is None else failed
     for table in _tables(con):
         try:
             lo, hi, n = con.execute(
@@ -115,11 +116,13 @@ def _table_splits(con) -> list[tuple]:
         except sqlite3.OperationalError:  # a table without rowid is read in one piece
             try:
                 n = con.execute(f"SELECT count(*) FROM {_quoted(table)}").fetchone()[0]
-            except sqlite3.DatabaseError:
+            except sqlite3.DatabaseError as e:
+                failed.append((table, str(e)))
                 continue
             out.append((table, None, None, n))
             continue
-        except sqlite3.DatabaseError:
+        except sqlite3.DatabaseError as e:
+            failed.append((table, str(e)))
             continue
         if not n:
             continue
@@ -135,15 +138,20 @@ def _plan_files(batches):
     for pdf in batches:
         rows = []
         for case_id, root, path, name, has_log, sha256 in pdf.itertuples(index=False):
+            failed = []
             for mode in ([True, False] if has_log else [False]):
+                failed.clear()
                 try:
                     with _database(root, path, mode) as (con, _):
-                        splits = _table_splits(con)
-                except (sqlite3.Error, OSError, RuntimeError):
+                        con.execute("SELECT count(*) FROM sqlite_master").fetchone()
+                        splits = _table_splits(con, failed)
+                except (sqlite3.Error, OSError, RuntimeError) as e:
+                    failed.append((None, str(e)))
                     continue  # an unreadable log falls back to the plain file
                 if splits or not mode:
-                    rows += [(case_id, root, path, name, mode, sha256, *s) for s in splits]
+                    rows += [(case_id, root, path, name, mode, sha256, *s, None) for s in splits]
                     break
+            rows += [(case_id, root, path, name, has_log, sha256, t, None, None, -1, e) for t, e in failed]
         yield pd.DataFrame(rows, columns=cols).astype({"lo": "Int64", "hi": "Int64"})
 
 
@@ -207,20 +215,21 @@ def database_files(inventory: DataFrame) -> DataFrame:
 
 
 def table_splits(databases: DataFrame) -> DataFrame:
-    """What to read: (file, table, rowid range). Row counts come along for reconciliation."""
+    """What to read: (file, table, rowid range). Row counts come along for reconciliation; a file or table
+    that cannot be read is a row with an ``error`` and no range."""
     spread = databases.repartition("case_id", "path")
     return spread.select("case_id", "root", "path", "name", "has_log", "sha256").mapInPandas(
         _plan_files, SPLITS
     )
 
 
-def sqlite_rows(databases: DataFrame) -> DataFrame:
+def sqlite_rows(databases: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     """All rows of all tables as (provenance columns, column -> text map).
 
     A large table is read by several tasks, one rowid range each; ranges of one file are spread
     over the cluster like those of any other.
     """
-    splits = table_splits(databases)
+    splits = (table_splits(databases) if splits is None else splits).where("error IS NULL").drop("error")
     return splits.repartition("case_id", "path", "source_table", "lo").mapInPandas(_read_rows, ROWS)
 
 

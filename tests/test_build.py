@@ -7,8 +7,11 @@ import fixture_case
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import quality
+from ledgerloom.plans import build as build_module
 from ledgerloom.plans.build import build
 from ledgerloom.plans.normalisers.webfiles import CART_KEY
+from ledgerloom.schemas import conform
 from ledgerloom.sources import files as fs
 from ledgerloom.sources import sqlite
 from ledgerloom.sources.sinks import read_domain, write_domain
@@ -33,10 +36,12 @@ def rows(spark, store, domain, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
 
 
-def test_no_source_failed(spark, store):
+def test_only_the_damaged_file_failed(spark, store):
     log = spark.read.parquet(f"{store}/_run_log")
-    assert log.where("n_rows < 0").collect() == []
-    counts = {r.normaliser: r.n_rows for r in log.collect()}
+    failed = quality.failed_sources(log).collect()
+    assert [(r.normaliser.split("/")[-1], r.domain) for r in failed] == [("damaged.db", "source")]
+    assert failed[0].error
+    counts = {r.normaliser: r.n_rows for r in log.where("n_rows >= 0").collect()}
     expected = {
         "identity": 1, "transactions.passbook": 3, "transactions.chat": 3, "contacts.users": 1,
         "contacts.vpa_cache": 1, "chats.channels": 2, "chats": 5, "location.signal": 1,
@@ -187,6 +192,50 @@ def test_residual_identifiers(spark, store):
     assert not any(v == "shop@okaxis" for _, v, _ in got)  # live elsewhere
 
 
+class Source:
+    def __init__(self, domain, make):
+        self.domain, self.make = domain, make
+
+    def __call__(self, src):
+        return conform(self.make(), self.domain)
+
+
+def test_a_failing_source_loses_only_its_own_rows(spark, tmp_path, monkeypatch):
+    one = spark.createDataFrame([("c", "q")], "case_id string, query string")
+
+    def unplanned():
+        raise ValueError("no such column")
+
+    monkeypatch.setattr(build_module, "REGISTRY", {
+        "good": Source("search", lambda: one),
+        "bad": Source("search", lambda: one.withColumn("query", F.raise_error(F.lit("boom")).cast("string"))),
+        "none": Source("search", lambda: one.limit(0)),
+        "unplanned": Source("cookie", unplanned),
+    })
+    log = {r.normaliser: r for r in build_module.run_normalisers(spark, None, str(tmp_path)).collect()}
+    assert {n: r.n_rows for n, r in log.items()} == {"good": 1, "bad": -1, "none": 0, "unplanned": -1}
+    assert "boom" in log["bad"].error and "no such column" in log["unplanned"].error
+    assert [r.query for r in read_domain(spark, str(tmp_path), "search").collect()] == ["q"]
+    assert read_domain(spark, str(tmp_path), "cookie").count() == 0
+
+
+def test_residual_scan_reads_write_ahead_logs(spark, tmp_path):
+    folder = tmp_path / "cases" / "c" / "databases"
+    os.makedirs(folder)
+    con = sqlite3.connect(folder / "gone.db")
+    con.execute("PRAGMA journal_mode=WAL")
+    con.execute("PRAGMA wal_autocheckpoint=0")
+    con.execute("CREATE TABLE t(id INTEGER PRIMARY KEY, v TEXT)")
+    con.execute("INSERT INTO t VALUES (1, ' 9811122233 ')")
+    con.commit()
+    (folder / "note.txt").write_text("SQLite 9811122244")
+    build(spark, fs.case_folders(spark, str(tmp_path / "cases")), str(tmp_path / "store"))
+    got = read_domain(spark, str(tmp_path / "store"), "carved").select("value", "provenance.source_file").collect()
+    con.close()
+    assert ("9811122233", "databases/gone.db-wal") in {tuple(r) for r in got}
+    assert {r.value for r in got} == {"9811122233"}
+
+
 def test_rerun_does_not_duplicate(spark, store, tmp_path):
     table = read_domain(spark, store, "transaction")
     for _ in range(2):
