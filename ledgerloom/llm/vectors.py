@@ -37,8 +37,9 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def by_group(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Cut a stream sorted by its first column so that each piece holds whole groups, or, of a group of
-    more than ``most`` rows, the next ``most``."""
+    """Cut a stream sorted by its first column into pieces of whole groups. Of a group of more than twice
+    ``most`` rows the next whole multiple of ``most`` may come first, and at least ``most`` rows later; the caller
+    cuts groups of more than ``most`` rows into parts."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -47,7 +48,7 @@ def by_group(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         table = pa.Table.from_batches(held).combine_chunks()
         key = table.column(0).to_numpy()
         cut = int(np.searchsorted(key, key[-1], side="left"))
-        while len(key) - cut >= most:
+        while len(key) - cut >= 2 * most:
             cut += most
         if cut:
             yield table.slice(0, cut).combine_chunks().to_batches()[0]
