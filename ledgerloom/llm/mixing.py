@@ -13,8 +13,7 @@ from .common import written
 
 BUCKETS = 1 << 16  #: hash buckets of the seeded order; bounds the rows of one pattern's running sum
 ZONE = 4096  #: least number of documents looked at where a pattern's quota ends
-LOWEST = -(1 << 63)  #: below every hash
-PICKS = 64  #: most documents picked singly behind the cut
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1  #: the ends of the seeded order
 
 
 def words(text: str) -> Column:
@@ -102,19 +101,77 @@ def route(
     return taken
 
 
-def _cut(zone: pd.DataFrame) -> pd.DataFrame:
-    """Where one pattern's prefix ends in the seeded order, and which later documents fill the gap."""
+def _filled(zone: pd.DataFrame) -> pd.DataFrame:
+    """Go through one pattern's zone in the seeded order and take every document that fits the room left.
+
+    A span (lo, hi, cap) holds the documents from lo to hi of at most ``cap`` words. A document above the cap is passed
+    over by it; one that the cap would let in but the room does not ends the span.
+    """
     zone = zone.sort_values("hash")
-    room, stop, cut, picks = int(zone["room"].iloc[0]), False, LOWEST, []
-    for h, size in zip(zone["hash"].tolist(), zone["size"].tolist(), strict=True):
-        if size <= room and not stop:
-            cut, room = h, room - size
-        elif size <= room and size and len(picks) < PICKS:
-            picks.append(h)
+    room, cap, lo = (int(zone[c].iloc[0]) for c in ("room", "cap", "lo"))
+    spans = []
+    for h, size, least in zip(zone["hash"].tolist(), zone["size"].tolist(), zone["least"].tolist(), strict=True):
+        if size <= room:
             room -= size
-        else:
-            stop = True
-    return pd.DataFrame([(zone["pattern"].iloc[0], cut, picks)], columns=["pattern", "cut", "picks"])
+        elif least <= cap:
+            spans.append((lo, h - 1, cap))
+            lo, cap = h + 1, room
+    columns = [[s[i] for s in spans] for i in range(3)]
+    return pd.DataFrame([(zone["pattern"].iloc[0], room, lo, cap, *columns)], columns=["pattern", "room", "lo", "cap", "los", "his", "caps"])
+
+
+def _spans(sized: DataFrame, rests: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """Spans of the seeded order that hold ``rests`` words of each pattern, or what comes nearest: each
+    document in turn is taken if it fits the room left, until no later one fits.
+
+    Whole buckets are summed; only in the zone where a room ends are documents looked at singly. If the zone
+    leaves room, the next turn goes on behind it.
+    """
+    spark = sized.sparkSession
+    spans: dict[str, list[tuple[int, int, int]]] = {p: [] for p in rests}
+    todo = [(p, rest, LOWEST >> 48) for p, rest in rests.items() if rest > 0]
+    bucket = F.shiftright(F.col("hash"), 48).alias("bucket")
+    running = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    while todo:
+        start = {p: (room, first) for p, room, first in todo}
+        asked = F.broadcast(spark.createDataFrame(todo, "pattern string, cap bigint, start bigint"))
+        fitting = sized.join(asked, "pattern").where((bucket >= F.col("start")) & (F.col("size") <= F.col("cap")))
+        sums = fitting.groupBy("pattern", "cap", bucket).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        along = sums.withColumn("upto", F.sum("size").over(running))
+        along = along.withColumn("seen", F.sum(F.when(F.col("upto") > F.col("cap"), F.col("n")).otherwise(0)).over(running))
+        ends = along.groupBy("pattern").agg(
+            F.sum("size").alias("size"),
+            F.max(F.when(F.col("upto") <= F.col("cap"), F.struct("bucket", "upto"))).alias("full"),
+            F.min(F.when(F.col("seen") >= ZONE, F.col("bucket"))).alias("to"),
+        ).where("size > 0").select("pattern", "full.bucket", "full.upto", "to").collect()
+        zones = []
+        for r in ends:
+            cap, first = start[r.pattern]
+            after = first if r.bucket is None else r.bucket + 1
+            zones.append((r.pattern, cap - (r.upto or 0), cap, first << 48, after, r.to))
+        todo = []
+        if not zones:
+            break
+        ddl = "pattern string, room bigint, cap bigint, lo bigint, after bigint, to bigint"
+        inside = (bucket >= F.col("after")) & (F.col("to").isNull() | (bucket <= F.col("to"))) & (F.col("size") <= F.col("cap"))
+        zone = sized.join(F.broadcast(spark.createDataFrame(zones, ddl).where("room > 0")), "pattern").where(inside).groupBy("pattern", "hash").agg(
+            F.sum("size").cast("bigint").alias("size"), F.min("size").cast("bigint").alias("least"),
+            *[F.first(c).alias(c) for c in ("room", "cap", "lo")],
+        )
+        kind = "pattern string, room bigint, lo bigint, cap bigint, los array<bigint>, his array<bigint>, caps array<bigint>"
+        looked = {r.pattern: r for r in zone.groupBy("pattern").applyInPandas(_filled, kind).collect()}
+        for p, room, cap, lo, after, to in zones:
+            if p in looked:
+                r = looked[p]
+                spans[p] += list(zip(r.los, r.his, r.caps, strict=True))
+                end = HIGHEST if to is None else ((to + 1) << 48) - 1
+                if r.lo <= end:
+                    spans[p].append((r.lo, end, r.cap))
+                if to is not None and r.room and (to + 1) << 48 <= HIGHEST:
+                    todo.append((p, r.room, to + 1))
+            else:  # the room ends with a bucket, or all that fits is taken
+                spans[p].append((lo, (after << 48) - 1, cap))
+    return spans
 
 
 def plan_mix(
@@ -123,19 +180,12 @@ def plan_mix(
     """(plan, source sizes, targets) for rows (pattern, sources, hash, size).
 
     ``plan`` has one row per membership pattern: how often each of its documents is taken (``base``),
-    and for the last, partial time the end of the prefix of the seeded order (``cut``) and up to
-    ``PICKS`` single hashes behind it. Only sums per pattern reach the driver; more than
-    ``max_patterns`` of them raise an error, so the plan is small enough to broadcast.
+    and for the last, partial time the spans of the seeded order (:func:`_spans`). Only sums per pattern, and
+    the spans, reach the driver; more than
+    ``max_patterns`` patterns raise an error, so the plan is small enough to broadcast.
     """
     spark = sized.sparkSession
-    bucket = F.shiftright(F.col("hash"), 48).alias("bucket")
-    sums, _ = written(
-        sized.groupBy("pattern", bucket).agg(
-            F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
-        ),
-        "mixsums",
-    )
-    heads = sums.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"))
+    heads = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"))
     rows = heads.limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -148,36 +198,10 @@ def plan_mix(
     quotas = {s: round(t) for s, t in targets.items()}
     size_of = {r.pattern: r["size"] for r in rows}
     takes = route(members, size_of, quotas, repeats)
-    shares = [
-        (p, takes[p] // size_of[p] if size_of[p] else 0, takes[p] % size_of[p] if size_of[p] else 0) for p in size_of
-    ]
-    shares_df = F.broadcast(spark.createDataFrame(shares, "pattern string, base bigint, rest bigint"))
-    running = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    along = sums.join(shares_df, "pattern").withColumn("upto", F.sum("size").over(running))
-    along = along.withColumn("seen", F.sum(F.when(F.col("upto") > F.col("rest"), F.col("n")).otherwise(0)).over(running))
-    ends = along.groupBy("pattern").agg(
-        F.first("base").alias("base"),
-        F.first("rest").alias("rest"),
-        F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("bucket", "upto"))).alias("full"),
-        F.min(F.when(F.col("seen") >= ZONE, F.col("bucket"))).alias("to"),
-    ).select("pattern", "base", F.col("rest"), F.col("full.bucket").alias("full"),
-             (F.col("rest") - F.coalesce("full.upto", F.lit(0))).alias("room"), "to")
-    ends = spark.createDataFrame(ends.collect(), "pattern string, base bigint, rest bigint, full bigint, room bigint, to bigint")
-    inside = (F.col("full").isNull() | (bucket > F.col("full"))) & (F.col("to").isNull() | (bucket <= F.col("to")))
-    zone = (
-        sized.join(F.broadcast(ends.where("room > 0")), "pattern").where(inside)
-        .groupBy("pattern", "hash").agg(F.sum("size").cast("bigint").alias("size"), F.first("room").alias("room"))
-    )
-    cuts = zone.groupBy("pattern").applyInPandas(_cut, "pattern string, cut bigint, picks array<bigint>")
-    # the prefix ends with the last full bucket where no document of the zone fits
-    last_full = F.col("full") * F.lit(1 << 48) + F.lit((1 << 48) - 1)
-    plan = ends.join(cuts, "pattern", "left").select(
-        "pattern",
-        "base",
-        F.when(F.col("rest") > 0, F.greatest(last_full, "cut")).otherwise(F.lit(LOWEST)).alias("cut"),
-        F.coalesce("picks", F.array().cast("array<bigint>")).alias("picks"),
-    )
-    return spark.createDataFrame(plan.collect(), "pattern string, base bigint, cut bigint, picks array<bigint>"), sizes, targets
+    base = {p: takes[p] // n if n else 0 for p, n in size_of.items()}
+    spans = _spans(sized, {p: takes[p] % n if n else 0 for p, n in size_of.items()})
+    plan = [(p, base[p], spans[p]) for p in size_of]
+    return spark.createDataFrame(plan, "pattern string, base bigint, spans array<struct<lo: bigint, hi: bigint, cap: bigint>>"), sizes, targets
 
 
 def _drawn(docs: DataFrame, key: str, text: str, sources: Column, seed: int) -> DataFrame:
@@ -187,9 +211,9 @@ def _drawn(docs: DataFrame, key: str, text: str, sources: Column, seed: int) ->
     return docs.withColumns({"_sources": listed, "_pattern": F.to_json(listed), "_hash": order})
 
 
-def _copies(plan: DataFrame, rows: DataFrame) -> DataFrame:
-    joined = rows.join(F.broadcast(plan), F.col("_pattern") == F.col("pattern"))
-    partial = (F.col("_hash") <= F.col("cut")) | F.array_contains("picks", F.col("_hash"))
+def _copies(plan: DataFrame, rows: DataFrame, size: Column) -> DataFrame:
+    joined = rows.withColumn("_words", size).join(F.broadcast(plan), F.col("_pattern") == F.col("pattern"))
+    partial = F.exists("spans", lambda s: F.col("_hash").between(s["lo"], s["hi"]) & (F.col("_words") <= s["cap"]))
     return joined.withColumn("_copies", F.col("base") + F.when(partial, 1).otherwise(0))
 
 
@@ -207,8 +231,8 @@ def mix_table(
     ``sources`` is an array of the sources that a document belongs to (its column ``source`` alone by
     default); they may overlap. Documents are summed by membership pattern, a min-cost flow routes the
     patterns' words to the sources' targets with convex costs of repetition, and each pattern takes
-    its documents by a seeded order: a number of whole rounds, then a prefix, then single documents
-    that fill the last gap.
+    its documents by a seeded order: a number of whole rounds, then each document that fits the room left,
+    until no later one fits.
 
     A null text has size 0; a null source is a source, the last; rows equal in id and text are taken
     together; a null id is an id. Reruns agree, whatever the partitions. An empty table gives an empty
@@ -220,7 +244,7 @@ def mix_table(
     sized = rows.select(F.col("_pattern").alias("pattern"), F.col("_sources").alias("sources"),
                         F.col("_hash").alias("hash"), F.col("_size").alias("size"))
     plan, sizes, targets = plan_mix(sized, weights, repeats)
-    taken = _copies(plan, rows).select(
+    taken = _copies(plan, rows, F.col("_size")).select(
         key, F.col("_sources").alias("sources"), F.col("_size").alias("size"), F.col("_copies").alias("copies")
     )
     return taken, sizes, targets
@@ -244,6 +268,6 @@ def mix_documents(
     sized = rows.select(F.col("_pattern").alias("pattern"), F.col("_sources").alias("sources"),
                         F.col("_hash").alias("hash"), words(text).alias("size"))
     plan, _, _ = plan_mix(written(sized, "mixsizes")[0], weights, repeats)
-    taken = _copies(plan, rows).where("_copies > 0")
+    taken = _copies(plan, rows, words(text)).where("_copies > 0")
     again = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
     return taken.select(*docs.columns, again.alias("_again")).drop("_again")
