@@ -185,3 +185,39 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from .annsearch import nearest_neighbours
 
     return nearest_neighbours(table(spark, folder, "embeddings"), k=10, every=100)
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pieces AS (
+  SELECT row, doc_id, k, substr(x, 2000 * k + 1, 2098) AS y
+  FROM (SELECT row, doc_id, x, unnest(range(0, (length(x) + 1999) // 2000)) AS k FROM d)),
+w AS MATERIALIZED (
+  SELECT row, doc_id, 1000 * k + i AS i, substr(y, 2 * i + 1, 100) AS s
+  FROM (SELECT row, doc_id, k, y, unnest(range(0, least(1000, length(y) // 2 - 49))) AS i FROM pieces WHERE length(y) >= 100)),
+firsts AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT row, i FROM w JOIN firsts USING (s) WHERE doc_id > m),
+marked AS (SELECT row, i, coalesce(i > lag(i) OVER (PARTITION BY row ORDER BY i) + 50, true)::int AS fresh FROM gone),
+numbered AS (SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS span FROM marked),
+spans AS (SELECT row, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY row, span),
+gaps AS (
+  SELECT d.row, coalesce(lag(a.b) OVER (PARTITION BY d.row ORDER BY a.a), 0) AS lo, a.a AS hi, a.b - a.a AS n, x
+  FROM d JOIN spans a ON a.row = d.row
+  UNION ALL
+  SELECT d.row, coalesce(e.b, 0), length(x) // 2, 0, x
+  FROM d LEFT JOIN (SELECT row, max(b) AS b FROM spans GROUP BY row) e ON e.row = d.row),
+kept AS (
+  SELECT row, sum(n) AS n_removed, count(*) - 1 AS n_spans,
+         string_agg(substr(x, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS k
+  FROM gaps GROUP BY row)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, k.n_removed::bigint AS n_removed, k.n_spans, sha256(unhex(coalesce(k.k, ''))) AS kept_sha256
+FROM d JOIN kept k ON k.row = d.row
+"""
+
+
+@query("op11_suffix_dedup", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from .suffixdedup import dedup_spans
+
+    found = dedup_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
