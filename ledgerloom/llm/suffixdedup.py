@@ -45,6 +45,7 @@ STEP = 1 << 18  #: samples hashed at a time
 
 CHUNKS = "chunk bigint, docs binary, ends binary, prints binary, body binary"
 SEEDS = "bucket int, chunk bigint, width int, seeds binary"
+CHOSEN = "chunk bigint, at binary, copies binary"
 BLOCKS = "bucket int, chunk bigint, samples binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, starts array<bigint>, lengths array<bigint>, kept binary, kept_sha256 string"
 
@@ -108,16 +109,11 @@ def _chunk_table(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str,
 # ---- cover samples ---------------------------------------------------------------------------
 
 
-def _frame(body: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text between zero margins, number of the document of each byte, place of each byte in it)."""
+def _padded(body: bytes) -> np.ndarray:
+    """The text between zero margins of 64 bytes."""
     raw = np.zeros(len(body) + 128, dtype=np.uint8)
     raw[64 : 64 + len(body)] = np.frombuffer(body, dtype=np.uint8)
-    sizes = np.diff(ends, prepend=0)
-    owner = np.repeat(np.arange(len(ends), dtype=np.int32), sizes)
-    return raw, owner, np.arange(len(body), dtype=np.int64) - np.repeat(ends - sizes, sizes)
-
-
-_IN_COVER = np.isin(np.arange(V), COVER)
+    return raw
 
 
 def _hashed(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,38 +135,39 @@ def _hashed(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np
     return one, two
 
 
-def _samples(body: bytes, ends: np.ndarray, seed: int):
-    raw, owner, place = _frame(body, ends)
-    left = ends[owner] - np.arange(len(body))  # bytes up to the document's end
-    at = np.flatnonzero(_IN_COVER[place % V] & (left >= seed))
-    one, two = _hashed(raw, at + 64, seed)
-    return raw, owner, place, left, at, one, two
+def _samples(ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the cover-sampled suffixes that hold a whole seed, number of the document of each)."""
+    sizes = np.diff(ends, prepend=0)
+    parts = []
+    for member in COVER:
+        counts = np.maximum((sizes - seed - member) // V + 1, 0)
+        owner = np.repeat(np.arange(len(ends)), counts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        parts.append(((ends - sizes + member)[owner] + V * nth, owner))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _parts(one: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, 32 more bits) of a seed's hash."""
-    return ((one & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64), one >> np.uint64(32)
+def _joint(one: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 more bits of a seed's hash as one number."""
+    bucket = (one & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+    return (bucket << np.uint64(32)) | (one >> np.uint64(32))
 
 
-def _distinct_seeds(one: np.ndarray, buckets: int):
-    """(order, first of each run, bounds of buckets among the runs, residuals of the runs): the order of the seed step."""
-    bucket, rest = _parts(one, buckets)
-    joint = (bucket.astype(np.uint64) << np.uint64(32)) | rest
-    order = np.argsort(joint, kind="stable")
-    sorted_ = joint[order]
-    fresh = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
-    keys = sorted_[fresh]
-    bounds = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-    return order, fresh, bounds, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
 def _seed_rows(seed: int, buckets: int):
+    """The different seeds of each chunk, sorted within their bucket and packed as gaps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema(SEEDS)
         for batch in batches:
             for chunk, ends, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ends", "body")), strict=True):
-                *_, one, _ = _samples(body, np.frombuffer(ends, "<i8"), seed)
-                _, _, bounds, rest = _distinct_seeds(one, buckets)
+                at, _ = _samples(np.frombuffer(ends, "<i8"), seed)
+                keys = np.sort(_joint(_hashed(_padded(body), at + 64, seed)[0], buckets))
+                keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+                bounds, rest = _bounds(keys, buckets), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 rows = []
                 for k in range(buckets):
                     own = rest[bounds[k] : bounds[k + 1]]
@@ -204,69 +201,89 @@ def _shared_seeds(group: pd.DataFrame) -> pd.DataFrame:
 # ---- what is known of a chunk ----------------------------------------------------------------
 
 
-def _candidates(row: dict, seed: int, length: int, buckets: int):
-    """The samples of a chunk that may start a match with another document, in text order.
+def _chosen_rows(seed: int, buckets: int):
+    """Positions of the samples of a chunk that may be part of a match with another document: their seed is in
+    another chunk or in another document of this one. Documents that are copies as a whole need none."""
 
-    Returns (frame of the chunk, records of the samples, their positions, which of them are sent to the blocks).
-    Of samples that agree in all bytes any suffix needs only those of the smallest document are sent: for the
-    others that document is the answer.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = arrow_schema(CHOSEN)
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends, docs = np.frombuffer(row["ends"], "<i8"), np.frombuffer(row["docs"], "<i8")
+                at, owner = _samples(ends, seed)
+                keys = _joint(_hashed(_padded(row["body"]), at + 64, seed)[0], buckets)
+                order = np.argsort(keys)
+                keys = keys[order]
+                fresh = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+                bounds, hit = _bounds(keys[fresh], buckets), np.zeros(len(fresh), dtype=bool)
+                for h in row["hits"] or []:
+                    lo, hi = bounds[h["bucket"]], bounds[h["bucket"] + 1]
+                    hit[lo:hi] = np.unpackbits(np.frombuffer(h["hits"], np.uint8), count=hi - lo).astype(bool)
+                if len(order):
+                    own = docs[owner[order]]
+                    hit |= np.minimum.reduceat(own, fresh) != np.maximum.reduceat(own, fresh)
+                chosen = order[np.repeat(hit, np.diff(fresh, append=len(order)))]
+                copies = np.array(sorted(row["copies"] or []), dtype="<i4")
+                chosen = chosen[~np.isin(owner[chosen], copies)]
+                values = [row["chunk"], np.sort(at[chosen]).astype("<i8").tobytes(), copies.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, shape, strict=True)], schema=shape)
+
+    return run
+
+
+def _candidates(row: dict, seed: int, length: int):
+    """(ends, documents, records of the chosen samples of a chunk, their positions, which of them go to the blocks).
+
+    Of samples that agree in all bytes that any suffix needs only those of the smallest document go there: for
+    the others that document is the answer.
     """
-    ends, docs = np.frombuffer(row["ends"], "<i8"), np.frombuffer(row["docs"], "<i8")
-    raw, owner, place, left, at, one, two = _samples(row["body"], ends, seed)
-    order, fresh, bounds, _ = _distinct_seeds(one, buckets)
-    hit = np.zeros(len(fresh), dtype=bool)
-    for h in row["hits"] or []:
-        lo, hi = bounds[h["bucket"]], bounds[h["bucket"] + 1]
-        hit[lo:hi] = np.unpackbits(np.frombuffer(h["hits"], np.uint8), count=hi - lo).astype(bool)
-    doc = docs[owner[at]]
-    if len(order):
-        own = doc[order]
-        hit |= np.minimum.reduceat(own, fresh) != np.maximum.reduceat(own, fresh)
-    chosen = np.zeros(len(at), dtype=bool)
-    chosen[order] = np.repeat(hit, np.diff(fresh, append=len(order)))
-    copy = np.zeros(len(ends), dtype=bool)
-    copy[np.array(row["copies"] or [], dtype=np.int64)] = True
-    chosen &= ~copy[owner[at]]
-    at, doc = at[chosen], doc[chosen]
+    ends, docs, at = (np.frombuffer(row[c], "<i8") for c in ("ends", "docs", "at"))
+    raw, owner = _padded(row["body"]), np.searchsorted(ends, at, side="right")
     found = np.empty(len(at), dtype=_SAMPLE)
-    found["a"], found["b"], found["doc"] = one[chosen], two[chosen] >> np.uint64(32), doc
-    found["nl"], found["nr"] = np.minimum(place[at], V - 1), np.minimum(left[at], length)
+    one, two = _hashed(raw, at + 64, seed)
+    found["a"], found["b"], found["doc"] = one, two >> np.uint64(32), docs[owner]
+    starts = ends - np.diff(ends, prepend=0)
+    found["nl"], found["nr"] = np.minimum(at - starts[owner], V - 1), np.minimum(ends[owner] - at, length)
     # left bytes, nearest first, and right bytes behind the seed, each as a number that sorts like the bytes
     windows = np.lib.stride_tricks.sliding_window_view(raw, 12)
     before = windows[at + 64 - 12][:, ::-1].copy()
-    after = windows[at + 64 + seed].copy()
+    after = windows[at + 64 + seed]
     before[np.arange(12) >= found["nl"][:, None]] = 0
     after[np.arange(12) >= found["nr"][:, None].astype(np.int64) - seed] = 0
+    every = one ^ two
     for name, bytes_ in (("l", before), ("r", after)):
         found[f"{name}1"] = np.ascontiguousarray(bytes_[:, :8]).view(">u8").ravel()
         found[f"{name}2"] = np.ascontiguousarray(bytes_[:, 8:]).view(">u4").ravel()
-    by = np.lexsort([found[c] for c in ("doc", "nr", "nl", "r2", "r1", "l2", "l1", "b", "a")])
+        every = mix64(every ^ found[f"{name}1"]) + found[f"{name}2"]
+    by = np.argsort(every)
     s = found[by]
     same = np.ones(max(len(s) - 1, 0), dtype=bool)
     for c in ("a", "b", "l1", "l2", "r1", "r2", "nl", "nr"):
         same &= s[c][1:] == s[c][:-1]
     fresh = np.flatnonzero(np.r_[True, ~same]) if len(s) else np.empty(0, np.int64)
-    first = np.repeat(s["doc"][fresh], np.diff(fresh, append=len(s)))
     sent = np.empty(len(s), dtype=bool)
-    sent[by] = s["doc"] == first
-    return (raw, ends, docs, copy), found, at, sent
+    if len(s):
+        sent[by] = s["doc"] == np.repeat(np.minimum.reduceat(s["doc"], fresh), np.diff(fresh, append=len(s)))
+    return ends, docs, found, at, sent
 
 
 def _dealt(found: np.ndarray, blocks: int) -> np.ndarray:
     return (mix64(found["a"]) % np.uint64(blocks)).astype(np.int64)
 
 
-def _block_rows(seed: int, length: int, buckets: int, blocks: int, number: int):
+def _block_rows(seed: int, length: int, blocks: int, number: int):
     """The samples of one pass, dealt into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema(BLOCKS)
         for batch in batches:
             for row in batch.to_pylist():
-                _, found, _, sent = _candidates(row, seed, length, buckets)
-                found = found[sent]
+                _, _, found, _, sent = _candidates(row, seed, length)
                 block = _dealt(found, blocks)
-                rows = [(int(b), row["chunk"], found[block == b].tobytes()) for b in np.unique(block) if b % PASSES == number]
+                mine = np.flatnonzero(sent & (block % PASSES == number))
+                mine = mine[np.argsort(block[mine], kind="stable")]
+                cuts = np.flatnonzero(np.diff(block[mine])) + 1
+                rows = [(int(block[p[0]]), row["chunk"], found[p].tobytes()) for p in np.split(mine, cuts) if len(p)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
@@ -332,16 +349,22 @@ def _solved(seed: int, length: int):
 # ---- documents -------------------------------------------------------------------------------
 
 
-def _documents(seed: int, length: int, buckets: int, blocks: int):
+def _documents(seed: int, length: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema(RESULT)
         for batch in batches:
             for row in batch.to_pylist():
-                (_, ends, docs, copy), found, at, sent = _candidates(row, seed, length, buckets)
+                ends, docs, found, at, sent = _candidates(row, seed, length)
+                copy = np.zeros(len(ends), dtype=bool)
+                copy[np.frombuffer(row["copies"], "<i4")] = True
                 bits = np.zeros(len(found), dtype=np.uint16)
                 block = _dealt(found, blocks)
+                mine = np.flatnonzero(sent)
+                mine = mine[np.argsort(block[mine], kind="stable")]
+                dealt = block[mine]
                 for x in row["solved"] or []:
-                    bits[np.flatnonzero(sent & (block == x["block"]))] = np.frombuffer(x["bits"], "<u2")
+                    lo, hi = np.searchsorted(dealt, (x["block"], x["block"] + 1))
+                    bits[mine[lo:hi]] = np.frombuffer(x["bits"], "<u2")
                 # samples that agree with one of a smaller document in this chunk: each of their suffixes goes
                 bits[~sent] = (1 << V) - 1
                 edge = np.zeros(len(row["body"]) + 1, dtype=np.int32)
@@ -406,18 +429,20 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             .groupBy("bucket").applyInPandas(_shared_seeds, "chunk bigint, bucket int, hits binary")
         )
         hits = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "hits")).alias("hits"))
-        known, known_at = written(hits.join(_copies(chunks), "chunk", "full"), "suffixseeds")
+        known = hits.join(_copies(chunks), "chunk", "full")
         with_hits = chunks.join(known, "chunk", "left").select("chunk", "docs", "ends", "body", "hits", "copies")
+        chosen, chosen_at = written(with_hits.mapInArrow(_chosen_rows(seed, buckets), CHOSEN), "suffixchosen")
+        known = chunks.join(chosen, "chunk").select("chunk", "docs", "ends", "body", "at", "copies")
         blocks = buckets * PASSES
-        solved, scratch = None, [known_at]
+        solved, scratch = None, [chosen_at]
         for number in range(PASSES):
-            dealt = with_hits.mapInArrow(_block_rows(seed, length, buckets, blocks, number), BLOCKS)
+            dealt = known.mapInArrow(_block_rows(seed, length, blocks, number), BLOCKS)
             part = dealt.groupBy("bucket").applyInPandas(_solved(seed, length), "chunk bigint, block int, bits binary")
             part, at = written(part, "suffixbits")
             scratch.append(at)
             solved = part if solved is None else solved.unionByName(part)
         by_chunk = solved.groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("solved"))
-        out, _ = written(with_hits.join(by_chunk, "chunk", "left").mapInArrow(_documents(seed, length, buckets, blocks), RESULT), "suffixkept")
+        out, _ = written(known.join(by_chunk, "chunk", "left").mapInArrow(_documents(seed, length, blocks), RESULT), "suffixkept")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     for at in [place, *scratch]:
         drop_written(spark, at)
