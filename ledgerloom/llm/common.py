@@ -68,7 +68,8 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def crc_of_id(column: str | Column) -> Column:
     """crc32 of an id as text; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string"))
+    key = F.col(column) if isinstance(column, str) else column
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")))
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

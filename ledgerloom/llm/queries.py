@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,3 +222,40 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 
     found = dedup_spans(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _repeated(text: str, h: int) -> str:
+    """From word g % n on, the text becomes periodic, with a period that the id's checksum fixes."""
+    words, g = text.encode().split(), h // 10
+    if not words:
+        return text
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return b" ".join(words[i if i < a else a + (i - a) % p] for i in range(len(words))).decode()
+
+
+@query("op12_word_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from .runs import word_runs
+
+    @F.arrow_udf("string")
+    def repeated(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        both = zip(texts.to_pylist(), hashes.to_pylist(), strict=True)
+        return pa.array([None if t is None else _repeated(t, h) for t, h in both], pa.string())
+
+    h = crc_of_id("doc_id")
+    chosen = F.when(h % 10 == 0, F.col("text"))
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.when(h % 10 == 0, repeated(chosen, h)).otherwise(F.col("text")).alias("text")
+    )
+    found = word_runs(docs)
+    runs, best = F.col("runs.runs"), F.col("best")
+    lines = F.transform(runs, lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    return found.select(
+        "doc_id", F.size(runs).cast("bigint").alias("n_runs"), longest.alias("best"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2(F.col("runs.kept"), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", (-best["col2"]).alias("start"), best["length"].alias("length"), (-best["col3"]).alias("period"),
+        F.expr("1000 * best.length div (-best.col3)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
