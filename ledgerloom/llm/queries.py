@@ -259,3 +259,40 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_runs", (-best["col2"]).alias("start"), best["length"].alias("length"), (-best["col3"]).alias("period"),
         F.expr("1000 * best.length div (-best.col3)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+OP13_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::bigint AS score
+  FROM usable a JOIN usable r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+found AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+    def whole(x):  # floor(256 x); doubles of 2**53 and more are whole numbers, and components not finite stay so
+        y = x.cast("double") * 256
+        return F.when(F.abs(y) < 2.0**53, F.floor(F.when(F.abs(y) < 2.0**53, y)).cast("double")).otherwise(y)
+
+    found = hard_negatives(table(spark, folder, "embeddings"), vector=F.transform("embedding", whole), label=label)
+    scores = (F.col(c).cast("bigint").alias(c) for c in ("positive_score", "negative_score"))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", *scores)
