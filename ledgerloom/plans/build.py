@@ -14,6 +14,7 @@ from ..operators.timeline import templates, timeline_table
 from ..schemas import conform, provenance
 from ..sources import files as fs
 from ..sources import sqlite
+from ..sources.case_tables import case_tables
 from ..sources.sinks import read_domain, write_domain
 from .normalisers import REGISTRY, LandedSources
 
@@ -93,14 +94,18 @@ def build(spark: SparkSession, cases: DataFrame, store: str, bank_defaults: Data
     sqlite.log_deltas(databases).write.mode("overwrite").parquet(f"{store}/_log_deltas")
     sqlite.table_splits(databases).write.mode("overwrite").parquet(f"{store}/_splits")
     splits = spark.read.parquet(f"{store}/_splits")
-    sqlite.land(sqlite.sqlite_rows(databases, splits), f"{store}/_rows")
-    landed = spark.read.parquet(f"{store}/_rows")
+    tables = case_tables(spark, f"{store}/_splits")
+    sqlite.land(tables, f"{store}/_rows")
+    landed = spark.read.schema(tables.schema).parquet(f"{store}/_rows")
 
-    log = run_normalisers(spark, LandedSources(landed, hashed, bank_defaults), store)
-    # unreadable files and tables are failures too
+    log = run_normalisers(spark, LandedSources(landed.where("error IS NULL"), hashed, bank_defaults), store)
+    # unreadable files and tables, and ranges that end early, are failures too
+    table = F.concat_ws("#", "path", "source_table").alias("path")
     damaged = fs.load_manifest(spark, f"{store}/_manifest").select("case_id", "path", "error").unionByName(
-        splits.select("case_id", F.concat_ws("#", "path", "source_table").alias("path"), "error")
-    ).where("error IS NOT NULL")
+        splits.select("case_id", table, "error")
+    ).unionByName(
+        landed.withColumnRenamed("source_file", "path").select("case_id", table, "error")
+    ).where("error IS NOT NULL").distinct()
     log = log.unionByName(damaged.select(
         F.concat_ws("/", "case_id", "path").alias("normaliser"), F.lit("source").alias("domain"),
         F.lit(-1).cast("bigint").alias("n_rows"), "error",

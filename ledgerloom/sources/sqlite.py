@@ -133,6 +133,15 @@ def _table_splits(con, failed: list[tuple] | None = None) -> list[tuple]:
     return out
 
 
+def _damage(con) -> list[str]:
+    """What a check of the whole file finds first: a damaged page may give wrong rows without an error."""
+    try:
+        found = con.execute("PRAGMA quick_check(1)").fetchone()[0]
+    except sqlite3.DatabaseError as e:
+        found = str(e)
+    return [] if found == "ok" else [found]
+
+
 def _plan_files(batches):
     cols = [c.split()[0] for c in SPLITS.split(", ")]
     for pdf in batches:
@@ -145,6 +154,7 @@ def _plan_files(batches):
                     with _database(root, path, mode) as (con, _):
                         con.execute("SELECT count(*) FROM sqlite_master").fetchone()
                         splits = _table_splits(con, failed)
+                        failed += [(None, e) for e in _damage(con)]
                 except (sqlite3.Error, OSError, RuntimeError) as e:
                     failed.append((None, str(e)))
                     continue  # an unreadable log falls back to the plain file
@@ -161,45 +171,6 @@ def _cell(v) -> str | None:
     return v.hex() if isinstance(v, bytes) else str(v)
 
 
-def _read_split(con, table: str, lo, hi):
-    if lo is None or pd.isna(lo):
-        cur = con.execute(f"SELECT * FROM {_quoted(table)}")
-        names = [d[0] for d in cur.description]
-        for r in cur:
-            yield None, {k: _cell(v) for k, v in zip(names, r)}
-        return
-    cur = con.execute(
-        f"SELECT rowid, * FROM {_quoted(table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid",
-        (int(lo), int(hi)),
-    )
-    names = [d[0] for d in cur.description][1:]
-    for r in cur:
-        yield r[0], {k: _cell(v) for k, v in zip(names, r[1:])}
-
-
-def _read_rows(batches):
-    cols = [c.split()[0] for c in ROWS.split(", ")]
-
-    def frame(rows):
-        return pd.DataFrame(rows, columns=cols).astype({"rowid": "Int64"})
-
-    for pdf in batches:
-        for s in pdf.itertuples(index=False):
-            rows = []
-            try:
-                with _database(s.root, s.path, s.has_log) as (con, mode):
-                    for rowid, values in _read_split(con, s.source_table, s.lo, s.hi):
-                        rows.append(
-                            (s.case_id, s.path, s.name, s.source_table, rowid, mode, s.sha256, values)
-                        )
-                        if len(rows) >= BATCH_ROWS:
-                            yield frame(rows)
-                            rows = []
-            except (sqlite3.Error, OSError, RuntimeError):
-                pass  # a damaged table yields what was readable
-            yield frame(rows)
-
-
 def database_files(inventory: DataFrame) -> DataFrame:
     """Database files with a flag for a non-empty write-ahead log next to them."""
     logs = inventory.where(F.col("name").endswith("-wal") & (F.col("size") > 0)).select(
@@ -223,16 +194,6 @@ def table_splits(databases: DataFrame) -> DataFrame:
     )
 
 
-def sqlite_rows(databases: DataFrame, splits: DataFrame | None = None) -> DataFrame:
-    """All rows of all tables as (provenance columns, column -> text map).
-
-    A large table is read by several tasks, one rowid range each; ranges of one file are spread
-    over the cluster like those of any other.
-    """
-    splits = (table_splits(databases) if splits is None else splits).where("error IS NULL").drop("error")
-    return splits.repartition("case_id", "path", "source_table", "lo").mapInPandas(_read_rows, ROWS)
-
-
 def _count_both(batches):
     cols = ["case_id", "path", "source_table", "n_before", "n_after"]
     for pdf in batches:

@@ -14,6 +14,7 @@ from ledgerloom.plans.normalisers.webfiles import CART_KEY
 from ledgerloom.schemas import conform
 from ledgerloom.sources import files as fs
 from ledgerloom.sources import sqlite
+from ledgerloom.sources.case_tables import case_tables
 from ledgerloom.sources.sinks import read_domain, write_domain
 
 JWT = fixture_case.JWT
@@ -243,6 +244,11 @@ def test_rerun_does_not_duplicate(spark, store, tmp_path):
     assert read_domain(spark, str(tmp_path), "transaction").count() == table.count() == 6
 
 
+def table_rows(spark, databases, folder, ddl=None):
+    sqlite.table_splits(databases).write.parquet(f"{folder}/splits")
+    return case_tables(spark, f"{folder}/splits", ddl)
+
+
 def test_write_ahead_log(spark, tmp_path):
     path = tmp_path / "c" / "databases" / "live.db"
     os.makedirs(path.parent)
@@ -258,7 +264,7 @@ def test_write_ahead_log(spark, tmp_path):
     con.commit()
     inventory = fs.file_inventory(fs.single_case(spark, str(tmp_path / "c")))
     dbs = sqlite.database_files(inventory)
-    got = sqlite.sqlite_rows(dbs).collect()
+    got = table_rows(spark, dbs, tmp_path).collect()
     assert sorted(r.rowid for r in got) == [2, 3, 4, 5, 6, 7]
     assert {r.read_mode for r in got} == {"wal_applied"}
     delta = sqlite.log_deltas(dbs).collect()[0]
@@ -283,4 +289,4 @@ def test_large_table_is_read_in_ranges(spark, tmp_path, monkeypatch):
     assert len([s for s in sqlite._table_splits(con) if s[0] == "t"]) == 10
     con.close()
     dbs = sqlite.database_files(fs.file_inventory(fs.single_case(spark, str(tmp_path / "c"))))
-    assert sqlite.sqlite_rows(dbs).count() == 1001
+    assert table_rows(spark, dbs, tmp_path).count() == 1001
