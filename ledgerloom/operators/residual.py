@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parties import identifier_kind
+from ..sources.scan import BLOCK, alphabet, runs, scan_files
 from .skew import anti_known
 
 # Shapes searched in raw content, by identifier kind.
@@ -23,35 +26,79 @@ RESIDUAL_SHAPES = {
 CONFIDENCE = 0.5
 
 
+#: every shape lies inside a run of these bytes
+_TOKEN = alphabet("[A-Za-z0-9._@-]")
+_SHORTEST = 6
+FOUND = "kind string, value string, byte_offset bigint"
+
+
+def _matches(pieces: list, starts: np.ndarray, joined) -> Iterator[tuple[int, str, str, int]]:
+    """(piece, kind, value, place in the piece) of every shape in pieces joined by line ends."""
+    shapes = {k: re.compile(s if isinstance(joined, str) else s.encode()) for k, s in RESIDUAL_SHAPES.items()}
+    for kind, shape in shapes.items():
+        found = [(m.start(), m.group()) for m in shape.finditer(joined)]
+        at = np.array([f[0] for f in found], dtype=np.int64)
+        piece = np.searchsorted(starts, at, side="right") - 1
+        for k, place, (_, value) in zip(piece.tolist(), (at - starts[piece]).tolist(), found, strict=True):
+            yield k, kind, value if isinstance(value, str) else value.decode("ascii"), place
+
+
+def identifiers(read, size: int, start: int, end: int) -> Iterator[tuple[str, str, int]]:
+    """(kind, value, offset): the identifiers of a file segment, looked for in its runs of identifier bytes."""
+    def solved(held: list[tuple[int, bytes]]):
+        lengths = np.array([len(r) + 1 for _, r in held])
+        for k, kind, value, place in _matches(held, np.cumsum(lengths) - lengths, b"\n".join(r for _, r in held)):
+            yield kind, value, held[k][0] + place
+
+    held, room = [], BLOCK
+    for run in runs(read, size, start, end, _TOKEN, _SHORTEST):
+        held.append(run)
+        room -= len(run[1])
+        if room < 0:
+            yield from solved(held)
+            held, room = [], BLOCK
+    if held:
+        yield from solved(held)
+
+
+def _valid_firsts(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The first place of each valid value of a blob."""
+    valid = found.where(identifier_kind("value") == F.col("kind"))
+    return valid.groupBy(*keys, "kind", "value").agg(F.min("byte_offset").alias("byte_offset"))
+
+
 def harvest(content: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, kind, value, byte_offset) of every valid identifier in the text of each blob.
+    """(keys, kind, value, byte_offset) of every valid identifier in the text of each row.
 
     ``text`` must be a one-character-per-byte decoding, so the offset is a byte offset. The same
-    value in one blob is reported once, at its first match (not inside a longer run of digits). The
-    scan runs in Python because SQL's matches come without their places.
+    value in one row is reported once, at its first match (not inside a longer run of digits). The texts
+    of a batch are searched together.
     """
     ids = content.select(*keys).schema.fields
-    schema = T.StructType([*ids, *T.StructType.fromDDL("kind string, value string, byte_offset bigint").fields])
-    shapes = {kind: re.compile(shape) for kind, shape in RESIDUAL_SHAPES.items()}
+    schema = T.StructType([*ids, *T.StructType.fromDDL(FOUND).fields])
 
     def run(batches):
         for batch in batches:
-            hits = []
-            for i, body in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for kind, shape in shapes.items():
-                    first = {}
-                    for match in shape.finditer(body or ""):
-                        first.setdefault(match.group(), match.start())
-                    hits += [(i, kind, value, at) for value, at in first.items()]
-            rows = pa.array([h[0] for h in hits], pa.int64())
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+            first: dict[tuple, int] = {}
+            for k, kind, value, place in _matches(texts, np.cumsum(lengths) - lengths, "\n".join(texts)):
+                first.setdefault((k, kind, value), place)
+            hits = [*zip(*first, strict=True)] if first else [[], [], []]
+            rows = pa.array(hits[0], pa.int64())
             known = [batch.column(c).take(rows) for c in range(len(keys))]
-            found = [pa.array([h[1 + c] for h in hits], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            found = [pa.array(hits[1], pa.string()), pa.array(hits[2], pa.string()), pa.array(list(first.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays([*known, *found], names=schema.fieldNames())
 
     found = content.select(*keys, text).mapInArrow(run, schema)
     return found.where(identifier_kind("value") == F.col("kind"))
 
 
+def harvest_files(files: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`harvest` over files (case_id, root, path, size, ...) of any size, read in blocks by several tasks."""
+    return _valid_firsts(scan_files(files, keys, FOUND, identifiers), keys)
+
+
 def live_identifiers(domains: dict[str, DataFrame]) -> DataFrame:
     """(case_id, kind, value) that the record tables already hold."""
     fields = {
@@ -73,8 +120,7 @@ def live_identifiers(domains: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("value <> ''").distinct()
 
 
-def residual_identifiers(content: DataFrame, keys: list[str], text: str, live: DataFrame):
-    """Identifiers found in content but not live, once per blob and value."""
-    found = harvest(content, keys, text)
+def residual_identifiers(found: DataFrame, live: DataFrame) -> DataFrame:
+    """Of the identifiers found in content those that are not live, once per blob and value."""
     fresh = anti_known(found, live, {"kind": "kind", "value": "value"}, ("case_id",))
     return fresh.withColumn("confidence", F.lit(CONFIDENCE))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.entities import entity_table
-from ..operators.residual import live_identifiers, residual_identifiers
+from ..operators.residual import harvest_files, live_identifiers, residual_identifiers
 from ..operators.timeline import templates, timeline_table
 from ..schemas import conform, provenance
 from ..sources import files as fs
@@ -117,12 +117,7 @@ def build(spark: SparkSession, cases: DataFrame, store: str, bank_defaults: Data
     }
 
     # databases and their write-ahead logs, where removed rows last longest
-    blobs = fs.contents(stores.select("case_id", "root", "path", "name", "size"))
-    blobs = blobs.join(hashes, ["case_id", "path"], "left").withColumn("t", fs.byte_text("content"))
-    found = residual_identifiers(
-        blobs.select("case_id", "path", "sha256", "t"), ["case_id", "path", "sha256"], "t",
-        live_identifiers(domains),
-    )
+    found = residual_identifiers(harvest_files(stores, ["case_id", "path", "sha256"]), live_identifiers(domains))
     carved = found.select(
         "case_id", "kind", "value", "confidence",
         provenance(F.col("path"), byte_offset=F.col("byte_offset"), origin="carved",

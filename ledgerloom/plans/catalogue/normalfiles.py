@@ -120,20 +120,22 @@ def normalise_web_cache(t: Tables) -> DataFrame:
 
 @query(
     "normalise_local_storage",
-    """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin FROM pages)
-SELECT origin, 'key' || page_id AS key, 'value-' || page_id AS value,
+    """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || repeat('o', 130 * (page_id % 2)) AS origin,
+  repeat('k', 150 * (page_id % 3)) AS long_key, repeat('v', 500 * (page_id % 5)) AS long_value FROM pages)
+SELECT origin, 'key' || page_id || long_key AS key, 'value-' || page_id || long_value AS value,
   CASE WHEN page_id % 2 = 0 THEN 'session_storage' ELSE 'local_storage' END AS store_kind FROM p
 UNION ALL SELECT origin, 'last', NULL, CASE WHEN page_id % 2 = 0 THEN 'session_storage'
   ELSE 'local_storage' END FROM p""",
 )
 def normalise_local_storage(t: Tables) -> DataFrame:
-    """Two keys per file, the first one repeated with another value and the last one without any."""
+    """Two keys per file, the first one repeated with another value and the last one without any; origins, keys
+    and values of some files are long."""
     n = F.col("page_id")
-    origin = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    origin = F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.expr("repeat('o', cast(130 * (page_id % 2) AS int))"))
     lead = F.concat(F.lit("_"), origin, F.lit("\x00\x01"))
-    body = text(
-        lead, "key", n, "\x02value-", n, "\x00", lead, "key", n, "\x00later\x00", lead, "last\x00ab\x01"
-    )
+    key = text("key", n, F.expr("repeat('k', cast(150 * (page_id % 3) AS int))"))
+    value = text("value-", n, F.expr("repeat('v', cast(500 * (page_id % 5) AS int))"))
+    body = text(lead, key, "\x02", value, "\x00", lead, key, "\x00later\x00", lead, "last\x00ab\x01")
     folder = F.when(n % 2 == 0, "Session Storage").otherwise("Local Storage/leveldb")
     files = blobs(t("pages"), text("app_webview/", folder, "/", n, ".log"), body)
     return run(t, "webview.localstorage", files=files).select("origin", "key", "value", "store_kind")

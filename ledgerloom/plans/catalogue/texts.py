@@ -18,7 +18,7 @@ from ...functions.text import (
     with_document,
 )
 from ...operators import masking, quality, records
-from ...operators.residual import residual_identifiers
+from ...operators.residual import harvest, residual_identifiers
 from ...operators.skew import lag_in_chunks
 from ...session import spread
 from ...sources.embedded import json_objects, json_responses
@@ -273,7 +273,7 @@ def identifier_harvest(t: Tables) -> DataFrame:
         case, F.lit("vpa").alias("kind"), F.concat(F.lit("u"), key, F.lit("@ybl")).alias("value")
     )
     live = phones.unionByName(handles).distinct()
-    found = residual_identifiers(narrations(t), ["case_id", "o_orderkey"], "text", live)
+    found = residual_identifiers(harvest(narrations(t), ["case_id", "o_orderkey"], "text"), live)
     return found.select("o_orderkey", "kind", "value", "byte_offset")
 
 

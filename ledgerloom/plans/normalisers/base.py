@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from ...schemas import conform, provenance
 from ...sources.files import contents, settings
+from ...sources.scan import Scan, scan_cells, scan_files
 
 #: columns that describe the source row next to its fields
 SOURCE = ("case_id", "source_file", "source_table", "rowid", "sha256", "read_mode", "raw")
 
 
+#: columns of a file that a scan passes on
+FILE = ("case_id", "path", "name", "size", "sha256")
+
+
 class Sources:
     """Source rows by (file, table). A missing table gives no rows and a missing column gives nulls,
     so a changed app version never stops a run."""
@@ -32,6 +37,10 @@ class Sources:
         """(case_id, path, name, size, content, sha256) of matching files."""
         raise NotImplementedError
 
+    def scan(self, path_pattern: str, ddl: str, scan: Scan, whole: bool = False) -> DataFrame:
+        """(case_id, path, name, size, sha256, columns of ``ddl``) that a block-wise scan finds in matching files."""
+        raise NotImplementedError
+
     def settings(self, path_pattern: str) -> DataFrame:
         """(case_id, path, name, sha256, key, value) of key/value XML files."""
         raise NotImplementedError
@@ -60,8 +69,10 @@ class LandedSources(Sources):
         return found.select(*self._source(found), "row")
 
     def files(self, path_pattern):
-        hits = self._inventory.where(F.col("path").rlike(path_pattern))
-        return contents(hits).join(hits.select("case_id", "path", "sha256"), ["case_id", "path"])
+        return contents(self._inventory.where(F.col("path").rlike(path_pattern)))
+
+    def scan(self, path_pattern, ddl, scan, whole=False):
+        return scan_files(self._inventory.where(F.col("path").rlike(path_pattern)), list(FILE), ddl, scan, whole)
 
     def settings(self, path_pattern):
         return settings(self.files(path_pattern), ["case_id", "path", "name", "sha256"])
@@ -118,6 +129,9 @@ class FrameSources(Sources):
     def files(self, path_pattern):
         return self._files.where(F.col("path").rlike(path_pattern))
 
+    def scan(self, path_pattern, ddl, scan, whole=False):
+        return scan_cells(self.files(path_pattern), list(FILE), ddl, scan)
+
     def settings(self, path_pattern):
         return settings(self.files(path_pattern), ["case_id", "path", "name", "sha256"])
 

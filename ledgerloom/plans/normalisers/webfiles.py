@@ -10,7 +10,8 @@ from ...functions.parties import ciphertext_shaped
 from ...functions.secrets import redact_text, redaction
 from ...functions.text import json_text, present
 from ...sources.embedded import json_after, json_objects, json_responses
-from ...sources.files import byte_text, printable_strings, storage_pairs, string_inventory
+from ...sources.files import byte_text, printable_strings
+from ...sources.scan import printable, storage_entries
 from .base import Sources, from_file, from_row, is_one, normaliser
 
 FILE_KEYS = ["case_id", "path", "name", "sha256"]
@@ -56,15 +57,17 @@ def web_cache(src: Sources) -> DataFrame:
 
 @normaliser("webview.localstorage", "webstorage")
 def local_storage(src: Sources) -> DataFrame:
-    files = src.files(r"(?i)storage.*\.(ldb|log)$")
+    entries = src.scan(r"(?i)storage.*\.(ldb|log)$", "offset bigint, web_origin string, key string, value string", storage_entries, whole=True)
+    # the first value of a pair in a file wins
+    pairs = entries.groupBy(*FILE_KEYS, "web_origin", "key").agg(F.min_by(F.struct("value"), "offset").alias("first"))
     kind = F.when(
         F.lower("path").contains("session storage"), "session_storage"
     ).otherwise("local_storage")
-    return storage_pairs(files, FILE_KEYS).select(
+    return pairs.select(
         "case_id",
         F.col("web_origin").alias("origin"),
         "key",
-        redact_text("value").alias("value"),
+        redact_text("first.value").alias("value"),
         kind.alias("store_kind"),
         F.lit(True).alias("best_effort"),
         from_file(0.5),
@@ -79,8 +82,9 @@ def path_origin(path: Column) -> Column:
 
 @normaliser("webview.indexeddb", "webstorage")
 def indexed_db(src: Sources) -> DataFrame:
-    files = src.files(r"(?i)indexeddb.*\.(ldb|log)$")
-    return string_inventory(files, FILE_KEYS, 5, 8).select(
+    found = src.scan(r"(?i)indexeddb.*\.(ldb|log)$", "offset bigint, value string", printable(5))
+    strings = found.withColumn("value", F.trim("value")).where(F.length("value") >= 8)
+    return strings.select(*FILE_KEYS, "value").distinct().select(
         "case_id",
         path_origin(F.col("path")).alias("origin"),
         F.col("name").alias("key"),
@@ -163,7 +167,7 @@ def sealed_stores(src: Sources) -> DataFrame:
             from_file(),
             F.to_json(
                 F.struct(
-                    F.regexp_count("head", F.lit('name="([^"]{1,60})"')).alias(
+                    F.regexp_count("head", F.lit('name="([^"]+)"')).alias(
                         "entry_count_in_header"
                     ),
                     F.ltrim("head").startswith("<").alias("is_xml"),

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 _DECODER = json.JSONDecoder()
-_URL = re.compile(rb"https?://[\x21-\x7e]{6,300}")
+_URL = re.compile(rb"https?://[\x21-\x7e]{6,}")
 
 FOUND = "pos int, body string, url string"
 
@@ -24,7 +24,7 @@ def first_document(content: bytes) -> tuple[str, str | None] | None:
     start = text.find("{")
     if start < 0:
         return None
-    if "<html" in text[:200].lower() or "function(" in text[: start + 60]:
+    if "<html" in text[:start].lower() or "function(" in text[: start + 60]:
         return None
     try:
         document, length = _DECODER.raw_decode(text[start:])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import _open_fs
+from .files import _open_fs, dealt
 
 #: rows of one (file, table) read by one task
 SPLIT_ROWS = 200_000
@@ -188,7 +188,7 @@ def database_files(inventory: DataFrame) -> DataFrame:
 def table_splits(databases: DataFrame) -> DataFrame:
     """What to read: (file, table, rowid range). Row counts come along for reconciliation; a file or table
     that cannot be read is a row with an ``error`` and no range."""
-    spread = databases.repartition("case_id", "path")
+    spread = dealt(databases, "case_id", "path")
     return spread.select("case_id", "root", "path", "name", "has_log", "sha256").mapInPandas(
         _plan_files, SPLITS
     )
@@ -223,8 +223,7 @@ def log_deltas(databases: DataFrame) -> DataFrame:
     """Rows per table without and with the write-ahead log, where they differ."""
     change = F.col("n_after") - F.col("n_before")
     return (
-        databases.where("has_log")
-        .repartition("case_id", "path")
+        dealt(databases.where("has_log"), "case_id", "path")
         .select("case_id", "root", "path")
         .mapInPandas(
             _count_both,
