@@ -22,7 +22,8 @@ SECRET_KEY_WORDS = (
 )
 
 _JWT = r"eyJ[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]+)*"
-_PUSH_TOKEN = r"[A-Za-z0-9_\-]{16,}:APA91[A-Za-z0-9_\-]{16,}"
+# begins where a run begins and never gives back, so long runs are read once
+_PUSH_TOKEN = r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{16,}+:APA91[A-Za-z0-9_\-]{16,}"
 _BEARER = r"((?i:bearer)\s+)([A-Za-z0-9._~+/=\-]{8,})"
 _ASSIGNED = (
     r"((?i:token|secret|passw(?:or)?d|api[_\-]?key)[\"']?\s*[:=]\s*[\"']?)"

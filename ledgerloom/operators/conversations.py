@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chattext import payment_status, payment_verb
-from .skew import lag_in_chunks, lookup_salted
+from .skew import lookup_salted, scan_in_order
 
 
 def conversations(messages: DataFrame, subject: DataFrame) -> DataFrame:
@@ -42,10 +42,7 @@ def thread(messages: DataFrame, subject: DataFrame) -> DataFrame:
     )
     m = lookup_salted(m, subject, ["case_id"], ["channel_url", "rowid"])
     m = m.withColumn("order_utc", F.coalesce("utc", F.lit("0001-01-01").cast("timestamp")))
-    m = lag_in_chunks(
-        m, ["case_id", "channel_url"], ["order_utc", "rowid"], F.date_trunc("DAY", "order_utc"),
-        {"previous_utc": "utc"},
-    )
+    m = scan_in_order(m, ["case_id", "channel_url"], ["order_utc", "rowid"], {"previous_utc": "utc"})
     outgoing = F.col("sender_id").eqNullSafe(F.col("subject_id"))
     paid = F.coalesce(F.col("amount"), F.lit(0.0)) != 0
     return m.select(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clocks import iso_time
 from ..functions.masks import blur_coordinate
-from .skew import lag_in_chunks, lookup_salted
+from ..session import cut_lineage
+from .skew import scan_in_order
 
 
 def fixes(location: DataFrame, diagnostic: DataFrame, masked: bool = False) -> DataFrame:
@@ -49,15 +50,14 @@ def has_path() -> Column:
 
 def path_segments(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The movement path as (previous, current) pairs: a path of any length stays distributed."""
-    steps = lag_in_chunks(
-        points, by, order, F.date_trunc("DAY", F.coalesce("utc", F.lit("0001-01-01").cast("timestamp"))),
-        {"from_lat": "lat", "from_lon": "lon"},
-    )
+    steps = scan_in_order(points, by, order, {"from_lat": "lat", "from_lon": "lon"})
     return steps.where("from_lat IS NOT NULL")
 
 
 def geojson_features(points: DataFrame) -> DataFrame:
-    """GeoJSON features as text rows: a Point per fix and a LineString per step of a real path."""
+    """GeoJSON features as text rows: a Point per fix and a LineString per step of a real path. The fixes are
+    written once as a reliable checkpoint, as counts, order and features each read them."""
+    points = cut_lineage(points)
     point = points.select(
         "case_id",
         F.to_json(
@@ -76,7 +76,8 @@ def geojson_features(points: DataFrame) -> DataFrame:
     counts = position_counts(points, ["case_id"]).where(has_path())
     timed = points.withColumn("order_utc", F.coalesce("utc", F.lit("0001-01-01").cast("timestamp")))
     steps = path_segments(timed, ["case_id"], ["order_utc", "seq"])
-    steps = lookup_salted(steps, counts, ["case_id"], ["seq"]).where("n_positions IS NOT NULL")
+    # one small row per case: broadcast where they are few, else adaptive execution splits a hot case
+    steps = steps.join(counts, "case_id")
     line = steps.select(
         "case_id",
         F.to_json(

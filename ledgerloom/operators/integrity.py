@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_row
-from .skew import lag_in_chunks
+from .skew import scan_in_order
 
 GENESIS = "0" * 64
 
@@ -79,11 +79,12 @@ def entry_hash(previous: Column, body: Column) -> Column:
 
 
 def chain_breaks(
-    entries: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
+    entries: DataFrame, keys: Sequence[str], order: Sequence[str], sorted_before: bool = False
 ) -> DataFrame:
-    """Entries (prev_hash, expected_hash, entry_hash) that break their chain, with the reason.
+    """Entries (prev_hash, expected_hash, entry_hash) that break their chain, with the reason. ``sorted_before``
+    as in :func:`~.skew.scan_in_order`.
     An entry without a hash does not begin a new chain: the next one must name the last hash before it."""
-    linked = lag_in_chunks(entries, keys, order, chunk, {"_before": "entry_hash"}, skip_nulls=True)
+    linked = scan_in_order(entries, keys, order, {"_before": "entry_hash"}, skip_nulls=True, sorted_before=sorted_before)
     loose = ~F.col("prev_hash").eqNullSafe(F.coalesce("_before", F.lit(GENESIS)))
     edited = ~F.col("expected_hash").eqNullSafe(F.col("entry_hash"))
     reasons = F.array_compact(
@@ -138,7 +139,4 @@ def verify_logs(spark: SparkSession, path: str) -> DataFrame:
     bad_json = entries.where(~F.col("valid")).select(
         "log", "block", "place", F.lit("not valid JSON").alias("reason")
     )
-    chunk = F.struct("block", F.floor(F.col("place") / 10_000).alias("c"))
-    return chain_breaks(entries.where("valid"), ["log"], ["block", "place"], chunk).unionByName(
-        bad_json
-    )
+    return chain_breaks(entries.where("valid"), ["log"], ["block", "place"]).unionByName(bad_json)

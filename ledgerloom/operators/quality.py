@@ -13,7 +13,7 @@ from ..functions.codes import label
 from ..functions.parties import MOBILE, RRN
 from ..functions.secrets import token_shaped
 from ..functions.text import present
-from .skew import lag_in_chunks
+from .skew import scan_in_order
 
 
 def failed_sources(run_log: DataFrame) -> DataFrame:
@@ -118,9 +118,9 @@ def field_coverage(df: DataFrame, shown: Sequence[str]) -> DataFrame:
     return long.withColumn("shown", F.col("field").isin(*shown))
 
 
-def inversions(df: DataFrame, keys: Sequence[str], order: Sequence[str], when: str, chunk: Column):
+def inversions(df: DataFrame, keys: Sequence[str], order: Sequence[str], when: str):
     """Per key: neighbouring rows whose time runs backwards."""
-    lagged = lag_in_chunks(df, keys, order, chunk, {"_before": when})
+    lagged = scan_in_order(df.select(*dict.fromkeys([*keys, *order, when])), keys, order, {"_before": when})
     return lagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("_before") > F.col(when)).alias("n_inversions"),

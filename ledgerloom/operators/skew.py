@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,96 +100,135 @@ def anti_known(df: DataFrame, known: DataFrame, on: dict[str, str], scope: Seque
     return keyed.join(keys, [*scope, *names.values()], "left_anti").drop(*names.values())
 
 
-#: most rows of one (key, chunk) and most chunks of one key that the chunked windows accept; above
-#: either one the order is cut by range instead
-CHUNK_ROWS = 2_000_000
-
-
-def _chunks_are_even(rows: DataFrame, keys: Sequence[str]) -> bool:
-    """One pruned aggregate tells whether the chunks really split every key (a bulk load may give
-    a third of all rows the same hour)."""
-    sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("n"))
-    per_key = sizes.groupBy(*keys).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
-    heaviest, most = per_key.agg(F.max("n"), F.max("c")).first()
-    return max(heaviest or 0, most or 0) <= CHUNK_ROWS
-
-
-def lag_in_chunks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    previous: dict[str, str],
-    skip_nulls: bool = False,
-) -> DataFrame:
-    """Values of the previous row within ``keys`` by ``order``; with ``skip_nulls`` the last value before the
-    row that is not null (of one column).
-
-    ``chunk`` is a non-decreasing function of the order (an hour, an id range). The window runs
-    per (keys, chunk), so a hot key is spread over its chunks; the last row of each chunk is
-    carried into the next one, which makes the result equal to one window per key. Where the
-    chunks turn out uneven, the sorted partitions of the whole table take their place.
-    ``previous`` maps output column -> source column.
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Range-sorted by keys and order, and written once as a reliable checkpoint. A key of any share of the rows is
+    spread over as many partitions as it needs."""
+    return cut_lineage(df.orderBy(*keys, *order))
+
+
+def _null_safe_equal(a: pa.Array, b: pa.Array) -> np.ndarray:
+    both = pc.or_kleene(pc.equal(a, b), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return pc.fill_null(both, False).to_numpy(zero_copy_only=False)
+
+
+def _last_known(column: pa.Array) -> int:
+    """Place of the last value that is not null, or -1."""
+    if not column.null_count:
+        return len(column) - 1
+    valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    return int(valid[-1]) if len(valid) else -1
+
+
+class _Run:
+    """The key that a stream of sorted rows is in: its values, its rows so far, the last value of each column."""
+
+    def __init__(self, keys: Sequence[str], sources: Sequence[str], skip_nulls: bool):
+        self.keys, self.sources, self.skip_nulls = keys, sources, skip_nulls
+        self.key: list[pa.Array] | None = None
+        self.last: dict[str, pa.Array] = {}
+        self.n, self.one_key = 0, True  # rows of the key; has the stream had one key only?
+
+    def starts(self, batch: pa.RecordBatch) -> np.ndarray:
+        """For each row the first row of its key in the batch, -1 where the key goes on from before."""
+        same = np.ones(batch.num_rows, dtype=bool)
+        for i, k in enumerate(self.keys):
+            c = batch.column(k)
+            before = self.key[i].cast(c.type) if self.key is not None else pa.nulls(1, c.type)
+            same &= _null_safe_equal(pa.concat_arrays([before, c.slice(0, len(c) - 1)]), c)
+        same[0] &= self.key is not None
+        return np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
+
+    def take(self, batch: pa.RecordBatch, starts: np.ndarray) -> None:
+        first, n = int(starts[-1]), batch.num_rows
+        self.one_key &= first == 0 if self.key is None else first < 0
+        self.n = self.n + n if first < 0 else n - first
+        self.key = [batch.column(k).slice(n - 1, 1) for k in self.keys]
+        for s in self.sources:
+            own = batch.column(s).slice(max(first, 0))
+            at = _last_known(own) if self.skip_nulls else len(own) - 1
+            if at >= 0:
+                self.last[s] = own.slice(at, 1)
+            elif first >= 0 or s not in self.last:
+                self.last[s] = pa.nulls(1, own.type)
+
+
+def _carried(ends: pa.Table, run: _Run) -> dict[int, _Run]:
+    """For each partition the run that the partitions before it end in. One row per partition."""
+    out, so_far = {}, None
+    for row in ends.sort_by("_part").to_batches(max_chunksize=1):
+        out[row.column("_part")[0].as_py()] = so_far
+        here = _Run(run.keys, run.sources, run.skip_nulls)
+        here.key = [row.column(k) for k in run.keys]
+        here.last = {s: row.column(f"_last_{s}") for s in run.sources}
+        here.n = row.column("_n")[0].as_py()
+        if row.column("_one")[0].as_py() and so_far is not None and all(_null_safe_equal(a, b)[0] for a, b in zip(here.key, so_far.key, strict=True)):
+            here.n += so_far.n
+            for s in run.sources:  # nulls are passed over
+                if run.skip_nulls and here.last[s].null_count:
+                    here.last[s] = so_far.last[s]
+        so_far = here
+    return out
+
+
+def scan_in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], previous: dict[str, str] | None = None,
+    skip_nulls: bool = False, position: str | None = None, sorted_before: bool = False,
+) -> DataFrame:
+    """``df`` with values of the previous row of its key, and the position in its key from 1, in one streaming pass.
+
+    ``previous`` maps output column -> source column; with ``skip_nulls`` the value is the last one before the row that is
+    not null. The rows are sorted by range once (:func:`in_order`). A first pass over that table gives one row per
+    partition: the key and the values it ends with. These are chained on the driver, and the second pass begins
+    each partition with what the ones before it end in. So no task holds a key, and the input is read once.
+    ``sorted_before`` says that ``df`` is a result of this function, or of row-wise steps on one, with the same keys and
+    order: it is not sorted again. The result's partitions are sorted.
     """
-    rows = df.withColumn("_chunk", chunk)
-    tail_cols = sorted({*order, *previous.values()})
-    present = [F.col(c).isNotNull() for c in previous.values()] if skip_nulls else []
-    tail = F.max_by(F.struct(*keys, *tail_cols), F.struct(*keys, *present, *order)).alias("_tail")
-    if _chunks_are_even(rows, keys):
-        tails = rows.groupBy(*keys, "_chunk").agg(tail)
-        following = Window.partitionBy(*keys).orderBy("_chunk")
-    else:
-        ordered = cut_lineage(df.orderBy(*keys, *order))
-        rows = ordered.withColumn("_chunk", F.spark_partition_id())
-        # one row per partition: a key that goes on in the next partition finds its last row here
-        tails = rows.groupBy("_chunk").agg(tail)
-        following = Window.orderBy("_chunk")
-    if skip_nulls:
-        so_far = Window.partitionBy(*[F.col("_tail")[k] for k in keys]).orderBy("_chunk")
-        for src in previous.values():
-            known = F.last(F.col("_tail")[src], ignorenulls=True).over(so_far)
-            tails = tails.withColumn("_tail", F.col("_tail").withField(src, known))
-    carried = (
-        tails.withColumn("_chunk", F.lead("_chunk").over(following))
-        .where("_chunk IS NOT NULL")
-        .select("_chunk", "_tail.*", F.lit(True).alias("_carried"))
-    )
-    both = rows.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    # carried rows come first: their order value lies in an earlier chunk
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_carried"), *order)
-    earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    for out, src in previous.items():
-        last = F.last(src, ignorenulls=True).over(earlier) if skip_nulls else F.lag(src).over(in_chunk)
-        both = both.withColumn(out, last)
-    return both.where(~F.col("_carried")).drop("_carried", "_chunk")
-
-
-def rank_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str):
-    """Position within ``keys`` (from 1), computed per chunk plus the sizes of earlier chunks; from
-    positions in the whole table where the chunks are uneven."""
-    rows = df.withColumn("_chunk", chunk)
-    if not _chunks_are_even(rows, keys):
-        ranked = cut_lineage(rank_all(df, [*keys, *order], "_place_in_all"))
-        starts = ranked.groupBy(*keys).agg(
-            F.min("_place_in_all").alias("_start"), F.count(F.lit(1)).alias("_n")
-        )
-        placed = lookup_weighted(ranked, starts, keys, "_n")
-        position = F.col("_place_in_all") - F.col("_start") + 1
-        return placed.withColumn(out, position).drop("_place_in_all", "_start")
-    sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = sizes.select(
-        *keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
-    )
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    ranked = rows.withColumn("_pos", F.row_number().over(in_chunk))
-    return (
-        ranked.join(starts, [*keys, "_chunk"])
-        .withColumn(out, F.col("_start") + F.col("_pos"))
-        .drop("_chunk", "_pos", "_start")
-    )
+    previous = previous or {}
+    rows = df if sorted_before else in_order(df, keys, order)
+    sources = sorted(set(previous.values()))
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    narrow = rows.select(F.spark_partition_id().alias("_part"), *[F.col(c) for c in dict.fromkeys([*keys, *sources])])
+    end_fields = [T.StructField("_part", T.IntegerType()), *[T.StructField(k, types[k]) for k in keys]]
+    end_fields += [T.StructField(f"_last_{s}", types[s]) for s in sources]
+    end_schema = T.StructType([*end_fields, T.StructField("_n", T.LongType()), T.StructField("_one", T.BooleanType())])
+    names = end_schema.fieldNames()
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, part = _Run(keys, sources, skip_nulls), None
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("_part").slice(0, 1)
+                run.take(batch, run.starts(batch))
+        if part is not None:
+            columns = [part, *run.key, *[run.last[s] for s in sources], pa.array([run.n], pa.int64()), pa.array([run.one_key])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    carried = _carried(narrow.mapInArrow(ends, end_schema).toArrow(), _Run(keys, sources, skip_nulls))
+    added = [T.StructField(out, types[src]) for out, src in previous.items()]
+    added += [T.StructField(position, T.LongType())] if position else []
+    schema = T.StructType([*rows.schema.fields, *added])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = carried.get(TaskContext.get().partitionId()) or _Run(keys, sources, skip_nulls)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, at = run.starts(batch), np.arange(batch.num_rows)
+            columns = list(batch.columns)
+            for src in previous.values():
+                c = batch.column(src)
+                known = at if not (skip_nulls and c.null_count) else np.maximum.accumulate(np.where(c.is_valid().to_numpy(zero_copy_only=False), at, -1))
+                before = np.append(-1, known[:-1])
+                # 0: nothing, 1: from the rows before the batch, 2 and more: from the batch
+                pick = np.where(before >= np.maximum(starts, 0), before + 2, np.where((starts < 0) & (run.key is not None), 1, 0))
+                carry = run.last.get(src, pa.nulls(1, c.type)).cast(c.type)
+                columns.append(pa.concat_arrays([pa.nulls(1, c.type), carry, c]).take(pa.array(pick)))
+            if position:
+                columns.append(pa.array(np.where(starts < 0, at + run.n, at - starts) + 1))
+            run.take(batch, starts)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return rows.mapInArrow(scan, schema)
 
 
 def rank_all(df: DataFrame, order: Sequence, out: str) -> DataFrame:

@@ -122,12 +122,11 @@ WHERE expected_hash <> entry_hash""",
 )
 def chain_verify(t: Tables) -> DataFrame:
     """Sealed event logs per user, some links forged and some entries edited, then verified."""
-    from ...operators.skew import lag_in_chunks
+    from ...operators.skew import scan_in_order
 
-    chunk = F.floor(F.col("event_id") / 50_000)
     own = F.sha2(F.concat(F.lit("seed"), "event_id", F.lit("/"), "event_type").cast("binary"), 256)
     entries = t("events").select("user_id", "event_id", own.alias("own"))
-    linked = lag_in_chunks(entries, ["user_id"], ["event_id"], chunk, {"before": "own"})
+    linked = scan_in_order(entries, ["user_id"], ["event_id"], {"before": "own"})
     forged, edited = F.col("event_id") % 97 == 0, F.col("event_id") % 89 == 0
     sealed = linked.select(
         "user_id",
@@ -138,7 +137,7 @@ def chain_verify(t: Tables) -> DataFrame:
         F.when(edited, "edited").otherwise(F.col("own")).alias("entry_hash"),
         F.col("own").alias("expected_hash"),
     )
-    return integrity.chain_breaks(sealed, ["user_id"], ["event_id"], chunk)
+    return integrity.chain_breaks(sealed, ["user_id"], ["event_id"], sorted_before=True)
 
 
 @query(

@@ -19,7 +19,7 @@ from ...functions.text import (
 )
 from ...operators import masking, quality, records
 from ...operators.residual import harvest, residual_identifiers
-from ...operators.skew import lag_in_chunks
+from ...operators.skew import scan_in_order
 from ...session import spread
 from ...sources.embedded import json_objects, json_responses
 from ...sources.files import string_inventory
@@ -590,9 +590,7 @@ SELECT conv_id, turn, CASE WHEN before = 'system' OR role = 'system'
 )
 def previous_row_redact(t: Tables) -> DataFrame:
     """A value is cut to its length when the marker is on it or on the row before it."""
-    rows = lag_in_chunks(
-        t("conversations"), ["conv_id"], ["turn"], F.floor(F.col("turn") / 1000), {"before": "role"}
-    )
+    rows = scan_in_order(t("conversations"), ["conv_id"], ["turn"], {"before": "role"})
     marked = (F.col("before") == "system") | (F.col("role") == "system")
     return rows.select(
         "conv_id",

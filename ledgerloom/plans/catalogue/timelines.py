@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ...functions.clocks import decode_epoch
 from ...functions.text import json_text, to_bigint
 from ...operators import analytics, geo, quality
-from ...operators.skew import lag_in_chunks, rank_all
+from ...operators.skew import rank_all, scan_in_order
 from ...operators.timeline import latest_activity, timeline_table
 from ...schemas import provenance
+from ...session import cut_lineage
 from .base import Tables, number_top, query
 
 
@@ -159,9 +160,7 @@ def timeline_inversions(t: Tables) -> DataFrame:
         .otherwise(F.col("ts"))
         .alias("ts"),
     )
-    return quality.inversions(
-        shifted, ["user_id"], ["event_id"], "ts", F.floor(F.col("event_id") / 50_000)
-    )
+    return quality.inversions(shifted, ["user_id"], ["event_id"], "ts")
 
 
 @query(
@@ -233,12 +232,8 @@ SELECT event_id, user_id, CAST(ts AS DATE) AS day,
   before IS NULL OR CAST(before AS DATE) <> CAST(ts AS DATE) AS new_day FROM pairs""",
 )
 def day_separators(t: Tables) -> DataFrame:
-    rows = lag_in_chunks(
-        t("events").select("event_id", "user_id", "ts"),
-        ["user_id"],
-        ["ts", "event_id"],
-        F.to_date("ts"),
-        {"before": "ts"},
+    rows = scan_in_order(
+        t("events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], {"before": "ts"}
     )
     return rows.select(
         "event_id",
@@ -289,7 +284,7 @@ SQL_FIXES = """fixes AS (
 SELECT case_id, utc, source, from_lat, from_lon, lat, lon FROM steps WHERE from_lat IS NOT NULL""",
 )
 def location_union_path(t: Tables) -> DataFrame:
-    steps = geo.path_segments(evidence(t), ["case_id"], ["utc", "seq"])
+    steps = geo.path_segments(cut_lineage(evidence(t)), ["case_id"], ["utc", "seq"])
     return steps.select(
         "case_id", F.col("utc").cast("timestamp_ntz").alias("utc"), "source",
         "from_lat", "from_lon", "lat", "lon",

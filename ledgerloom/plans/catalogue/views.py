@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import conversations, records
 from ...operators.filters import FilterSpec
-from ...operators.skew import first_per_key, rank_all, rank_in_chunks
+from ...operators.skew import first_per_key, rank_all, scan_in_order
 from ...schemas import provenance
 from .base import Tables, number_top, query
 from .timelines import stamp
@@ -242,9 +242,7 @@ def conversation_view(t: Tables) -> DataFrame:
 )
 def conversation_order(t: Tables) -> DataFrame:
     rows = t("conversations").select("conv_id", "turn", "role")
-    return rank_in_chunks(
-        rows, ["conv_id"], ["turn", "role"], F.floor(F.col("turn") / 1000), "position"
-    )
+    return scan_in_order(rows, ["conv_id"], ["turn", "role"], position="position")
 
 
 @query(

@@ -77,29 +77,52 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, id bigint, t bigint, v double").cache(), rows
 
 
-@pytest.mark.parametrize("most", [skew.CHUNK_ROWS, 10])
-def test_lag_in_chunks_equals_one_window(skewed, monkeypatch, most):
-    monkeypatch.setattr(skew, "CHUNK_ROWS", most)
+@pytest.fixture(params=[1, 4, 64])
+def partitions(spark, request):
+    """Partitions that sorted tables have: one, some, and more than keys."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_previous_row_and_position_equal_one_window(skewed, partitions):
     df, rows = skewed
-    got = skew.lag_in_chunks(df, ["k"], ["t", "id"], F.floor(F.col("t") / 50), {"before": "v"})
-    got = {r.id: r.before for r in got.collect()}
-    want, last = {}, {}
+    got = skew.scan_in_order(df, ["k"], ["t", "id"], {"before": "v", "then": "t"}, position="n")
+    assert got.columns == [*df.columns, "before", "then", "n"]
+    assert (got.select(F.spark_partition_id()).distinct().count() > 1) == (partitions > 1)
+    want, last, seen = {}, {}, {}
     for k, i, t, v in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        want[i] = last.get(k)
-        last[k] = v
-    assert got == want
-
-
-@pytest.mark.parametrize("most", [skew.CHUNK_ROWS, 10])
-def test_rank_in_chunks_equals_one_window(skewed, monkeypatch, most):
-    monkeypatch.setattr(skew, "CHUNK_ROWS", most)
-    df, rows = skewed
-    got = skew.rank_in_chunks(df, ["k"], ["t", "id"], F.floor(F.col("t") / 50), "n")
-    got = {r.id: r.n for r in got.collect()}
-    want, seen = {}, {}
-    for k, i, t, v in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        want[i] = seen[k] = seen.get(k, 0) + 1
-    assert got == want
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = (*last.get(k, (None, None)), seen[k])
+        last[k] = v, t
+    assert {r.id: (r.before, r.then, r.n) for r in got.collect()} == want
+    # what comes out is still in order: a second scan needs no sort
+    again = skew.scan_in_order(got.select("k", "id", "n"), ["k"], ["t", "id"], {"m": "n"}, sorted_before=True)
+    assert {r.id: r.m for r in again.collect()} == {i: n - 1 or None for i, (_, _, n) in want.items()}
+
+
+def test_the_input_is_read_once(skewed):
+    df, _ = skewed
+    got = skew.scan_in_order(df, ["k"], ["t", "id"], {"before": "v"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "InMemoryTableScan" not in plan
+
+
+def test_scan_over_keys_of_every_kind(spark, partitions):
+    rows = [(None, 1, "a"), (None, 2, None), ("x", 1, None), ("x", 2, "b"), ("x", None, "c"), ("", 5, "d"), ("y", 1, "e"), ("y", 1, "e")]
+    df = spark.createDataFrame(rows, "k string, i int, v string").withColumn("at", F.timestamp_seconds(F.col("i"))).withColumn("s", F.struct("v"))
+    got = skew.scan_in_order(df, ["k"], ["i"], {"p": "v", "q": "at", "r": "s"}, position="n").collect()
+    one = {(r.k, r.i): (r.p, r.q and r.q.second, r.r and r.r.v, r.n) for r in got if r.k != "y"}
+    assert one == {
+        (None, 1): (None, None, None, 1), (None, 2): ("a", 1, "a", 2), ("x", None): (None, None, None, 1), ("x", 1): ("c", None, "c", 2), ("x", 2): (None, 1, None, 3),
+        ("", 5): (None, None, None, 1),
+    }
+    assert sorted((r.p, r.n) for r in got if r.k == "y" and r.p) == [("e", 2)]
+    none = skew.scan_in_order(df.where("false"), ["k"], ["i"], {"p": "v"}, position="n")
+    assert none.collect() == [] and none.columns[-2:] == ["p", "n"]
 
 
 def test_rank_all(skewed):
@@ -132,12 +155,10 @@ def test_value_sets_are_whole(spark):
     assert got == {"small": ["a", "b"], "big": [f"v{i:04}" for i in range(2000)]}
 
 
-@pytest.mark.parametrize("rows_per_chunk", [1, 2_000_000])  # 1: cut by range instead of chunks
-def test_last_value_before_a_row_skips_nulls(spark, monkeypatch, rows_per_chunk):
-    monkeypatch.setattr(skew, "CHUNK_ROWS", rows_per_chunk)
+def test_last_value_before_a_row_skips_nulls(spark, partitions):
     values = [None if 5 < i < 60 or i % 3 else i for i in range(100)]
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("j", 7, None)], "k string, i int, v int")
-    got = skew.lag_in_chunks(df, ["k"], ["i"], F.floor(F.col("i") / 10), {"p": "v"}, skip_nulls=True)
+    got = skew.scan_in_order(df, ["k"], ["i"], {"p": "v"}, skip_nulls=True)
     want, last = {("j", 7): None}, None
     for i, v in enumerate(values):
         want["k", i], last = last, v if v is not None else last
