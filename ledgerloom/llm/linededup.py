@@ -167,14 +167,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     points or more that two documents hold stay in the document of the smallest id only, all its
     occurrences included. A null text counts as empty: one line, nothing dropped, result ``''``. Rows
     of one id are one document; null ids are one document, the last. An empty table stays empty.
-    Other columns pass unchanged; input columns called n_lines, n_dropped or _keep are replaced.
+    Other columns pass unchanged; input columns called n_lines, n_dropped, _keep, _dropped, _doc or _row are not passed on.
     """
     maps = keep_bitmaps(docs, key, text, least).select(
-        "doc", "row", F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep")
+        F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep")
     )
     kept = [c for c in docs.columns if c not in {"n_lines", "n_dropped", "_keep", "_dropped", "_doc", "_row"}]
     keyed = docs.select(*kept, F.coalesce(F.col(key), F.lit(LAST)).alias("_doc"), F.xxhash64(text).alias("_row"))
-    joined = keyed.join(maps, (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row")), "left")
+    joined = keyed.join(maps, ["_doc", "_row"], "left")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return joined.select(
         *[_kept(body, "_keep").alias(c) if c == text else F.col(f"`{c}`") for c in kept],

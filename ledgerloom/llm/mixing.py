@@ -212,9 +212,10 @@ def _drawn(docs: DataFrame, key: str, text: str, sources: Column, seed: int) ->
 
 
 def _copies(plan: DataFrame, rows: DataFrame, size: Column) -> DataFrame:
-    joined = rows.withColumn("_words", size).join(F.broadcast(plan), F.col("_pattern") == F.col("pattern"))
-    partial = F.exists("spans", lambda s: F.col("_hash").between(s["lo"], s["hi"]) & (F.col("_words") <= s["cap"]))
-    return joined.withColumn("_copies", F.col("base") + F.when(partial, 1).otherwise(0))
+    plan = plan.select(F.col("pattern").alias("_pattern"), F.col("base").alias("_base"), F.col("spans").alias("_spans"))
+    joined = rows.withColumn("_words", size).join(F.broadcast(plan), "_pattern")
+    partial = F.exists("_spans", lambda s: F.col("_hash").between(s["lo"], s["hi"]) & (F.col("_words") <= s["cap"]))
+    return joined.withColumn("_copies", F.col("_base") + F.when(partial, 1).otherwise(0))
 
 
 def mix_table(

@@ -133,7 +133,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default:
                 )
 
     names = ("host", "path", "rule", "listed_entry", "verdict")
-    kept = [c for c in pages.columns if c not in names]
+    kept = [c for c in pages.columns if c not in (*names, "_address", "_rule", "_page")]
     distinct = pages.select(F.col(url).alias("url")).where("url IS NOT NULL").distinct()
     parts = distinct.select("url", host_of("url").alias("host"), path_of("url").alias("path"))
     parts = parts.select("*", canonical(F.col("host"), F.col("path")).alias("whole"))
@@ -142,8 +142,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default:
     best = hits.groupBy("url").agg(
         F.max_by(F.struct("entry", "action"), F.when(is_rule, F.struct(F.length("entry"), -F.instr("entry", "/"), "entry"))).alias("_rule"),
         F.max(F.when(~is_rule, F.struct("entry", "action"))).alias("_page"),
-    ).withColumnRenamed("url", "_url")
-    joined = pages.select(*kept).join(best, F.col(url) == F.col("_url"), "left")
+    ).withColumnRenamed("url", "_address")
+    joined = pages.select(*kept).join(best, F.col(url) == F.col("_address"), "left")
     return joined.select(
         *kept,
         host_of(url).alias("host"),

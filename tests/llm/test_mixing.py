@@ -24,6 +24,6 @@ def test_targets_with_long_documents(spark):
         F.repeat(F.lit("w "), size).alias("text"))
     taken, sizes, targets = mixing.mix_table(docs, weights=(1, 1, 1), seed=2)
     got = {r.s: r.t for r in taken.groupBy(F.col("sources")[0].alias("s")).agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
-    print("GAPS", {s: targets[s] - got[s] for s in sizes})
     assert mixing.mix_documents(docs, weights=(1, 1, 1), seed=2).count() == taken.agg(F.sum("copies")).first()[0]
-    assert all(got[s] <= targets[s] + 1 for s in sizes)
+    # a mix misses its target by less than the shortest document that is left
+    assert all(targets[s] - 2 < got[s] <= targets[s] + 1 for s in sizes)
