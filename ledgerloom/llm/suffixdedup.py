@@ -40,7 +40,7 @@ V, COVER = 13, (0, 1, 3, 9)  #: every difference modulo 13 is one of two members
 LAST = (1 << 63) - 1  # stands for a null document id: it comes after every other
 CHUNK = 4 << 20  #: bytes of text in a chunk; a longer text is a chunk of its own
 BUCKET_SAMPLES = 4_000_000  #: cover samples that a task of the seed step holds, on average
-PASSES = 3  #: rounds in which the blocks are sorted
+PASSES = 2  #: rounds in which the blocks are sorted
 STEP = 1 << 18  #: samples hashed at a time
 
 CHUNKS = "chunk bigint, docs binary, ends binary, prints binary, body binary"
