@@ -10,7 +10,7 @@ from ..functions.text import present
 from ..session import cut_lineage
 from .components import label_records
 from .ledger import money
-from .skew import value_sets
+from .skew import join_heavy, value_sets
 
 ATTRIBUTES = {
     "names": "name",
@@ -125,8 +125,7 @@ def seed_parties(parties: DataFrame, people_keys: DataFrame) -> DataFrame:
     known = known.select("case_id", "kind", "value").distinct().withColumn("_known", F.lit(True))
     identity = ["case_id", "vpa", "name", "phone", "name_key", "source_file"]
     unknown = (
-        _party_keys(parties.select(*identity))
-        .join(known, ["case_id", "kind", "value"], "left")
+        join_heavy(_party_keys(parties.select(*identity)), known, ["case_id", "kind", "value"], "left")
         .groupBy(*identity)
         .agg(F.bool_or(F.coalesce("_known", F.lit(False))).alias("_known"))
         .where(~F.col("_known"))
@@ -162,13 +161,12 @@ def seed_parties(parties: DataFrame, people_keys: DataFrame) -> DataFrame:
 def attribute(parties: DataFrame, owners: DataFrame) -> DataFrame:
     """Owner of each ledger party: by handle, else by name, else by phone.
 
-    ``owners`` is (case_id, kind, value, component). Parties are already one row per identifier
-    combination, so no hot key of the ledger reaches this join.
+    ``owners`` is (case_id, kind, value, component). Parties are one row per identifier combination; a name that
+    many handles share is still a hot key, and is cut by :func:`~.skew.join_heavy`.
     """
     best = F.min_by("component", F.when(F.col("component").isNotNull(), F.col("rank")))
     return (
-        _party_keys(parties)
-        .join(owners, ["case_id", "kind", "value"])
+        join_heavy(_party_keys(parties), owners, ["case_id", "kind", "value"])
         .groupBy(*parties.columns)
         .agg(best.alias("component"))
     )

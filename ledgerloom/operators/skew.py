@@ -71,14 +71,58 @@ def lookup_salted(
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
-def _filler(df: DataFrame, but: Sequence[str] = ()) -> Column:
-    """A key that matches nothing, spread evenly and the same again when a task is retried."""
+def _pieces(df: DataFrame, on: Sequence[str], out: str) -> DataFrame:
+    """The heaviest keys, at most ``HOT_KEYS``, with the number of pieces that each is cut into: one per
+    1/HOT_KEYS of the rows of all of them, and no more than it has rows."""
+    heavy = df.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = heavy.orderBy(F.desc("_n"), *on).limit(HOT_KEYS)
+    share = F.ceil(F.col("_n") * HOT_KEYS / F.sum("_n").over(Window.partitionBy()))
+    return heavy.select(*on, F.least("_n", share).cast("int").alias(out))
+
+
+def join_heavy(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join, inner or left, many to many, of two tables whose keys may each own any share of the rows.
+
+    The heaviest keys of either side are counted (an aggregate that combines map-side; at most 2 * HOT_KEYS rows are
+    broadcast). The rows of such a key are cut into pieces by a hash of the row, and the other side's rows of the key are
+    copied once per piece, so both sides meet on a grid of (key, piece, piece) and each pair of rows meets
+    once. All other keys own less than 1/HOT_KEYS of the rows. A left join cuts ``left`` only, and spreads its rows
+    without a key. Rows equal in all columns are in one piece.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join: {how}")
+    on = list(on)
+    cuts = _pieces(left, on, "_a")
+    if how == "inner":
+        cuts = cuts.join(_pieces(right, on, "_b"), on, "full")
+    else:
+        cuts = cuts.withColumn("_b", F.lit(1))
+    cuts = F.broadcast(cuts)
+    n_left, n_right = F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(1))
+    if how == "left":
+        keyed = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on])
+        n_left = F.when(keyed, n_left).otherwise(HOT_KEYS)
+    own = lambda df, n: F.pmod(_row_hash(df, on), n.cast("bigint")).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    grid_left = left.join(cuts, on, "left").select(*left.columns, own(left, n_left).alias("_i"), copies(n_right).alias("_j"))
+    right = right.dropna(subset=on)
+    grid_right = right.join(cuts, on, "left").select(*right.columns, copies(n_left).alias("_i"), own(right, n_right).alias("_j"))
+    return grid_left.join(grid_right, [*on, "_i", "_j"], how).drop("_i", "_j")
+
+
+def _row_hash(df: DataFrame, but: Sequence[str] = ()) -> Column:
+    """A hash of a row's plain columns, the same again when a task is retried."""
     atomic = [
         f.name
         for f in df.schema.fields
         if isinstance(f.dataType, (T.StringType, T.NumericType)) and f.name not in but
     ]
-    return F.concat(F.lit("\x00"), F.xxhash64(*(atomic or df.columns)).cast("string"))
+    return F.xxhash64(*(atomic or df.columns))
+
+
+def _filler(df: DataFrame, but: Sequence[str] = ()) -> Column:
+    """A key that matches nothing, spread evenly and the same again when a task is retried."""
+    return F.concat(F.lit("\x00"), _row_hash(df, but).cast("string"))
 
 
 def left_lookup(big: DataFrame, dim: DataFrame, on: str, scope: Sequence[str]) -> DataFrame:

@@ -148,6 +148,59 @@ def test_lookups_keep_every_row(spark, skewed, monkeypatch):
     assert {r.id: r.first for r in salted.collect()} == {i: plain.get(i) for i in range(3000)}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_key_of_a_third_of_the_rows_is_cut(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "HOT_KEYS", 32)
+    names = [("c", "hot" if i % 3 == 0 else None if i % 50 == 1 else f"n{i % 700}", i) for i in range(9000)]
+    owners = [("c", "hot", j) for j in range(4)] + [("c", f"n{j}", j) for j in range(500)] + [("d", "hot", 9), ("c", None, 5)]
+    left = spark.createDataFrame(names, "case_id string, value string, party int").repartition(5)
+    right = spark.createDataFrame(owners, "case_id string, value string, component int")
+    pairs = {}
+    for c, v, o in owners:
+        pairs.setdefault((c, v), []).append(o)
+    want = sorted(
+        ((i, o) for c, v, i in names for o in (pairs.get((c, v), []) if v else []) or ([None] if how == "left" else [])), key=str
+    )
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.join_heavy(left, right, ["case_id", "value"], how)
+        assert joined.columns == ["case_id", "value", "party", "component"]
+        placed = joined.select("party", "component", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sorted(((r.party, r.component) for r in placed), key=str) == want
+    sizes = [sum(r.p == p for r in placed) for p in {r.p for r in placed}]
+    assert max(sizes) < 2.5 * len(placed) / 8  # the hot name alone makes more than half of the pairs
+
+
+def test_both_sides_hot_meet_on_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", 8)
+    left = spark.range(300).select(F.when(F.col("id") < 100, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(90).select(F.when(F.col("id") < 30, 0).otherwise(F.col("id") + 80).alias("k"), F.col("id").alias("b"))
+    got = skew.join_heavy(left, right, ["k"]).orderBy("a", "b").collect()
+    assert got == left.join(right, "k").orderBy("a", "b").collect()
+    assert skew.join_heavy(left.limit(0), right, ["k"]).count() == 0
+    assert skew.join_heavy(left, right.limit(0), ["k"], "left").count() == 300
+
+
+def test_one_name_on_a_third_of_the_parties(spark):
+    rows = [(f"h{i}@x", "Same Name" if i % 3 == 0 else f"Name {i}", i) for i in range(600)]
+    parties = spark.createDataFrame(rows, "vpa string, name string, txn_count int").select(
+        F.lit("c").alias("case_id"), "*", F.lit(None).cast("string").alias("phone"), F.lower(F.regexp_replace("name", " ", "")).alias("name_key")
+    )
+    owners = spark.createDataFrame(
+        [("c", "name", "samename", "E1"), ("c", "vpa", "h3@x", "E2"), ("c", "name", "name4", "E3")],
+        "case_id string, kind string, value string, component string",
+    )
+    got = {r.vpa: r.component for r in entities.attribute(parties, owners).collect()}
+    want = {v: "E2" if v == "h3@x" else "E1" if n == "Same Name" else "E3" if n == "Name 4" else None for v, n, _ in rows}
+    assert got == {v: c for v, c in want.items() if c}
+
+
 def test_value_sets_are_whole(spark):
     rows = [("big", f"v{i % 2000:04}") for i in range(6000)] + [("small", "b"), ("small", "a"), ("small", None)]
     df = spark.createDataFrame(rows, "k string, v string")
