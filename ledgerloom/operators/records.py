@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clocks import show_time
+from ..functions.clocks import iso_time, show_time
 from ..functions.masks import mask_frame
 from ..functions.text import present, truncate
 from .filters import NOT_SEARCHED, text_matches
@@ -147,21 +147,35 @@ def global_search(domains: dict[str, DataFrame], text: str, limit: int = 1000, m
     return reduce(DataFrame.unionByName, parts).orderBy("domain", "record_key").limit(limit)
 
 
+def _number(text: Column) -> Column:
+    """The number that a text of plain digits stands for."""
+    return F.when(text.rlike(r"^[+-]?[0-9]+([.][0-9]+)?$"), text.cast("double"))
+
+
+def _grid_rank(text: Column, number: Column) -> Column:
+    return F.when(text.isNull(), 0).when(number.isNotNull(), 1).otherwise(2)
+
+
 def sort_keys(column: str, schema: T.StructType, descending: bool = False) -> list[Column]:
     """Grid order: empty cells first, then numbers, then text without regard to case.
 
-    Text columns may hold numbers and words side by side; booleans count as numbers and times sort
-    by instant.
+    A text column may hold numbers and words side by side: digits are compared as numbers. Booleans count as
+    numbers. Times sort by instant; one that could not be read sorts by its raw value, numbers before all instants.
     """
     kind = schema[column].dataType
     value = F.col(column)
     if isinstance(kind, T.StructType) and "utc" in kind.fieldNames():
-        keys = [value["utc"]]
+        raw = present(value["raw"]) if "raw" in kind.fieldNames() else F.lit(None).cast("string")
+        readable = value["utc"].isNotNull()
+        number = F.when(~readable, _number(raw))
+        keys = [_grid_rank(F.coalesce(value["utc"].cast("string"), raw), number), number,
+                F.when(readable, iso_time(value["utc"])).otherwise(F.lower(raw))]
     elif isinstance(kind, T.ArrayType):
         keys = [F.nullif(F.lower(F.array_join(value.cast("array<string>"), ", ")), F.lit(""))]
     elif isinstance(kind, T.StringType):
         text = present(value)
-        keys = [F.lower(text)]
+        number = _number(text)
+        keys = [_grid_rank(text, number), number, F.lower(text)]
     else:
         keys = [value]
     return [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]

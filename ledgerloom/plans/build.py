@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.entities import entity_table
@@ -30,6 +30,16 @@ def _runs(df: DataFrame) -> str | None:
     return None
 
 
+def write_counted(df: DataFrame, store: str, domain: str, names: list[str]) -> dict[str, int]:
+    """Write a domain; returns the rows of each normaliser, counted by the tasks that write them. Each task counts
+    once, however often it is tried, and nothing is read back."""
+    seen = Observation(domain)
+    counted = [F.count_if(F.col("normaliser") == name).alias(f"n{i}") for i, name in enumerate(names)]
+    write_domain(df.observe(seen, F.count(F.lit(1)).alias("n"), *counted), store, domain)
+    found = seen.get
+    return {name: found[f"n{i}"] for i, name in enumerate(names)}
+
+
 def run_normalisers(
     spark: SparkSession, sources: LandedSources, store: str, names: list[str] | None = None
 ) -> DataFrame:
@@ -52,24 +62,18 @@ def run_normalisers(
     for domain, parts in by_domain.items():
         empty = conform(spark.createDataFrame([], "case_id string"), domain).withColumn("normaliser", F.lit(None).cast("string"))
 
-        def whole() -> DataFrame:
-            return reduce(DataFrame.unionByName, [df for _, df in parts], empty)
+        def write() -> dict[str, int]:
+            return write_counted(reduce(DataFrame.unionByName, [df for _, df in parts], empty), store, domain, [name for name, _ in parts])
 
         try:
-            write_domain(whole(), store, domain)
+            counts = write()
         except Exception:  # noqa: BLE001
             errors = {name: _runs(df) for name, df in parts}
             log += [(name, domain, -1, error) for name, error in errors.items() if error]
             parts[:] = [(name, df) for name, df in parts if not errors[name]]
-            write_domain(whole(), store, domain)
-    failed = spark.createDataFrame(log, RUN_LOG)
-    sources = spark.createDataFrame([(n, d) for d, parts in by_domain.items() for n, _ in parts], "normaliser string, domain string")
-    found = reduce(DataFrame.unionByName, [read_domain(spark, store, d).select("normaliser", F.lit(d).alias("domain")) for d in by_domain])
-    counted = found.groupBy("normaliser", "domain").agg(F.count(F.lit(1)).alias("n"))
-    counts = sources.join(counted, ["normaliser", "domain"], "left").select(
-        "normaliser", "domain", F.coalesce("n", F.lit(0)).alias("n_rows"), F.lit(None).cast("string").alias("error")
-    )
-    return failed.unionByName(counts)
+            counts = write()
+        log += [(name, domain, n, None) for name, n in counts.items()]
+    return spark.createDataFrame(log, RUN_LOG)
 
 
 def build(spark: SparkSession, cases: DataFrame, store: str, bank_defaults: DataFrame | None = None):

@@ -122,19 +122,21 @@ def global_search(t: Tables) -> DataFrame:
 
 @query(
     "grid_sort_mixed",
-    """WITH cells AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ''
-    WHEN 2 THEN upper(event_type) ELSE event_type END AS cell, value FROM events)
+    """WITH cells AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ''
+    WHEN 2 THEN upper(event_type) WHEN 3 THEN CAST(event_id % 1500 - 20 AS VARCHAR) ELSE event_type END AS cell, value FROM events)
 SELECT event_id, coalesce(cell, '') AS cell, value,
-  row_number() OVER (ORDER BY lower(nullif(cell, '')) ASC NULLS FIRST, value, event_id) AS rank
+  row_number() OVER (ORDER BY CASE WHEN coalesce(cell, '') = '' THEN 0 WHEN TRY_CAST(cell AS DOUBLE) IS NOT NULL THEN 1 ELSE 2 END,
+    TRY_CAST(cell AS DOUBLE) ASC NULLS FIRST, lower(nullif(cell, '')) ASC NULLS FIRST, value ASC NULLS FIRST, event_id) AS rank
 FROM cells""",
 )
 def grid_sort_mixed(t: Tables) -> DataFrame:
-    """A whole grid in display order: empty cells first, then text without regard to case."""
-    n = F.col("event_id") % 4
+    """A whole grid in display order: empty cells first, then numbers, then text without regard to case."""
+    n = F.col("event_id") % 5
     cell = (
         F.when(n == 1, "")
         .when(n == 2, F.upper("event_type"))
-        .when(n == 3, F.col("event_type"))
+        .when(n == 3, (F.col("event_id") % 1500 - 20).cast("string"))
+        .when(n == 4, F.col("event_type"))
     )
     rows = t("events").select("event_id", cell.alias("cell"), "value")
     order = [

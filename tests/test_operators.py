@@ -417,6 +417,16 @@ def test_grid_sort_puts_empty_first(spark):
     assert got[2:] == ["A", "b"] and set(got[:2]) == {None, ""}
 
 
+def test_grid_sort_puts_numbers_before_words_and_unread_times_by_their_raw_value(spark):
+    df = spark.createDataFrame([("10",), ("9",), ("b",), (None,), ("-1.5",), ("A",), ("1e3",)], "c string")
+    assert [r.c for r in df.orderBy(*records.sort_keys("c", df.schema)).collect()] == [None, "-1.5", "9", "10", "1e3", "A", "b"]
+    down = df.orderBy(*records.sort_keys("c", df.schema, descending=True))
+    assert [r.c for r in down.collect()] == ["b", "A", "1e3", "10", "9", "-1.5", None]
+    times = [("a", 200, "5"), ("b", None, "10"), ("c", None, "9"), ("d", None, None), ("e", 100, "7"), ("f", None, "soon")]
+    t = spark.createDataFrame(times, "id string, s bigint, raw string").select("id", F.struct("raw", F.timestamp_seconds("s").alias("utc")).alias("t"))
+    assert [r.id for r in t.orderBy(*records.sort_keys("t", t.schema)).collect()] == ["d", "c", "b", "e", "a", "f"]
+
+
 def test_identifiers_are_placed_at_their_own_match(spark):
     from ledgerloom.operators.residual import harvest
 
