@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,10 @@ from .samples import training_rows
 
 EDGES = "\"'.,;:!?*$%&#()[]{}<>|/\\-_+=~`@^«»“”„‘’…"
 QUOTES = frozenset("\"«»“”„‘’")
+LOOKALIKES = str.maketrans("$@!013457", "saioieast")  #: signs and digits that stand for letters
+FRONT, BACK = ("".join(c for c in EDGES if c not in signs) for signs in ("$@!", "$@"))
+QUOTED = (0.25, 0.0, 0.5, 0.75, 1.0)  #: what a hit inside quotation marks may count; one is learned
+SHINGLE, HASHES = 5, 4  #: words and min-hashes by which training texts are near copies
 PREFIXES = range(4, 8)  #: lengths of word beginnings that may become terms
 FAMILY = 5  #: so many learned words must share a beginning for it to become a term
 WINDOW = 6  #: words on either side that make up a hit's context
@@ -31,8 +36,8 @@ CACHE = 400_000  #: words remembered per worker; beyond it the memory starts ane
 class Lexicon:
     """Terms in a trie, read by the deterministic form of their Levenshtein automata.
 
-    A state of the automaton is the set of (trie node, edits used) that the letters read so far can
-    reach. States and their transitions are built when first needed and kept, so a word costs
+    A state of the automaton is the set of (trie node, edits used, letter due) that the letters read so far can
+    reach; a letter is due in the middle of two swapped ones, which are one edit. States and their transitions are built when first needed and kept, so a word costs
     one dictionary step per letter, and most words leave the automaton after a few. ``terms``
     maps a term to its weight; a term that ends in ``*`` accepts every word that begins with it. Terms of
     five letters and more allow one edit, of ten and more two, never in the first letter;
@@ -61,38 +66,46 @@ class Lexicon:
         self._sets: list[frozenset] = []
         self._moves: list[dict[str, int]] = []
         self._found: list[tuple[tuple[str, int] | None, tuple[str, int] | None]] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
 
-    def _state(self, reached: set[tuple[int, int]]) -> int:
+    def _state(self, reached: set[tuple[int, int, str]]) -> int:
         """Number of a state; a letter may be missing from the word after every node but the root."""
         reached, todo = set(reached), list(reached)
         while todo:
-            node, used = todo.pop()
-            if node and used < self.budget[node]:
+            node, used, due = todo.pop()
+            if node and not due and used < self.budget[node]:
                 for child in self.children[node].values():
-                    if used < self.budget[child] and (child, used + 1) not in reached:
-                        reached.add((child, used + 1))
-                        todo.append((child, used + 1))
+                    if used < self.budget[child] and (child, used + 1, "") not in reached:
+                        reached.add((child, used + 1, ""))
+                        todo.append((child, used + 1, ""))
         known = frozenset(reached)
         if known not in self._ids:
             self._ids[known] = len(self._sets)
             self._sets.append(known)
             self._moves.append({})
-            whole = [(used, self.ends[n][0]) for n, used in known if self.ends[n] and not self.ends[n][2] and used <= self.ends[n][1]]
-            opens = [(used, self.ends[n][0]) for n, used in known if self.ends[n] and self.ends[n][2] and used == 0]
+            at = [(n, used) for n, used, due in known if not due and self.ends[n]]
+            whole = [(used, self.ends[n][0]) for n, used in at if not self.ends[n][2] and used <= self.ends[n][1]]
+            opens = [(used, self.ends[n][0]) for n, used in at if self.ends[n][2] and used == 0]
             best = lambda found: min(found)[::-1] if found else None
             self._found.append((best(whole), best(opens)))
         return self._ids[known]
 
     def _move(self, state: int, letter: str) -> int:
         reached = set()
-        for node, used in self._sets[state]:
+        for node, used, due in self._sets[state]:
+            if due:
+                if letter == due:
+                    reached.add((node, used, ""))
+                continue
             for c, child in self.children[node].items():
                 cost = used + (c != letter)
                 if cost == used or (node and cost <= self.budget[child]):
-                    reached.add((child, cost))
+                    reached.add((child, cost, ""))
+                swapped = self.children[child].get(letter) if node and c != letter else None
+                if swapped is not None and used < self.budget[swapped]:
+                    reached.add((swapped, used + 1, c))
             if node and used < self.budget[node]:
-                reached.add((node, used + 1))  # a letter too many
+                reached.add((node, used + 1, ""))  # a letter too many
         self._moves[state][letter] = out = self._state(reached) if reached else -1
         return out
 
@@ -113,6 +126,46 @@ def bare(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
+def unmasked(word: str) -> str | None:
+    """The word with letters for the signs and digits that look like them, or None where it has none."""
+    core = word.lower().lstrip(FRONT).rstrip(BACK)
+    plain = core.translate(LOOKALIKES)
+    return plain if plain != core and any(c.isalpha() for c in core) else None
+
+
+def search(lexicon: Lexicon, word: str) -> tuple[str, int, str] | None:
+    """(term, edits, the spelling that it accepts) of the nearest term. Look-alike signs make one edit more; a word with
+    several of them has to spell a term without other edits, as too few of its letters are certain."""
+    plain = bare(word)
+    found = lexicon.find(plain) if plain else None
+    best = (*found, plain) if found else None
+    if (best is None or best[1] > 1) and (form := unmasked(word)):
+        other = lexicon.find(form)
+        signs = sum(ord(c) in LOOKALIKES for c in word.lower().lstrip(FRONT).rstrip(BACK))
+        if other and (signs == 1 or not other[1]) and (best is None or other[1] + 1 < best[1]):
+            best = (other[0], other[1] + 1, form)
+    return best
+
+
+def inside_quotes(words: list[str], at: int) -> bool:
+    """Does the quotation mark nearest to a word on its left open, and the nearest on its right close? Marks up to
+    ``WINDOW`` words away count; a mark on the other side of a word, as in ``"article"``, ends a quotation."""
+    sides = lambda w: (w[: len(w) - len(w.lstrip(EDGES))], w[len(w.rstrip(EDGES)) :])
+    own = sides(words[at])
+    for side, way in ((0, -1), (1, 1)):
+        marked = bool(QUOTES & set(own[side]))
+        i = at + way
+        while not marked and 0 <= i < len(words) and abs(i - at) <= WINDOW:
+            near = sides(words[i])
+            if QUOTES & set(near[1 - side]) and near[0] != words[i]:
+                return False
+            marked = bool(QUOTES & set(near[side]))
+            i += way
+        if not marked:
+            return False
+    return True
+
+
 @dataclass
 class ToxicityModel:
     """Terms with weights, words known to be harmless, and the weights of the document features."""
@@ -135,12 +188,11 @@ class Scorer:
     def _hit(self, word: str) -> tuple[str, int] | None:
         if len(self._seen) >= CACHE:
             self._seen.clear()
-        plain = bare(word)
-        found = self.lexicon.find(plain) if plain else None
-        if found and found[1] and plain in self.model.harmless:
+        found = search(self.lexicon, word)
+        if found and found[1] and found[2] in self.model.harmless:
             found = None
-        self._seen[word] = found
-        return found
+        self._seen[word] = found and found[:2]
+        return self._seen[word]
 
     def hits(self, text: str) -> list[tuple[str, int, bool]]:
         """(term, edits, inside quotation marks) of every hit, in order."""
@@ -150,17 +202,16 @@ class Scorer:
         for i, word in enumerate(words):
             found = seen[word] if word in seen else self._hit(word)
             if found:
-                left = "".join(words[max(0, i - WINDOW) : i]) + word[: len(word) - len(word.lstrip(EDGES))]
-                right = word[len(word.rstrip(EDGES)) :] + "".join(words[i + 1 : i + 1 + WINDOW])
-                out.append((*found, bool(QUOTES & set(left)) and bool(QUOTES & set(right))))
+                out.append((*found, inside_quotes(words, i)))
         return out
 
-    def features(self, hits: list[tuple[str, int, bool]]) -> list[float]:
-        """Weight of exact hits, of misspelled ones, and of beginnings; quoted hits count less."""
+    def features(self, hits: list[tuple[str, int, bool]], quoted: float | None = None) -> list[float]:
+        """Weight of exact hits, of misspelled ones, and of beginnings; quoted hits count ``quoted``, or as learned."""
+        quoted = self.model.quoted if quoted is None else quoted
         sums = [0.0, 0.0, 0.0]
         for term, edits, inside in hits:
             kind = 2 if term.endswith("*") else 1 if edits else 0
-            sums[kind] += self.model.terms[term] * (self.model.quoted if inside else 1.0)
+            sums[kind] += self.model.terms[term] * (quoted if inside else 1.0)
         return [math.log1p(s) for s in sums]
 
     def score(self, hits: list[tuple[str, int, bool]]) -> float:
@@ -200,22 +251,33 @@ def _words_and_beginnings(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
-@F.udf(T.StringType())
-def _longest_word(text: str) -> str:
-    return max(map(bare, (text or "").split()), key=lambda w: (len(w), w), default="")
+@F.udf(T.ArrayType(T.LongType()))
+def _min_hashes(text: str) -> list[int]:
+    """Smallest hashes of a whole text's word shingles; a shorter text is one shingle."""
+    words = [bare(w) for w in (text or "").split()]
+    shingles = [" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+    crc = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in shingles], np.uint64)
+    factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)[:HASHES]
+    mixed = crc[:, None] * factors[None, :]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)
+    return [int(x) for x in mixed.min(axis=0)]
 
 
 def one_of_each(rows: DataFrame) -> DataFrame:
-    """The sample without near copies: one text of those that share label and longest word.
+    """The sample (text, label, hashes) without near copies: of the texts of a label that share a min-hash one stays.
 
-    Otherwise a harmful text copied forty times would make every one of its words a term.
+    Otherwise a harmful text copied forty times would make every one of its words a term. Two texts at a
+    similarity of 0.8 share one of four min-hashes 998 times of 1,000; unrelated texts share none.
     """
-    kept = rows.groupBy("label", _longest_word("text").alias("_longest")).agg(F.min("text").alias("text"))
-    return kept.select("text", "label")
+    for k in range(HASHES):
+        first = F.min_by(F.struct("text", "hashes"), F.coalesce("text", F.lit(""))).alias("one")
+        rows = rows.groupBy("label", F.col("hashes")[k].alias("_hash")).agg(first).select("one.text", "label", "one.hashes")
+    return rows.select("text", "label")
 
 
 def learn_terms(rows: DataFrame, most: int = 5000) -> dict[str, float]:
-    """Words, and beginnings of word families, that mark toxic documents beyond chance.
+    """Words, and beginnings of word families, that mark toxic documents beyond chance. ``most`` bounds the model:
+    so many candidates at most, the ones in most toxic documents of the sample.
 
     The bar rises with the number of features in as many documents, so that hardly one passes by luck.
     """
@@ -264,23 +326,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60) ->
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, per_class: int = 3000
 ) -> ToxicityModel:
-    """Learn terms, harmless look-alikes and feature weights from at most ``per_class`` documents of
-    either label. Without both labels the model has no terms and every score is low."""
+    """Learn terms, harmless look-alikes, feature weights and what a quoted hit counts from at most ``per_class``
+    documents of either label. Without both labels the model has no terms and every score is low."""
     rows, weight = training_rows(docs, labels, label, modulus, held_out, per_class)
-    rows, _ = written(one_of_each(rows), "toxicsample")
+    drawn, _ = written(rows.select("text", "label", _min_hashes("text").alias("hashes")), "toxicdrawn")
+    rows, _ = written(one_of_each(drawn), "toxicsample")
     terms = learn_terms(rows)
     if not terms:
         return ToxicityModel()
+    sizes, left = ({r["label"]: r["count"] for r in t.groupBy("label").count().collect()} for t in (drawn, rows))
+    weight = {v: weight[v] * sizes[v] / left[v] for v in left}  # a text that stays stands for its copies too
     lexicon = Lexicon(terms)
-    similar = _counted(rows, lambda text: {w for w in map(bare, text.split()) if (f := lexicon.find(w)) and f[1]})
-    harmless = frozenset(r.feature for r in similar.where("clean > 0").collect())
-    model = ToxicityModel(terms, harmless)
-    scorer = model.scorer()
-    measured = F.udf(lambda text: scorer.features(scorer.hits(text or "")), T.ArrayType(T.DoubleType()))
-    seen = rows.select(measured("text").alias("x"), "label").orderBy("label", "x").collect()
-    y = np.array([r.label for r in seen], dtype=float)
-    bias, slopes = _logistic(np.array([r.x for r in seen]), y, np.where(y == 1, weight[1], weight[0]))
-    return ToxicityModel(terms, harmless, bias, slopes)
+    similar = _counted(rows, lambda text: {f[2] for w in set(text.split()) if (f := search(lexicon, w)) and f[1]})
+    # a spelling is harmless where a larger share of the clean texts has it than of the toxic ones
+    harmless = frozenset(r.feature for r in similar.where(F.col("clean") * left[1] > F.col("toxic") * left[0]).collect())
+    scorer = ToxicityModel(terms, harmless).scorer()
+
+    def measure(text: str) -> list[list[float]]:
+        hits = scorer.hits(text or "")
+        return [scorer.features(hits, q) for q in QUOTED]
+
+    measured = F.udf(measure, T.ArrayType(T.ArrayType(T.DoubleType())))
+    seen = sorted((r.label, r.x) for r in rows.select(measured("text").alias("x"), "label").collect())  # the bounded sample
+    y = np.array([r[0] for r in seen], dtype=float)
+    w = np.where(y == 1, weight[1], weight[0])
+    fits = []
+    for at, quoted in enumerate(QUOTED):
+        x = np.array([r[1][at] for r in seen])
+        bias, slopes = _logistic(x, y, w)
+        z = bias + x @ np.array(slopes)
+        fits.append((round(float((w * np.logaddexp(0, np.where(y == 1, -z, z))).sum() / w.sum()), 9), at, quoted, bias, slopes))
+    _, _, quoted, bias, slopes = min(fits)
+    return ToxicityModel(terms, harmless, bias, slopes, quoted)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:

@@ -156,11 +156,13 @@ def test_toxicity(spark, docs, none):
 
 def test_automaton_agrees_with_edit_distance():
     def edits(a, b):
-        row = list(range(len(b) + 1))
+        row, last = list(range(len(b) + 1)), None
         for i, x in enumerate(a, 1):
-            row, last = [i], row
+            row, last, older = [i], row, last
             for j, y in enumerate(b, 1):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    row[-1] = min(row[-1], older[j - 2] + 1)
         return row[-1]
 
     rng = np.random.default_rng(3)
