@@ -1,4 +1,4 @@
-"""Embedding near-dedup: a subspace pigeonhole join of rotated unit vectors."""
+"""Embedding near-dedup: a sliced join of rotated unit vectors under a subspace bound."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ from ..operators.components import components
 from .common import arrow_schema, cut_lineage, merge, written
 from .vectors import classes, matrix, usable
 
-BLOCK = 8  #: dimensions of a subspace
+HEAD = 32  #: coordinates of the subspace that names candidates, or a quarter of the width if that is more
 TASK = 16_000  #: vectors of a slice; a task joins two slices
-CHUNK = 512
+CHUNK, ROW = 512, 8192  #: vectors compared at a time
 PAIRS = 50_000  #: candidate pairs verified at a time
 
 
@@ -33,83 +33,41 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
 
 
-def _edges(width: int) -> np.ndarray:
-    return np.append(np.arange(0, width, BLOCK), width)
-
-
-def _budgets(width: int, cosine: float) -> np.ndarray:
-    """Share of the squared distance of linked unit vectors that each subspace gets, by its width."""
-    return 2 * (1 - cosine) * (1 + 1e-9) * np.diff(_edges(width)) / width
-
-
-def _placed(rows: DataFrame, cosine: float) -> DataFrame:
-    """(width, block, cell, home, node, copies, v): the cell of a vector in each subspace and the cells
-    within reach of it, along the subspace's first coordinate."""
-    kind = rows.schema["v"].dataType.elementType.simpleString()
-    ddl = f"width int, block int, cell int, home boolean, node bigint, copies bigint, v array<{kind}>"
-    shape = arrow_schema(ddl)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = np.diff(batch.column(2).offsets.to_numpy())
-            for width in np.unique(lengths):
-                part = batch.take(pa.array(np.flatnonzero(lengths == width)))
-                width = int(width)
-                turned = unit(matrix(part.column(2), width)) @ rotation(width)
-                reach = np.sqrt(_budgets(width, cosine)) + 1e-9
-                for block, at in enumerate(_edges(width)[:-1]):
-                    x, r = turned[:, at], reach[block]
-                    home = np.floor(x / (2 * r)).astype(np.int32)
-                    for step in (-1, 0, 1):
-                        near = np.floor((x + step * r) / (2 * r)).astype(np.int32)
-                        own = np.flatnonzero(near != home) if step else np.arange(len(x))
-                        if len(own):
-                            rows_ = part.take(pa.array(own))
-                            n = len(own)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(near[own]),
-                                 pa.array(np.full(n, step == 0)), rows_.column(0), rows_.column(1), rows_.column(2)], schema=shape,
-                            )
-
-    return rows.select("node", "copies", "v").mapInArrow(run, ddl)
+def _head(width: int) -> int:
+    """Coordinates of the rotated vectors that name candidates."""
+    return min(width, max(HEAD, width // 4))
 
 
 def _joined(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links of one task: per vector the number of links and the first vector of its local class.
+    """Links of one task, the pairs of slices i and j: per vector the number of links and the first vector of its
+    local class.
 
-    A pair counts in the home cell of its smaller id and in the first subspace that is within budget, so
-    nowhere twice. Distances in the subspace name candidates; the cosine decides, in double precision.
+    A distance in the subspace is never above the whole one, so it names candidates and loses none; the cosine
+    decides, in double precision.
     """
     frame = frame.sort_values("node", ignore_index=True)
-    width, block = int(frame["width"].iloc[0]), int(frame["block"].iloc[0])
     i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    node, copies = frame["node"].to_numpy(), frame["copies"].to_numpy()
-    home, part = frame["home"].to_numpy(), frame["s"].to_numpy()
+    node, copies, part = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["s"].to_numpy()
     plain = unit(np.stack(frame["v"].to_list()))
-    turned = plain @ rotation(width)
-    edges, budget = _edges(width), _budgets(width, cosine)
-    sub = turned[:, edges[block] : edges[block + 1]].astype(np.float32)
+    width = plain.shape[1]
+    sub = (plain @ rotation(width)[:, : _head(width)]).astype(np.float32)
     half = (sub * sub).sum(axis=1, keepdims=True) / 2
     left = np.hstack([sub, np.ones_like(half), -half])
     right = np.hstack([sub, -half, np.ones_like(half)])
-    floor = np.float32(-budget[block] / 2 - 1e-5)
+    floor = np.float32(cosine - 1 - 1e-5 - 1e-7 * sub.shape[1])  # minus half the squared distance of unit vectors that link
     links, label = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
-    for mine, theirs in ((i, j), (j, i)) if i != j else ((i, i),):
-        xs, ys = np.flatnonzero(home & (part == mine)), np.flatnonzero(part == theirs)
-        for at in range(0, len(xs), CHUNK):
-            x = xs[at : at + CHUNK]
-            y = ys[np.searchsorted(ys, x[0], side="right") :]
-            if not len(y):
-                continue
-            hit = np.flatnonzero(left[x] @ right[y].T >= floor)
+    xs, ys = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    for at in range(0, len(xs), CHUNK):
+        x = xs[at : at + CHUNK]
+        y = ys[at:] if i == j else ys
+        for start in range(0, len(y), ROW):
+            z = y[start : start + ROW]
+            hit = np.flatnonzero(left[x] @ right[z].T >= floor)
             for k in range(0, len(hit), PAIRS):
-                a, b = x[hit[k : k + PAIRS] // len(y)], y[hit[k : k + PAIRS] % len(y)]
-                later = node[a] < node[b]
-                a, b = a[later], b[later]
-                gap = (turned[a] - turned[b]) ** 2
-                inside = np.add.reduceat(gap, edges[:-1], axis=1) <= budget if len(a) else np.zeros((0, len(budget)), bool)
-                first = inside.argmax(axis=1) == block
-                a, b = a[first & inside[:, block]], b[first & inside[:, block]]
+                a, b = x[hit[k : k + PAIRS] // len(z)], z[hit[k : k + PAIRS] % len(z)]
+                if i == j:
+                    later = node[a] < node[b]
+                    a, b = a[later], b[later]
                 close = np.einsum("ij,ij->i", plain[a], plain[b]) >= cosine
                 a, b = a[close], b[close]
                 np.add.at(links, a, copies[b])
@@ -123,9 +81,9 @@ def vector_links(table: DataFrame, cosine: float = 0.9, key: str = "vec_id", vec
     """(key, n_links, component_id, kept) per row of ``table``.
 
     Rows link when the cosine of their vectors is at least ``cosine``. Unit vectors that link are within
-    a squared distance of 2 - 2 cosine, so in one of their subspaces within that subspace's share of it: each
-    subspace is range-joined under its share and the union verified. Exact: no link is lost, none added.
-    Large cells are joined slice by slice, so a task holds at most two slices.
+    a squared distance of 2 - 2 cosine, so in any subspace too: all pairs of slices meet once, are compared in one
+    subspace and what is left is verified. Exact: no link is lost, none added. A task holds at most two slices.
+    The pairs grow with the square of the vectors; a vector is sent once for each slice of ``TASK``.
 
     Null, empty and zero vectors and vectors with null or non-finite components link with nothing; a row
     without an id takes no part (no links, component null, not kept); vectors of different widths
@@ -134,14 +92,12 @@ def vector_links(table: DataFrame, cosine: float = 0.9, key: str = "vec_id", vec
     """
     rows = usable(table, key, vector)
     singles, _ = written(classes(rows), "vectors")
-    placed, _ = written(_placed(singles, cosine), "vectorcells")
-    cells = ["width", "block", "cell"]
-    # cells are bounded by the rotation: at most 2 / reach for each subspace
-    sizes = placed.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / TASK).cast("int").alias("slices"))
-    dealt = placed.join(F.broadcast(sizes), cells).withColumn("s", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    width = F.size("v").alias("width")
+    sizes = singles.groupBy(width).agg(F.ceil(F.count(F.lit(1)) / TASK).cast("int").alias("slices"))
+    dealt = singles.withColumn("width", width).join(F.broadcast(sizes), "width").withColumn("s", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     tasks = paired.withColumns({"i": F.least("s", "o"), "j": F.greatest("s", "o")}).drop("o", "slices")
-    found = tasks.groupBy(*cells, "i", "j").applyInPandas(
+    found = tasks.groupBy("width", "i", "j").applyInPandas(
         lambda frame: _joined(frame, cosine), "node bigint, links bigint, root bigint"
     )
     found = cut_lineage(found)
