@@ -71,30 +71,37 @@ def _rejoin(gaps: Column, pieces: Column) -> Column:
     return F.array_join(F.zip_with(gaps, tail, lambda a, b: F.concat(a, b)), "")
 
 
-def rewrite_matches(s: Column, pattern: str, mask: Callable[[Column], Column]) -> Column:
+def rewrite_matches(
+    s: Column, pattern: str, mask: Callable[[Column], Column], needs: Callable[[Column], Column] | None = None
+) -> Column:
     """Replace every match of ``pattern`` by ``mask(match)``.
 
     ``regexp_replace`` only knows fixed replacements; the masks here depend on the match. The text
     is cut at the matches and joined again with the masked pieces, all inside one expression, and
-    texts without any match skip that work.
+    texts without any match skip that work. ``needs`` is a cheap test that every text with a match
+    passes; the pattern is not tried on the others.
     """
 
     def body(x: Column) -> Column:
         found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
         rewritten = _rejoin(F.split(x, pattern, -1), F.transform(found, mask))
-        return F.when(x.rlike(pattern), rewritten).otherwise(x)
+        matched = x.rlike(pattern)
+        return F.when(needs(x) & matched if needs else matched, rewritten).otherwise(x)
 
     return bind(s, body)
 
 
-def rewrite_groups(s: Column, pattern: str, mask: Callable[[Column, Column], Column]) -> Column:
+def rewrite_groups(
+    s: Column, pattern: str, mask: Callable[[Column, Column], Column], needs: Callable[[Column], Column] | None = None
+) -> Column:
     """As :func:`rewrite_matches` with the first two capture groups handed to ``mask``."""
 
     def body(x: Column) -> Column:
         one = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
         two = F.regexp_extract_all(x, F.lit(pattern), F.lit(2))
         rewritten = _rejoin(F.split(x, pattern, -1), F.zip_with(one, two, mask))
-        return F.when(x.rlike(pattern), rewritten).otherwise(x)
+        matched = x.rlike(pattern)
+        return F.when(needs(x) & matched if needs else matched, rewritten).otherwise(x)
 
     return bind(s, body)
 

@@ -18,6 +18,9 @@ BROADCAST_NAMES = 500_000
 #: most characters of found names that are shipped to every executor
 BROADCAST_CHARS = 64_000_000
 
+#: most different first characters of anchors that a text is searched for
+FIRSTS = 1_000
+
 #: (domain, field) pairs that hold real names
 NAME_FIELDS = (
     ("person", "name"),
@@ -39,22 +42,28 @@ def known_names(domains: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where(F.length("name") > 2).distinct()
 
 
-def _windows(text, size: int):
-    """All character windows of one length. A look-ahead walks the text once, where repeated
-    substrings would start from its beginning every time."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1))
+def _windows(text, size: int, firsts: str | None = None):
+    """All character windows of one length, or those that start with one of ``firsts``. A look-ahead
+    walks the text once, where repeated substrings would start from its beginning every time."""
+    first = "." if firsts is None else "[%s]" % "".join(r"\x{%x}" % ord(c) for c in firsts)
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(%s.{%d}))" % (first, size - 1)), F.lit(1))
 
 
 def name_anchors(names: DataFrame, scope: list[str]) -> DataFrame:
-    """One gram per name to find it by: the one that the fewest other names contain."""
+    """One gram per name to find it by: one that few other names contain and that starts with a
+    character that is rare in names, so that few places of a text have to be looked up."""
     short, long = (_windows(F.col("name"), size) for size in GRAM_SIZES)
     own = F.when(F.length("name") >= GRAM_SIZES[1], long).otherwise(short)
     grams = names.select(*scope, "name", F.explode(F.array_distinct(own)).alias("gram"))
     spread = grams.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("n"))
+    # a table of characters, whatever the number of names
+    starts = grams.groupBy(F.left("gram", F.lit(1)).alias("first")).agg(F.count(F.lit(1)).alias("m"))
+    found = grams.join(spread, [*scope, "gram"]).withColumn("first", F.left("gram", F.lit(1)))
+    cost = F.col("n").cast("double") * F.col("n") * F.col("m")
     return (
-        grams.join(spread, [*scope, "gram"])
+        found.join(F.broadcast(starts), "first")
         .groupBy(*scope, "name")
-        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        .agg(F.min_by("gram", F.struct(cost, "gram")).alias("gram"))
     )
 
 
@@ -63,20 +72,24 @@ def names_in_texts(
 ) -> DataFrame:
     """(key, known_names) for texts that may contain known names, longest first.
 
-    Every window of a text is looked up among the name anchors: nothing is missed and no text meets
-    every name. A candidate that is not in the text after all is harmless, as masking replaces
-    exact occurrences only.
+    Every window of a text that starts like an anchor is looked up among the name anchors: nothing is
+    missed and no text meets every name. A candidate that is not in the text after all is harmless, as
+    masking replaces exact occurrences only.
     """
     scope = scope or []
-    anchors = name_anchors(names, scope)
-    # three numbers about the anchors decide how they are met
-    n_anchors, shortest, longest = anchors.agg(
-        F.count(F.lit(1)), F.min(F.length("gram")), F.max(F.length("gram"))
-    ).first()
-    sizes = [s for s in GRAM_SIZES if shortest and shortest <= s <= longest] or [GRAM_SIZES[0]]
-    windows = texts.select(
-        *scope, key, F.explode(F.concat(*[_windows(F.col(text), s) for s in sizes])).alias("gram")
-    )
+    anchors = cut_lineage(name_anchors(names, scope))
+    # their number and their first characters decide how they are met
+    n_anchors = anchors.count()
+    starts = anchors.select(F.length("gram").alias("size"), F.left("gram", F.lit(1)).alias("first")).distinct()
+    firsts: dict[int, list[str]] = {}
+    for r in (known := starts.limit(FIRSTS + 1).collect()):
+        firsts.setdefault(r["size"], []).append(r["first"])
+    if len(known) > FIRSTS:
+        found = [_windows(F.col(text), s) for s in GRAM_SIZES]
+    else:
+        found = [_windows(F.col(text), s, "".join(sorted(c))) for s, c in sorted(firsts.items())]
+    found = found or [_windows(F.col(text), GRAM_SIZES[0])]
+    windows = texts.select(*scope, key, F.explode(F.concat(*found)).alias("gram"))
     # a checked, bounded anchor table is broadcast, so windows without a name are dropped in place;
     # a larger one is met by a shuffle on the window
     side = F.broadcast(anchors) if n_anchors <= BROADCAST_NAMES else anchors

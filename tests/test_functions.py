@@ -1,5 +1,6 @@
 """Scalar functions against hand-written values."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -282,3 +283,21 @@ def test_documents_must_be_whole(spark):
     assert got[0] == '{"b":1}' and got[1:] == [None] * 5
     head = docs.select(text.in_document("d", "[0].a").alias("v")).collect()
     assert head[5].v == "z"
+
+
+def test_masks_try_their_patterns_only_where_they_can_match(spark):
+    rows = ["mail a.b+c@d.example now", "no sign of it " * 20, "NAME: Ada Byron", "Account_Holder = Joe Ray", "by joe@icici", ""]
+    frame = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    got = {r["id"]: r["masked"] for r in frame.select("id", masks.mask_text("text").alias("masked")).collect()}
+    assert got == {
+        0: "mail " + "•" * 15 + " now", 1: rows[1], 2: "NAME: A•• B••••", 3: "Account_Holder = J•• R••", 4: "by •••@•••••", 5: "",
+    }
+
+
+def test_an_email_is_the_same_whether_or_not_later_starts_are_tried(spark):
+    pick = random.Random(4)
+    rows = [("".join(pick.choices("aé_1.@+- ", [4, 1, 1, 1, 4, 3, 1, 1, 1], k=pick.randint(1, 24))),) for _ in range(5000)]
+    every_start = rf"[{text.WORD}][{text.WORD}.+\-]*@[{text.WORD}\-]+\.[{text.WORD}.]+[{text.WORD}]"
+    found = [F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (masks.EMAIL, every_start)]
+    rows = spark.createDataFrame(rows, "t string").select("t", *found).collect()
+    assert sum(bool(r[2]) for r in rows) > 100 and [r for r in rows if r[1] != r[2]] == []

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import components, entities, geo, integrity, ledger, quality, records, skew
+from ledgerloom.operators import components, entities, geo, integrity, ledger, masking, quality, records, skew
 from ledgerloom.operators.filters import FilterSpec, spec_from_inputs
 from ledgerloom.schemas import conform, provenance
 from ledgerloom.sources import sinks
@@ -441,3 +441,15 @@ def test_large_and_small_amounts_are_plain_digits(spark):
     values = [(1e7,), (12345678.5,), (0.0005,), (12.5,), (None,)]
     shown = [r.s for r in spark.createDataFrame(values, "x double").select(_number("x").alias("s")).collect()]
     assert shown == ["10000000.0", "12345678.5", "0.0005", "12.5", None]
+
+
+def test_names_are_looked_up_only_where_an_anchor_may_start(spark):
+    names = spark.createDataFrame([("Ada Lovelace",), ("Grace Hopper",), ("Bo]b^",), ("Zoë",)], "name string")
+    rows = [(1, "met Ada Lovelace and Zoë\nthere"), (2, "aGrace Hopperb, Bo]b^-Zoë"), (3, "ada lovelace"), (4, ""), (5, None)]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    found = {r["id"]: r["known_names"] for r in masking.names_in_texts(texts, "id", "text", names).collect()}
+    assert found == {1: ["Ada Lovelace", "Zoë"], 2: ["Grace Hopper", "Bo]b^", "Zoë"]}
+    anchors = [r["gram"] for r in masking.name_anchors(names, []).collect()]
+    pairs = masking._windows(F.col("text"), 6, "AG")
+    windows = texts.select("id", F.explode(pairs).alias("gram")).collect()
+    assert len(anchors) == 4 and {(r["id"], r["gram"]) for r in windows} == {(1, "Ada Lo"), (2, "Grace ")}
