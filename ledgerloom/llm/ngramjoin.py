@@ -35,6 +35,8 @@ GROWTH = 1.4  #: ratio of the largest set sizes of two levels
 SALTS = 32  #: partitions tried before a set with too many empty parts joins the common one
 REGION = 6_000_000  #: shingles that one task joins
 PIVOTS = 16  #: pivots of a region that is split
+SPREAD = 1.25  #: a split by pivots is made if its regions hold at most so many times the shingles, and none above half of them
+SLICE = 100_000_000  #: shingles of pairs of blocks that are shuffled at a time, or twice the regions' own if that is more
 
 
 @dataclass(frozen=True)
@@ -420,12 +422,14 @@ def _join_regions(members: DataFrame, limit: Threshold) -> DataFrame:
     return members.groupBy("region").applyInPandas(run, "u string, v string").where("u <> v")
 
 
-def _split_regions(large: DataFrame, limit: Threshold, salt: int) -> DataFrame:
-    """Members of the Voronoi regions of regions too large for a task.
+def _split_regions(large: DataFrame, limit: Threshold, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the Voronoi regions of regions too large for a task, and members of the regions that pivots
+    do not split.
 
     Pivots are the first sets by a hash of their name. Members meet the pivots in as many groups as
-    their weight needs; a member goes to every region whose pivot is no farther than its nearest plus
-    two radii, so linked sets always meet in one.
+    their weight needs; a member belongs to every region whose pivot is no farther than its nearest plus
+    two radii, so linked sets always meet in one. Sets that are all close to one another, or all far from every
+    pivot, belong to nearly all; such a region is left as it is, and its members are not copied.
     """
     weights = large.groupBy("region").agg(F.ceil(4 * F.sum("n") / REGION).cast("int").alias("groups"))
     weights = cut_lineage(weights)
@@ -437,9 +441,8 @@ def _split_regions(large: DataFrame, limit: Threshold, salt: int) -> DataFrame:
     dealt = large.join(weights, "region").withColumn("grp", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
 
     def assign(frame: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-        rows = []
         if frame.empty:
-            return frame[["region", "node", "n", "elements"]]
+            return pd.DataFrame(columns=["region", "node", "n", "slots"], dtype=object)
         centres = centres.sort_values("slot", ignore_index=True)
         sets = [np.asarray(s, dtype=np.int64) for s in (*centres["elements"], *frame["elements"])]
         region, k = Region(sets), len(centres)
@@ -449,15 +452,19 @@ def _split_regions(large: DataFrame, limit: Threshold, salt: int) -> DataFrame:
             inter, union = region.common(i, others)
             far[i] = (union - inter) / union
         window = far <= far.min(axis=0) + 2 * (1 - limit.num / limit.den) + 1e-9
-        for i, slot in enumerate(centres["slot"]):
-            for j in np.flatnonzero(window[i]):
-                rows.append((f"{frame['region'].iloc[0]}/{slot}", frame["node"].iloc[j], int(frame["n"].iloc[j]), frame["elements"].iloc[j]))
-        return pd.DataFrame(rows, columns=["region", "node", "n", "elements"])
+        slots = centres["slot"].to_numpy()
+        return pd.DataFrame({"region": frame["region"], "node": frame["node"], "n": frame["n"], "slots": [slots[w].tolist() for w in window.T]})
 
-    split = dealt.groupBy("region", "grp").cogroup(pivots.groupBy("of", "grp")).applyInPandas(
-        assign, "region string, node string, n bigint, elements array<bigint>"
-    )
-    return cut_lineage(split)
+    placed = cut_lineage(dealt.groupBy("region", "grp").cogroup(pivots.groupBy("of", "grp")).applyInPandas(
+        assign, "region string, node string, n bigint, slots array<bigint>"
+    ))
+    made = placed.select("region", "n", F.explode("slots").alias("slot")).groupBy("region", "slot").agg(F.sum("n").alias("w"))
+    made = made.groupBy("region").agg(F.sum("w").alias("every"), F.max("w").alias("most"))
+    held = placed.groupBy("region").agg(F.sum("n").alias("w")).join(made, "region")
+    apart = cut_lineage(held.where((F.col("every") <= SPREAD * F.col("w")) & (2 * F.col("most") <= F.col("w"))).select("region"))
+    split = large.join(apart, "region", "left_semi").join(placed.select("region", "node", F.explode("slots").alias("slot")), ["region", "node"])
+    split = split.select(F.concat_ws("/", "region", "slot").alias("region"), "node", "n", "elements")
+    return cut_lineage(split), large.join(apart, "region", "left_anti")
 
 
 def _first_shared(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
@@ -499,17 +506,38 @@ def _split_by_rare(large: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
-    """Regions that pivots do not split (all sets close to one another) as pairs of blocks."""
+    """Regions that pivots do not split (all sets close to one another) as pairs of two of their three or more blocks."""
     weights = large.groupBy("region").agg(F.ceil(2 * F.sum("n") / REGION).cast("int").alias("blocks"))
     placed = large.join(weights, "region").withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("b <> other")
     pair = F.concat_ws("+", "region", F.least("b", "other"), F.greatest("b", "other"))
     return paired.select(pair.alias("region"), "node", "n", "elements")
 
 
+def _blocks_joined(large: DataFrame, limit: Threshold) -> list[DataFrame]:
+    """:func:`_join_regions` of the pairs of blocks, a share of the pairs at a time: a set is in as many pairs as its
+    region has blocks, and all at once would need disk that grows with the square of a region."""
+    own = large.groupBy("region").agg(F.sum("n").alias("w")).agg(
+        F.sum("w").alias("w"), F.sum(F.col("w") * F.ceil(2 * F.col("w") / REGION)).alias("paired")
+    ).first()
+    slices = -(-int(own["paired"] or 0) // max(SLICE, 2 * int(own["w"] or 0)))
+    out = []
+    for number in range(slices):
+        some = _in_blocks(large).where(F.pmod(F.xxhash64(F.lit("slice"), "region"), F.lit(slices)) == number)
+        out.append(cut_lineage(_join_regions(some, limit)))
+        del some
+        release(large.sparkSession)
+    return out
+
+
 def _verified(members: DataFrame, limit: Threshold) -> DataFrame:
-    """(node, component) of all nodes that link with another."""
-    fits, rounds = [], 0
+    """(node, component) of all nodes that link with another.
+
+    Regions too large for a task are split by rare shingles as long as that takes a tenth off their weight: among
+    fewer sets fewer shingles are shared, and a set that shares too few with its own group goes. Pivots split what is
+    left, where they can; the rest is joined block by block.
+    """
+    fits, close, rounds, pivots, before = [], [], 0, 0, math.inf
     todo = members
     while True:
         sized = todo.groupBy("region").agg(F.sum("n").alias("w")).where(F.col("w") > REGION)
@@ -521,15 +549,23 @@ def _verified(members: DataFrame, limit: Threshold) -> DataFrame:
         fits.append(todo.join(F.broadcast(names), "region", "left_anti"))
         large = todo.join(F.broadcast(names), "region", "left_semi")
         rounds += 1
-        if rounds == 1:
-            todo = _split_by_rare(large, limit)
+        weight = sum(heavy.values())
+        if not pivots and 10 * weight <= 9 * before:
+            before, todo = weight, _split_by_rare(large, limit)
+            release(large.sparkSession)
             continue
-        if rounds > 4:
-            fits.append(_in_blocks(large))
+        pivots += 1
+        if pivots > 3:
+            close.append(large)
             break
-        todo = _split_regions(large, limit, rounds)
+        todo, whole = _split_regions(large, limit, rounds)
+        close.append(whole)
+        release(large.sparkSession)
     every = functools.reduce(DataFrame.unionByName, fits)
-    edges = cut_lineage(_join_regions(every, limit))
+    parts = [cut_lineage(_join_regions(every, limit))]
+    for whole in close:
+        parts += _blocks_joined(whole, limit)
+    edges = functools.reduce(DataFrame.unionByName, parts)
     if rounds < 2:  # each class lies in one region and points to its first set
         firsts = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(firsts)

@@ -68,6 +68,36 @@ def test_large_regions_are_split_exactly(spark, monkeypatch, region):
     assert sorted(map(tuple, found), key=str) == brute(rows, 5, 80, 100)
 
 
+def test_large_regions_are_not_copied_many_times(spark, monkeypatch):
+    # one region: a passage that all hold, and groups of near copies that are far from one another
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(45)]
+    rows = []
+    for g in range(6):
+        own = [f"g{g}w{i}" for i in range(20)]
+        for _ in range(8):
+            text = own + passage
+            text[rng.randrange(3)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(text)))
+    sets = [np.sort(J.shingle_set(t, 5).view(np.int64)) for _, t in rows]
+    members = spark.createDataFrame([("r", f"{i:04d}", len(s), s.tolist()) for i, s in enumerate(sets)],
+                                    "region string, node string, n bigint, elements array<bigint>").cache()
+    whole, joined, join = sum(map(len, sets)), [], J._join_regions
+    monkeypatch.setattr(J, "_join_regions", lambda rows, limit: (joined.append(rows.agg(J.F.sum("n")).first()[0] or 0), join(rows, limit))[1])
+    monkeypatch.setattr(J, "REGION", 200)
+    monkeypatch.setattr(J, "SLICE", 1000, raising=False)
+    found = J._verified(members, J.Threshold(80, 100)).collect()
+    least = {}
+    for r in found:
+        least.setdefault(r.component, set()).add(int(r.node))
+    want = J.linked_classes([np.asarray(s) for s in sets], J.Threshold(80, 100))
+    classes = {}
+    for i, c in enumerate(want):
+        classes.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, least.values())) == sorted(sorted(c) for c in classes.values() if len(c) > 1)
+    assert len(joined) > 2 and max(joined) <= 3 * whole
+
+
 def test_rows_without_a_key_link(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(7, " ".join(words)), (None, " ".join([*words, "x"])), (9, " ".join([*words, "x", "y"])), (None, "alone here and now it is")]
